@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .jaccard import op2_ngram_jaccard
 from .mixing import OP5_SQL, op5_mix
 from .secrets import op10_secrets
 from .sharding import op7_shard
 
 QUERIES = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_mix": op5_mix,
     "op7_shard": op7_shard,
     "op10_secrets": op10_secrets,

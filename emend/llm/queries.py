@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .jaccard import op2_ngram_jaccard
+from .langid import op3_language_id
 from .mixing import OP5_SQL, op5_mix
 from .secrets import op10_secrets
 from .sharding import op7_shard
 
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_language_id": op3_language_id,
     "op5_mix": op5_mix,
     "op7_shard": op7_shard,
     "op10_secrets": op10_secrets,

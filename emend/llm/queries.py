@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP1_SQL, op1_chat_format
 from .jaccard import op2_ngram_jaccard
 from .langid import op3_language_id
 from .mixing import OP5_SQL, op5_mix
@@ -9,10 +10,11 @@ from .secrets import op10_secrets
 from .sharding import op7_shard
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_language_id": op3_language_id,
     "op5_mix": op5_mix,
     "op7_shard": op7_shard,
     "op10_secrets": op10_secrets,
 }
-ORACLE_SQL = {"op5_mix": OP5_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op5_mix": OP5_SQL}

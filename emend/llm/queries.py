@@ -6,6 +6,7 @@ from .chat import OP1_SQL, op1_chat_format
 from .jaccard import op2_ngram_jaccard
 from .langid import op3_language_id
 from .mixing import OP5_SQL, op5_mix
+from .packing import op9_best_fit
 from .secrets import op10_secrets
 from .sharding import op7_shard
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_mix": op5_mix,
     "op7_shard": op7_shard,
+    "op9_best_fit": op9_best_fit,
     "op10_secrets": op10_secrets,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op5_mix": OP5_SQL}

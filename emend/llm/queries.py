@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op4_nearest
 from .chat import OP1_SQL, op1_chat_format
 from .jaccard import op2_ngram_jaccard
 from .langid import op3_language_id
@@ -9,14 +10,17 @@ from .mixing import OP5_SQL, op5_mix
 from .packing import op9_best_fit
 from .secrets import op10_secrets
 from .sharding import op7_shard
+from .topk import OP6_SQL, op6_top_products
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_language_id": op3_language_id,
+    "op4_nearest": op4_nearest,
     "op5_mix": op5_mix,
+    "op6_top_products": op6_top_products,
     "op7_shard": op7_shard,
     "op9_best_fit": op9_best_fit,
     "op10_secrets": op10_secrets,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op5_mix": OP5_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op5_mix": OP5_SQL, "op6_top_products": OP6_SQL}

@@ -8,6 +8,7 @@ from .jaccard import op2_ngram_jaccard
 from .langid import op3_language_id
 from .mixing import OP5_SQL, op5_mix
 from .packing import op9_best_fit
+from .pii import op8_surrogates
 from .secrets import op10_secrets
 from .sharding import op7_shard
 from .topk import OP6_SQL, op6_top_products
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_mix": op5_mix,
     "op6_top_products": op6_top_products,
     "op7_shard": op7_shard,
+    "op8_surrogates": op8_surrogates,
     "op9_best_fit": op9_best_fit,
     "op10_secrets": op10_secrets,
 }

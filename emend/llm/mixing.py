@@ -51,14 +51,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return out.withColumn("level", level.over(alone)["level"]).select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * F.col("level")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, *, size: Column | None = None, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs (doc_id, source, text, ...) -> doc_id, size, source_size, target, copies, taken, and the columns in keep.
+def mix(docs: DataFrame, *, size: Column | None = None, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 20, row_no: str | None = None) -> DataFrame:
+    """docs (doc_id, source, text, ...) -> doc_id, size, source_size, target, copies, taken, row_no.
 
+    row_no: a column that numbers the rows of a stored table, by which a caller can join the result to it; else rows are numbered here.
     A row each: taken is copies times size, 0 to `most` copies. Null source: a source of its own, last. Null or empty text: size 0,
     taken 0. Null doc_id: a document whose random number is that of the empty id. Repeated rows count each for itself. An empty
     table gives an empty result. Other columns don't matter, whatever their names.
     """
-    base = durable(docs.select("doc_id", "source", (size if size is not None else n_words(F.col("text"))).alias("size"), *keep).withColumn("row_no", F.monotonically_increasing_id()), "mix")
+    base = durable(docs.select("doc_id", "source", (size if size is not None else n_words(F.col("text"))).alias("size"), (F.col(row_no) if row_no else F.monotonically_increasing_id()).alias("row_no")), "mix")
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")
     targets = targets.withColumn("whole", whole)
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, *, size: Column | None = None, weights: tuple[int, ...]
     fill = left.groupBy("source", "gap").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "z", "doc_id", "size", "row_no")).alias("best"))
     fill = fill.where(F.col("best.off") < F.col("gap")).select(F.col("best.row_no").alias("row_no"), F.lit(True).alias("fills"))
     out = ranked.join(fill, "row_no", "left").withColumn("copies", F.col("whole") + F.when(F.col("more") | F.coalesce(F.col("fills"), F.lit(False)), 1).otherwise(0))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "row_no")
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:

@@ -47,3 +47,8 @@ def drop(df: DataFrame) -> None:
         spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Let Arrow batches to Python end at `size` bytes, so that workers hold few texts at once, however long these are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

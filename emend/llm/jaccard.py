@@ -7,8 +7,8 @@ where enumerating starts to cost more than scanning the lists.
 
 Sets with equal contents are one node. Short lists give pairs, and the number of lists that a pair shares bounds its overlap, so few pairs
 are compared as whole sets. Long lists give no pairs of their own: their members are compared with a few centres, linked members
-become one, and only members of different components are compared at the end. So a group of thousands of near copies costs a few
-comparisons a member, and still no link between different components is missed.
+become one, and only where members of several components are left, these are compared in blocks. So a group of thousands of near copies costs a few
+comparisons a member, no pair is written but links, and no link between different components is missed.
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, durable
+from .common import drop, durable, small_batches
 from .components import components
 from .shingles import U, mixed, set_hash, shingle_sets
 
@@ -34,10 +35,14 @@ LONG = 32
 MOST_HEAVY = 250_000
 #: Largest size for which subsets may be enumerated, and the most ids that are broadcast.
 MOST_SMALL, MOST_IDS = 20, 500_000
-#: Rounds of comparing with centres before the rest of the long lists is compared pair by pair.
-CENTRE_ROUNDS = 4
+#: Rounds of comparing with centres before the rest of the long lists is compared in blocks; a round must leave less than this share of the pairs.
+CENTRE_ROUNDS, GAIN = 4, 0.7
+#: Shingles and sets of a block.
+BLOCK_SHINGLES, BLOCK_SETS = 150_000, 512
 #: How far beyond the first shingles counts are taken, as those put last are replaced.
 REACH = 1.3
+#: Times that shingles with long lists are sought; each time those found before are passed over.
+ORDER_ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -67,14 +72,30 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _count_first(batches: Iterator[pa.RecordBatch], sim: Similarity) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, key, n): how many sets have the shingle among their first (0), are of this small size (1), postings (2)."""
+def _late(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Which shingles go last; heavy is ascending."""
+    if not len(heavy):
+        return np.zeros(len(s), bool)
+    return heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
+
+
+def _count_first(batches: Iterator[pa.RecordBatch], sim: Similarity, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, key, n): how many sets have the shingle among their first (0), are of this small size (1), postings (2).
+
+    With heavy shingles: those that come instead of these, in the sets that have any of these among their first.
+    """
     for batch in batches:
         first, sizes = [], []
         for s in shingle_sets(_texts(batch), sim.k):
-            if len(s):
-                first.append(s[: min(len(s), int(sim.prefix(len(s)) * REACH))])
-                sizes.append(len(s))
+            if not len(s):
+                continue
+            upto = int(sim.prefix(len(s)) * REACH)
+            if len(heavy):
+                if not _late(s[:upto], heavy).any():
+                    continue
+                s = s[~_late(s, heavy)]
+            first.append(s[:upto])
+            sizes.append(len(s))
         if not sizes:
             continue
         sizes = np.array(sizes)
@@ -115,11 +136,7 @@ def _describe(batches: Iterator[pa.RecordBatch], sim: Similarity, heavy: np.ndar
             if sim.den * len(s) // sim.num <= most:  # no partner is large
                 first.append(None), light.append(0)
                 continue
-            p = int(sim.prefix(len(s)))
-            late = np.zeros(len(s), bool)
-            if len(heavy):
-                at = np.searchsorted(heavy, s)
-                late = heavy[np.minimum(at, len(heavy) - 1)] == s
+            p, late = int(sim.prefix(len(s))), _late(s, heavy)
             early = s[~late][:p]
             first.append(np.concatenate((early, s[late][: p - len(early)])).view(np.int64))
             light.append(len(early))
@@ -161,7 +178,7 @@ def _lists(batches: Iterator[pa.RecordBatch], sim: Similarity, most: int) -> Ite
                 yield members(rows[(own[:, None] + np.arange(g)).ravel()])
                 continue
             one, two = np.triu_indices(g, 1)
-            step = max(1, 400_000 // len(one))
+            step = max(1, 60_000 // len(one))
             for i in range(0, len(own), step):
                 a, b = rows[(own[i : i + step, None] + one).ravel()], rows[(own[i : i + step, None] + two).ravel()]
                 ok = _fits(sim, most, a[:, 2], b[:, 2], a[:, 3], b[:, 3])
@@ -216,25 +233,66 @@ def _boundary(sim: Similarity, sizes: dict[int, int], scanned: float) -> int:
     return best
 
 
+def _joined(rows: pd.DataFrame, sim: Similarity) -> pd.DataFrame:
+    """Links (a, b) between the sets of two blocks (or one) that make a spanning forest of all links between them."""
+    sets = [np.asarray(x, np.int64) for x in rows["shingles"]]
+    size = np.array([len(x) for x in sets])
+    keys, inner = np.unique(np.concatenate(sets), return_inverse=True)
+    many = np.bincount(inner) > 1
+    column = np.where(many, np.cumsum(many) - 1, -1)[inner]
+    row = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(many.sum()), 2048):
+        lo, hi = np.searchsorted(column, (at, at + 2048))
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        overlap += part @ part.T
+    label = rows["label"].to_numpy()
+    linked = (overlap * (sim.num + sim.den) >= sim.num * (size[:, None] + size)) & (label[:, None] != label)
+    node, parent, out = rows["node"].to_numpy(), list(range(len(sets))), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+        x, y = root(i), root(j)
+        if x != y:
+            parent[x] = y
+            out.append((node[i], node[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
 class _Join:
     def __init__(self, docs: DataFrame, sim: Similarity):
         self.spark: SparkSession = docs.sparkSession
         self.docs, self.sim = docs.select("doc_id", "text"), sim
+        small_batches(self.spark)
 
     def order(self) -> tuple[np.ndarray, int]:
-        """The shingles that go last, and the boundary between small and large sets."""
-        sim = self.sim
-        counts = self.docs.select("text").mapInArrow(lambda it: _count_first(it, sim), "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-        counts = durable(counts.where("kind > 0 or n > 1"), "counts")
-        heavy = counts.where(f"kind = 0 and n >= {LONG}")
-        if heavy.count() > MOST_HEAVY:
-            heavy = heavy.orderBy(F.desc("n"), "key").limit(MOST_HEAVY)
-        found = np.sort(np.array([r["key"] for r in heavy.select("key").collect()], np.int64).view(U))  # at most MOST_HEAVY
-        sizes = {r["key"]: r["n"] for r in counts.where("kind = 1").collect()}  # at most 2 * MOST_SMALL
-        met = counts.where(f"kind = 0 and n < {LONG}").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0
-        postings = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-        drop(counts)
-        return found, _boundary(sim, sizes, met / max(postings, 1))
+        """The shingles that go last, ascending, and the boundary between small and large sets."""
+        sim, found, most = self.sim, np.empty(0, U), 0
+        for turn in range(ORDER_ROUNDS):
+            before = found
+            counts = self.docs.select("text").mapInArrow(lambda it: _count_first(it, sim, before), "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))  # noqa: B023
+            counts = durable(counts.where("kind > 0 or n > 1"), "counts")
+            heavy = counts.where(f"kind = 0 and n >= {LONG}")
+            if heavy.count() > MOST_HEAVY - len(found):
+                heavy = heavy.orderBy(F.desc("n"), "key").limit(MOST_HEAVY - len(found))
+            new = np.array([r["key"] for r in heavy.select("key").collect()], np.int64).view(U)  # at most MOST_HEAVY
+            if not turn:
+                sizes = {r["key"]: r["n"] for r in counts.where("kind = 1").collect()}  # at most 2 * MOST_SMALL
+                met = counts.where(f"kind = 0 and n < {LONG}").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+                postings = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+                most = _boundary(sim, sizes, met / max(postings, 1))
+            drop(counts)
+            found = np.union1d(found, new)
+            if not len(new):
+                break
+        return found, most
 
     def run(self) -> DataFrame:
         sim = self.sim
@@ -297,41 +355,55 @@ class _Join:
 
     def through(self, lists: DataFrame, links: DataFrame, tried: DataFrame, most: int) -> DataFrame:
         """Labels once the long lists have no two members left that were not compared and could join two components."""
-        sim, links = self.sim, durable(links, "found")
+        sim, links, last = self.sim, durable(links, "found"), None
         labels = durable(components(links), "labels")
-        total = lists.count()
         fits = (sim.den * F.least("na", "nb") >= sim.num * F.greatest("na", "nb")) & (F.greatest("na", "nb") > most)
         fits &= F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= F.ceil((F.col("na") + F.col("nb")) * sim.num / F.lit(sim.num + sim.den) - F.lit(1e-9))
-        for turn in range(CENTRE_ROUNDS + 1):
-            if not total:
-                break
-            labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            # lists of several components, and how many pairs they have between these
-            parts = labelled.groupBy("hash", "label").agg(F.count("*").alias("g"), F.min("node").alias("low"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("any"))
-            open_lists = parts.groupBy("hash").agg(F.min("low").alias("c0"), F.max("low").alias("c1"), F.min("any")["node"].alias("c2"), ((F.sum("g") * F.sum("g") - F.sum(F.col("g") * F.col("g"))) / 2).alias("between"), F.count("*").alias("k")).where("k > 1")
-            open_lists = durable(open_lists, "open")
+        for turn in range(CENTRE_ROUNDS):
+            members, open_lists = self.still_open(lists, labels, turn)
             between = open_lists.agg(F.sum("between")).first()[0] or 0
             if not between:
+                return labels
+            if last is not None and between > GAIN * last:
                 break
-            members = labelled.join(open_lists.select("hash"), "hash")
-            final = between <= 4 * total or turn == CENTRE_ROUNDS
-            if final:
-                one = members
-            else:
-                centres = open_lists.select("hash", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("node"))
-                one = members.join(centres, ["hash", "node"])
-            one = one.select("hash", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("na"), F.col("pos").alias("ia"))
-            two = members.select("hash", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("nb"), F.col("pos").alias("ib"))
-            where = (F.col("x") < F.col("y")) if final else (F.col("x") != F.col("y"))
-            met = one.join(two.withColumnRenamed("hash", "hash2"), (F.col("hash") == F.col("hash2")) & where & (F.col("lx") != F.col("ly")) & fits)
+            last = between
+            centres = open_lists.select("hash", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("node"))
+            one = members.join(centres, ["hash", "node"]).select("hash", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("na"), F.col("pos").alias("ia"))
+            two = members.select(F.col("hash").alias("hash2"), F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("nb"), F.col("pos").alias("ib"))
+            met = one.join(two, (F.col("hash") == F.col("hash2")) & (F.col("x") != F.col("y")) & (F.col("lx") != F.col("ly")) & fits)
             new = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
             new = durable(new, "new-pairs")
             links = durable(links.union(self.verified(new)), "found")
             tried = tried.union(new)
             labels = durable(components(links), "labels")
-            if final:
-                break
-        return labels
+        members, open_lists = self.still_open(lists, labels, CENTRE_ROUNDS)
+        if open_lists.isEmpty():
+            return labels
+        links = durable(links.union(self.in_blocks(members, open_lists)), "found")
+        return durable(components(links), "labels")
+
+    def still_open(self, lists: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """Lists of several components, three centres of each, and how many pairs they have between components; and the members of these."""
+        labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        parts = labelled.groupBy("hash", "label").agg(F.count("*").alias("g"), F.min("node").alias("low"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("any"))
+        found = parts.groupBy("hash").agg(F.min("low").alias("c0"), F.max("low").alias("c1"), F.min("any")["node"].alias("c2"), ((F.sum("g") * F.sum("g") - F.sum(F.col("g") * F.col("g"))) / 2).alias("between"), F.count("*").alias("k"))
+        found = durable(found.where("k > 1"), "open")
+        return labelled.join(found.select("hash"), "hash"), found
+
+    def in_blocks(self, members: DataFrame, open_lists: DataFrame) -> DataFrame:
+        """Links between all members of the open lists: lists with common members are one pool, a pool is dealt into blocks of like
+        sizes, and pairs of blocks are compared by matrix products that give back only what joins them."""
+        sim = self.sim
+        pools = components(members.join(open_lists.select("hash", "c0"), "hash").select(F.col("node").alias("a"), F.col("c0").alias("b"))).withColumnRenamed("label", "pool")
+        nodes = durable(members.select("node", "n", "label").distinct().join(pools, "node").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(log(sim.den / sim.num))).cast("int")), "pool")
+        blocks = nodes.groupBy("pool", "class").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("salts"))
+        own = nodes.join(blocks, ["pool", "class"]).withColumn("block", F.struct("class", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))).drop("salts")
+        others = blocks.select(F.col("pool").alias("pool2"), F.col("class").alias("class2"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt2"))
+        met = own.join(others, (F.col("pool") == F.col("pool2")) & (F.abs(F.col("class") - F.col("class2")) <= 1))
+        other = F.struct(F.col("class2").alias("class"), F.col("salt2").alias("salt"))
+        met = met.select("pool", F.least("block", other).alias("lo"), F.greatest("block", other).alias("hi"), (F.col("block") <= other).alias("left"), "node", "label")
+        met = met.join(self.sets, "node")
+        return met.groupBy("pool", "lo", "hi").applyInPandas(lambda rows: _joined(rows, sim), "a bigint, b bigint")
 
     def result(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         each = nodes.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

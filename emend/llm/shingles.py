@@ -10,7 +10,7 @@ U = np.uint64
 #: The six ASCII blanks that end a word.
 BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that are hashed together.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 _blank = np.zeros(256, bool)
 _blank[list(BLANKS)] = True

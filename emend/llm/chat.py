@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import n_words, small_batches
 
 #: Tokens of a window and of its repeated history; tokens that the template adds to a turn's words.
 BUDGET, HISTORY, TURN_TOKENS = 1024, 256, 4
@@ -165,6 +165,7 @@ def format_chat(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
     Null text or role: empty. Null turn: before all others; equal turns: by role, then text. Rows with a null conv_id are one conversation
     without an id. Repeated rows are repeated turns. An empty table gives an empty result. Other columns don't matter.
     """
+    small_batches(turns.sparkSession)
     empty = F.lit("")
     rows = turns.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     rows = rows.withColumn("tokens", n_words(F.col("text")) + TURN_TOKENS)

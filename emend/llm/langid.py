@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Training texts of one language at most, and characters of each that are read in training; prediction reads whole texts.
 PER_LANGUAGE, TRAINING_CHARS = 800, 20_000
 #: Hashed features.
 FEATURES = 4096
 #: Bytes of text that are looked up together.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: What a text without a letter gets.
 UNKNOWN = "und"
 
@@ -203,6 +205,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Null text, or one without a letter: `und` with score 0. A model of one language always gives it, one of none always `und`. Repeated
     rows get equal predictions; null ids and an empty table need nothing special. Columns named as the two new ones are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(lambda it: _predict(it, model), schema)

@@ -1,6 +1,510 @@
-"""All registered queries of the library and their SQL."""
+"""All registered queries of the library and their SQL.
+
+Sentences: the texts of `documents`, cut after sentence signs and at line breaks. Derived pairs: a sentence and what it becomes when, counting tokens from 0, token i is
+left out for i % 11 = 5, lower-cased for i % 7 = 3 and doubled for i % 13 = 6, the first rule that fits; both engines make them by the same rule.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import tags, text
+from ..operators import cleanup, edits, hints, m2, prompts, retrieval, vectors
+from ..sources import readers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- shared inputs ------------------------------------------------------------
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sent, src, tokens)."""
+    cut = F.split(F.regexp_replace(F.col("text"), r"([.!?])\s+", "$1\n"), "\n+")
+    out = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cut).alias("sent", "raw"))
+    return out.select("doc_id", "sent", text.clean_space(F.col("raw")).alias("src")).where("src <> ''").withColumn("tokens", F.split("src", " "))
+
+
+def _changed(tokens: Column) -> Column:
+    one = lambda x, i: F.when(i % 11 == 5, F.array().cast("array<string>")).when(i % 7 == 3, F.array(F.lower(x))).when(i % 13 == 6, F.array(x, x)).otherwise(F.array(x))
+    return F.array_join(F.flatten(F.transform(tokens, one)), " ")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sent, src, tgt), tgt not empty."""
+    return sentences(spark, sf_dir).withColumn("tgt", _changed(F.col("tokens"))).where("tgt <> ''")
+
+
+SENTENCES_SQL = r"""cut AS (
+  SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+') AS parts FROM documents),
+raw AS (SELECT doc_id, (unnest(range(len(parts))))::INTEGER AS sent, unnest(parts) AS part FROM cut),
+clean AS (SELECT doc_id, sent, trim(regexp_replace(part, '\s+', ' ', 'g')) AS src FROM raw),
+sentences AS (SELECT *, string_split(src, ' ') AS tokens FROM clean WHERE src <> '')"""
+PAIRS_SQL = (
+    SENTENCES_SQL
+    + r""", pairs AS (
+  SELECT doc_id, sent, src, tokens, array_to_string(flatten(list_transform(tokens, lambda x, i: CASE WHEN (i - 1) % 11 = 5 THEN [] WHEN (i - 1) % 7 = 3 THEN [lower(x)] WHEN (i - 1) % 13 = 6 THEN [x, x] ELSE [x] END)), ' ') AS tgt
+  FROM sentences WHERE len(tokens) > 0),
+good AS (SELECT * FROM pairs WHERE tgt <> '')"""
+)
+
+# --- text ---------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM documents")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_space(F.col("text")).alias("clean"))
+
+
+@query(rf"WITH {SENTENCES_SQL} SELECT doc_id, sent, len(tokens)::INTEGER AS n_tokens FROM sentences WHERE len(tokens) BETWEEN 6 AND 200")
+def min_token_filter(spark, sf_dir):
+    n = F.size("tokens")
+    return sentences(spark, sf_dir).where((n > 5) & (n <= 200)).select("doc_id", "sent", n.alias("n_tokens"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> '')
+SELECT doc_id, doc_id || '_documents' AS id, len(w)::INTEGER AS n_tokens, w[1] AS first_token, w[-1] AS last_token FROM t""")
+def tokenized_rows(spark, sf_dir):
+    out = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("_", F.col("doc_id").cast("string"), F.lit("documents")).alias("id"), text.words(F.col("text")).alias("w"))
+    return out.where(F.size("w") > 0).select("doc_id", "id", F.size("w").alias("n_tokens"), F.get("w", F.lit(0)).alias("first_token"), F.element_at("w", -1).alias("last_token"))
+
+
+@query(r"""SELECT doc_id, trim(replace(replace(text, chr(10), ' '), chr(13), ' '), ' ') AS flat,
+  replace(replace(replace(trim(replace(replace(text, chr(10), ' '), chr(13), ' '), ' '), '(', ' ( '), '  ', ' '), '( ', '(') AS bracketed FROM documents""")
+def runtime_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.runtime_line(F.col("text"), F.lit("conll14")).alias("flat"), text.runtime_line(F.col("text"), F.lit("ronacc_readerbench")).alias("bracketed"))
+
+
+@query(r"""WITH a AS (SELECT doc_id, regexp_replace(text, ' ''\s?((?:m )|(?:ve )|(?:ll )|(?:s )|(?:d ))', '''\1', 'g') AS t FROM documents)
+SELECT doc_id,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, ' '' (.*?) '' ', ' ''\1'' ', 'g'), ' - ', '-', 'g'), ' / ', '/', 'g'), '([\]\[\(\){}<>])', ' \1 ', 'g'), '\s+', ' ', 'g') AS conll,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(\d)\s+%', '\1%', 'g'), '((?:have)|(?:has)) n''t', '\1n''t', 'g'), '^-', '- '), '\s+', ' ', 'g') AS bea FROM a""")
+def regex_retokenize(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.conll_text(F.col("text")).alias("conll"), text.bea_text(F.col("text")).alias("bea"))
+
+
+@query(rf"""WITH {SENTENCES_SQL}
+SELECT doc_id, sent, array_to_string(list_filter(tokens, lambda x, i: i = 1 OR x <> tokens[i - 1]), ' ') AS single FROM sentences""")
+def without_doubles(spark, sf_dir):
+    return sentences(spark, sf_dir).select("doc_id", "sent", text.without_doubles(F.col("src")).alias("single"))
+
+
+@query(r"""WITH f AS (SELECT page_id, html, strpos(html, '<title>') AS s, strpos(html, '</title>') AS e FROM pages),
+g AS (SELECT *, CASE WHEN s > 0 THEN substr(html, s + 7) END AS rest FROM f),
+h AS (SELECT *, CASE WHEN e > 0 AND (s = 0 OR e < s) THEN nullif(regexp_replace(left(html, e - 1), '^\s+|\s+$', '', 'g'), '') END AS before,
+  CASE WHEN strpos(rest, '</title>') > 0 THEN nullif(regexp_replace(left(rest, strpos(rest, '</title>') - 1), '^\s+|\s+$', '', 'g'), '') END AS inside FROM g)
+SELECT page_id, coalesce(before, inside) AS strict, coalesce(before, inside, url) AS answer, split_part(CASE WHEN s > 0 THEN rest ELSE h.html END, '</title>', 1) AS between_tags
+FROM h JOIN pages USING (page_id)""")
+def tag_extract(spark, sf_dir):
+    found = text.tagged(F.col("html"), "<title>", "</title>")
+    return table(spark, sf_dir, "pages").select("page_id", found.alias("strict"), F.coalesce(found, "url").alias("answer"), text.between_tags(F.col("html"), "<title>", "</title>").alias("between_tags"))
+
+
+@query(r"""WITH p AS (SELECT conv_id, turn, text, role, string_split(text, '. ') AS parts FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(parts) >= 3 AND length(trim(parts[2], ' ')) / nullif(length(role), 0) BETWEEN 0.5 AND 2.0 THEN trim(parts[2], ' ') ELSE role END AS answer FROM p""")
+def splitter_extract(spark, sf_dir):
+    """The middle of three parts, where it is about as long as a short reference text (here the role)."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.split_answer(F.col("text"), F.col("role"), ". ").alias("answer"))
+
+
+@query(rf"""WITH {SENTENCES_SQL}, u AS (SELECT doc_id, sent, unnest(tokens) AS token FROM sentences)
+SELECT token, contains('!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', token) AS is_punctuation, count(*) AS n FROM u GROUP BY token""")
+def punct_predicate(spark, sf_dir):
+    rows = sentences(spark, sf_dir).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return rows.select("token", tags.is_punctuation(F.col("token")).alias("is_punctuation"), "n")
+
+
+@query(rf"""WITH {SENTENCES_SQL}, u AS (SELECT doc_id, sent, tokens, unnest(range(len(tokens)))::INTEGER AS pos FROM sentences)
+SELECT doc_id, sent, pos, md5(array_to_string(tokens[1:pos + 1], ' ')) AS prefix_md5 FROM u WHERE NOT contains('!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', tokens[pos + 1])""")
+def prefix_truncation(spark, sf_dir):
+    rows = sentences(spark, sf_dir).select("doc_id", "sent", "tokens", F.posexplode("tokens").alias("pos", "token")).where(~tags.is_punctuation(F.col("token")))
+    return rows.select("doc_id", "sent", "pos", F.md5(text.prefix(F.col("tokens"), F.col("pos")).cast("binary")).alias("prefix_md5"))
+
+
+# --- tags ---------------------------------------------------------------------
+
+_NEXT_SQL = rf"""WITH {SENTENCES_SQL}, u AS (SELECT unnest(tokens) AS token, unnest(list_concat(tokens[2:], [NULL])) AS word FROM sentences),
+d AS (SELECT token, word, count(*) AS n FROM u WHERE word IS NOT NULL GROUP BY token, word)"""
+
+
+@query(
+    _NEXT_SQL
+    + r""", c AS (SELECT *, upper(left(token, 1)) || lower(substr(token, 2)) AS cap, left(token, 1) || upper(substr(token, 2, 1)) || lower(substr(token, 3)) AS cap1, upper(left(token, length(token) - 1)) || right(token, 1) AS up1 FROM d)
+SELECT token, word, n, CASE WHEN token = word THEN '$KEEP'
+  WHEN lower(token) = lower(word) AND word = lower(token) THEN '$TRANSFORM_CASE_LOWER' WHEN lower(token) = lower(word) AND word = cap THEN '$TRANSFORM_CASE_CAPITAL'
+  WHEN lower(token) = lower(word) AND word = upper(token) THEN '$TRANSFORM_CASE_UPPER' WHEN lower(token) = lower(word) AND word = cap1 THEN '$TRANSFORM_CASE_CAPITAL_1'
+  WHEN lower(token) = lower(word) AND word = up1 THEN '$TRANSFORM_CASE_UPPER_-1'
+  WHEN token = word || 's' THEN '$TRANSFORM_AGREEMENT_SINGULAR' WHEN token || 's' = word THEN '$TRANSFORM_AGREEMENT_PLURAL' ELSE '$REPLACE_' || word END AS tag FROM c"""
+)
+def token_tags(spark, sf_dir):
+    """The tag for each two tokens that stand side by side."""
+    own = sentences(spark, sf_dir).select(F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.slice("tokens", F.lit(2), F.size("tokens")).alias("word"))).alias("x"))
+    rows = own.select("x.token", "x.word").where("word is not null").groupBy("token", "word").agg(F.count("*").alias("n"))
+    return rows.withColumn("tag", tags.token_tag(F.col("token"), F.col("word")))
+
+
+_APPLY_SQL = rf"""WITH {SENTENCES_SQL}, u AS (SELECT unnest(tokens) AS token FROM sentences), d AS (SELECT token, count(*) AS n FROM u GROUP BY token)
+SELECT token, n, replace(upper(left(token, 1)), 'ẞ', 'SS') || lower(substr(token, 2)) AS capital, left(token, 1) || replace(upper(substr(token, 2, 1)), 'ẞ', 'SS') || lower(substr(token, 3)) AS capital_1,
+  replace(upper(left(token, length(token) - 1)), 'ẞ', 'SS') || right(token, 1) AS upper_1, replace(token, '-', ' ') AS split, token || 's' AS plural, left(token, length(token) - 1) AS singular FROM d"""
+
+
+@query(_APPLY_SQL)
+def applied_tags(spark, sf_dir):
+    rows = sentences(spark, sf_dir).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    made = {"capital": tags.CASE + "CAPITAL", "capital_1": tags.CASE + "CAPITAL_1", "upper_1": tags.CASE + "UPPER_-1", "split": tags.SPLIT, "plural": tags.PLURAL, "singular": tags.SINGULAR}
+    return rows.select("token", "n", *(tags.applied_column(F.col("token"), F.lit(t)).alias(c) for c, t in made.items()))
+
+
+@query(rf"WITH {PAIRS_SQL} SELECT doc_id, sent, src, tgt FROM good WHERE NOT contains(src || tgt, 'SEPL')")
+def edit_round_trip(spark, sf_dir):
+    """Derived pairs whose tags give back the target: all of them."""
+    out = edits.with_tags(pairs(spark, sf_dir))
+    return out.select("doc_id", "sent", "src", "tgt")
+
+
+@query()
+def edit_tags(spark, sf_dir):
+    """How often each kind of tag is used over all derived pairs."""
+    tag = F.explode(F.flatten(F.transform("items", lambda x: x["tags"])))
+    rows = edits.with_tags(pairs(spark, sf_dir)).select(tag.alias("tag"))
+    return rows.groupBy(F.regexp_replace("tag", r"^\$(APPEND|REPLACE)_.*", r"\$$1").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query()
+def edit_sites(spark, sf_dir):
+    """Error sites of all derived pairs, by side and bucket."""
+    tagged = edits.with_tags(pairs(spark, sf_dir)).withColumn("pred_items", F.col("items")).withColumn("pred_tgt", F.col("tgt"))
+    return edits.exploded_sites(edits.with_sites(tagged), "doc_id", "sent").groupBy("side", "bucket").agg(F.count("*").alias("n"), F.count_distinct("diff").alias("diffs"))
+
+
+# --- joins --------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations)
+SELECT conv_id, turn, text AS src, next_text AS tgt FROM n WHERE role = 'user' AND next_role = 'assistant'""")
+def alternating_pairs(spark, sf_dir):
+    """A user's turn with the assistant's answer after it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("next_role", F.lead("role").over(w)).withColumn("tgt", F.lead("text").over(w))
+    return rows.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("src"), "tgt")
+
+
+@query("""WITH ordered AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no, text FROM conversations)
+SELECT line_no // 2 AS line_no, trim(regexp_replace(max(CASE WHEN line_no % 2 = 1 THEN text END), '\\s+', ' ', 'g')) AS src, trim(regexp_replace(max(CASE WHEN line_no % 2 = 0 THEN text END), '\\s+', ' ', 'g')) AS tgt
+FROM ordered GROUP BY line_no // 2 HAVING count(*) = 2""".replace("\\\\s", "\\s"))
+def alternating_lines(spark, sf_dir):
+    """All turns, read as lines of which every first is a target and every second its source."""
+    order = Window.orderBy("conv_id", "turn")
+    rows = table(spark, sf_dir, "conversations").select((F.row_number().over(order) - 1).cast("bigint").alias("line_no"), F.col("text").alias("value"))
+    whole = rows.withColumn("mates", F.count("*").over(Window.partitionBy(F.floor(F.col("line_no") / 2)))).where("mates = 2").drop("mates")
+    return readers.alternating(whole)
+
+
+@query("""SELECT d.doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic, n_chars, d.doc_id IS NOT NULL AND l.doc_id IS NULL AS unlabelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def positional_join(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = docs.select("doc_id", "n_chars").join(labels.withColumn("there", F.lit(True)), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), "n_chars", F.col("there").isNull().alias("unlabelled"))
+
+
+@query("SELECT l.doc_id FROM labels l ANTI JOIN documents d ON l.doc_id = d.doc_id UNION ALL SELECT d.doc_id FROM documents d ANTI JOIN labels l ON l.doc_id = d.doc_id")
+def missing_index(spark, sf_dir):
+    """Ids that only one of the two tables has."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
+    return labels.join(docs, "doc_id", "left_anti").union(docs.join(labels, "doc_id", "left_anti"))
+
+
+_CAPITAL_SQL = rf"""WITH {SENTENCES_SQL}, u AS (SELECT doc_id, sent, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM sentences),
+r AS (SELECT doc_id, sent, pos, token <> lower(token) AS capital, row_number() OVER (PARTITION BY doc_id, sent, token <> lower(token) ORDER BY pos) - 1 AS rank, count(*) OVER (PARTITION BY doc_id, sent, token <> lower(token)) AS n FROM u)
+SELECT p.doc_id, p.sent, p.pos::INTEGER AS pos_pos, q.pos::INTEGER AS neg_pos FROM r q JOIN r p ON p.doc_id = q.doc_id AND p.sent = q.sent AND p.capital AND NOT q.capital AND q.rank >= 1 AND p.rank = (q.rank - 1) % p.n"""
+
+
+@query(_CAPITAL_SQL)
+def cyclic_pairing(spark, sf_dir):
+    """Within each sentence, capitalised tokens as positives and the others as negatives."""
+    rows = sentences(spark, sf_dir).select("doc_id", "sent", F.posexplode("tokens").alias("pos", "token")).withColumn("capital", F.col("token") != F.lower("token"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "sent", "capital").orderBy("pos")) - 1).withColumn("line", F.struct("doc_id", "sent"))
+    side = lambda yes: rows.where(F.col("capital") == yes).select("line", "rank", "pos")
+    out = edits.cyclic_pairs(side(True), side(False), "line")
+    return out.select("line.doc_id", "line.sent", "pos_pos", "neg_pos")
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN 1 ELSE 0 END AS f FROM conversations)
+SELECT conv_id, turn, role, sum(f) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS island FROM m""")
+def prompt_islands(spark, sf_dir):
+    return prompts.islands(table(spark, sf_dir, "conversations"), "role", "turn", "conv_id").select("conv_id", "turn", "role", "island")
+
+
+@query("""SELECT text, max_by(doc_id, doc_id) AS last_doc, count(*) AS n FROM documents GROUP BY text""")
+def text_lookup(spark, sf_dir):
+    """An index keyed by text: of equal texts the last one stays."""
+    docs = table(spark, sf_dir, "documents").select("text", F.col("doc_id").alias("seq"), F.col("doc_id").alias("vec"))
+    n = docs.groupBy("text").agg(F.count("*").alias("n"))
+    return retrieval.last_vector(docs).join(n, "text").select("text", F.col("vec").alias("last_doc"), "n")
+
+
+@query("""WITH r AS (SELECT unnest(string_split('en:src0,src1;de:src2, src3', ';')) AS part), p AS (SELECT trim(split_part(part, ':', 1)) AS test, trim(unnest(string_split(split_part(part, ':', 2), ','))) AS train FROM r)
+SELECT test, train, doc_id FROM p JOIN documents ON source = train""")
+def relation_join(spark, sf_dir):
+    """Datasets and the sources that serve them, joined with their rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("from"))
+    relation = retrieval.dataset_relation("en:src0,src1;de:src2, src3", docs)
+    return docs.join(F.broadcast(relation), docs["from"] == relation["train"]).select("test", "train", "doc_id")
+
+
+@query("SELECT doc_id, source FROM documents UNION ALL SELECT doc_id, 'labels' AS source FROM labels")
+def union_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit("").alias("text"))
+    return retrieval.pool(docs, table(spark, sf_dir, "labels").select("doc_id", F.lit("labels").alias("source"), F.lit("").alias("text"))).select("doc_id", "source")
+
+
+@query("SELECT doc_id, text FROM documents")
+def shard_merge(spark, sf_dir):
+    """Four shards by number, put together again and audited."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("__original_index"), F.col("doc_id"), "text")
+    shards = [docs.where(retrieval.modulo_shard(F.col("__original_index"), 4) == s) for s in range(4)]
+    return retrieval.merged_shards(*shards).drop("__original_index")
+
+
+@query("""WITH o AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no, conv_id::VARCHAR AS id, text FROM conversations),
+bad AS (SELECT coalesce(min(line_no), 9223372036854775807) AS first_bad FROM o WHERE contains(text, 'token') OR line_no = (SELECT count(*) // 2 FROM o))
+SELECT line_no, id FROM o WHERE line_no < (SELECT first_bad FROM bad)""")
+def valid_prefix(spark, sf_dir):
+    """Stored rows up to the first that isn't what was asked; here the middle row, and rows with a certain word, are spoilt."""
+    order = Window.orderBy("conv_id", "turn")
+    want = table(spark, sf_dir, "conversations").select((F.row_number().over(order) - 1).cast("bigint").alias("line_no"), F.col("conv_id").cast("string").alias("id"), "text")
+    middle = F.floor(F.count("*").over(Window.partitionBy()) / 2)
+    found = want.withColumn("id", F.when(F.col("line_no") == middle, "?").otherwise(F.col("id"))).withColumn("ok", ~F.contains("text", F.lit("token")))
+    return readers.valid_prefix(want, found).select("line_no", "id")
+
+
+# --- vectors ------------------------------------------------------------------
+
+
+@query("""WITH u AS (SELECT label, unnest(range(len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT label, i, round(avg(x), 6) AS mean FROM u GROUP BY label, i""")
+def mean_pool_by_group(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vec")
+    pooled = vectors.mean_vectors(rows, ["label"])
+    return pooled.select("label", F.posexplode("vec").alias("i", "x")).select("label", "i", F.round("x", 6).alias("mean"))
+
+
+_TOP_SQL = """WITH s AS (SELECT q.vec_id AS query, t.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), 9) AS similarity FROM embeddings q JOIN embeddings t ON q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id)::INTEGER AS rank FROM s), top AS (SELECT * FROM r WHERE rank <= 4)"""
+
+
+@query(_TOP_SQL + " SELECT query, rank, id, round(similarity, 6) AS similarity FROM top")
+def cosine_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return vectors.cosine_top(rows.where("id % 100 = 0"), rows, 4).select("query", "rank", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(_TOP_SQL + " SELECT query, id, round(CASE WHEN min(similarity) OVER w = max(similarity) OVER w THEN 1.0 ELSE (similarity - min(similarity) OVER w) / nullif(max(similarity) OVER w - min(similarity) OVER w, 0) END, 5) AS scaled FROM top WINDOW w AS (PARTITION BY query)")
+def minmax_similarity(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    top = vectors.cosine_top(rows.where("id % 100 = 0"), rows, 4)
+    return top.select("query", "id", F.round(retrieval.min_max(F.col("similarity"), "query"), 5).alias("scaled"))
+
+
+_DIRECTION_SQL = """WITH u AS (SELECT label, unnest(range(len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IN (0, 1)),
+d AS (SELECT i, avg(x) FILTER (WHERE label = 1) - avg(x) FILTER (WHERE label = 0) AS v FROM u GROUP BY i)"""
+
+
+@query(_DIRECTION_SQL + " SELECT i, round(v, 6) AS v FROM d")
+def class_mean_direction(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vec")
+    return vectors.class_mean_direction(rows).select(F.posexplode("direction").alias("i", "v")).select("i", F.round("v", 6).alias("v"))
+
+
+@query(_DIRECTION_SQL + ", n AS (SELECT sqrt(sum(v * v)) AS n FROM d), e AS (SELECT vec_id, unnest(range(len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT vec_id, round(sum(x * v) / any_value(n), 5) AS score FROM e JOIN d USING (i), n GROUP BY vec_id")
+def project_direction(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vec")
+    direction = vectors.class_mean_direction(rows)
+    return rows.crossJoin(F.broadcast(direction)).select("vec_id", F.round(vectors.projected(F.col("vec"), F.col("direction")), 5).alias("score"))  # one row
+
+
+@query("""WITH e AS (SELECT vec_id, unnest(range(len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT i, avg(x) AS mean, stddev_pop(x) AS dev FROM e GROUP BY i)
+SELECT vec_id, i, round((x - mean) / CASE WHEN dev > 0 THEN dev ELSE 1 END, 4) + 0.0 AS z FROM e JOIN m USING (i)""")
+def standard_scale(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vec")
+    m = vectors.moments(rows)
+    return rows.select("vec_id", F.posexplode(vectors.scaled(F.col("vec"), m)).alias("i", "z")).select("vec_id", "i", (F.round("z", 4) + 0.0).alias("z"))
+
+
+@query()
+def pca_project(spark, sf_dir):
+    """The rank of each vector by its first principal component, and its first three coordinates."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    out = vectors.in_components(rows, vectors.principal(rows, 3), "vec", "projected")
+    rank = F.row_number().over(Window.orderBy(F.abs(F.get("projected", F.lit(0))).desc(), "vec_id"))
+    return out.select("vec_id", rank.alias("rank"), *(F.round(F.get("projected", F.lit(i)), 5).alias(f"pc{i + 1}") for i in range(3)))
+
+
+# --- choosing and scoring -----------------------------------------------------
+
+
+@query("""WITH r AS (SELECT conv_id AS idx, count(*) AS available FROM conversations GROUP BY conv_id),
+b AS (SELECT *, least(2, available) AS low, least(10, available) - least(2, available) AS capacity FROM r),
+t AS (SELECT sum(low) AS low_total, sum(capacity) AS room, count(*) AS n FROM b),
+g AS (SELECT *, greatest(low_total, least(round_even(4.5 * n, 0), low_total + room)) - low_total AS remaining FROM t),
+a AS (SELECT b.*, remaining, CASE WHEN room > 0 THEN remaining * capacity / room ELSE 0 END AS raw FROM b, g),
+f AS (SELECT *, least(capacity, floor(raw)) AS add, raw - least(capacity, floor(raw)) AS fraction FROM a),
+k AS (SELECT *, remaining - sum(add) OVER () AS leftover, row_number() OVER (ORDER BY CASE WHEN capacity > add AND fraction > 0 THEN 0 ELSE 1 END, fraction DESC, capacity DESC, available DESC, idx) AS r FROM f)
+SELECT idx, available, (low + add + CASE WHEN capacity > add AND fraction > 0 AND r <= leftover THEN 1 ELSE 0 END)::BIGINT AS "limit" FROM k""")
+def dynamic_limits(spark, sf_dir):
+    """How many demonstrations each conversation gets, its turns being what is available; 4.5 on average."""
+    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("idx")).agg(F.count("*").alias("available"))
+    return retrieval.limits(rows, 2, 10, 4.5)
+
+
+@query()
+def sample_without_replacement(spark, sf_dir):
+    """Two different documents for each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    pool = docs.select(F.col("doc_id").alias("id"))
+    return retrieval.sampled(docs, pool, 2, "doc_id", buckets=4).select("doc_id", "draw", "id")
+
+
+@query()
+def balanced_ranges(spark, sf_dir):
+    """Eight ranges of documents of about as many words each."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.greatest(F.lit(1), F.floor(F.size(text.words(F.col("text"))) / 2)).alias("weight"))
+    return retrieval.balanced_ranges(docs, 8)
+
+
+@query(rf"""WITH {PAIRS_SQL}, p AS (SELECT doc_id, sent, src, CASE WHEN sent % 3 = 0 THEN repeat(tgt || ' ', 3) || tgt || repeat(' x', 60) ELSE tgt END AS pred FROM good),
+n AS (SELECT *, len(string_split_regex(trim(src), '\s+')) AS s, len(string_split_regex(trim(pred), '\s+')) AS p FROM p)
+SELECT doc_id, sent, md5(CASE WHEN p > greatest(floor(s * 1.75), s + 50) THEN src ELSE pred END) AS guarded FROM n""")
+def length_guard(spark, sf_dir):
+    """Every third answer is made several times too long."""
+    long = F.concat(F.repeat(F.concat("tgt", F.lit(" ")), F.lit(3)), F.col("tgt"), F.lit(" x" * 60))
+    rows = pairs(spark, sf_dir).withColumn("pred", F.when(F.col("sent") % 3 == 0, long).otherwise(F.col("tgt")))
+    return rows.select("doc_id", "sent", F.md5(cleanup.length_guard(F.col("pred"), F.col("src")).cast("binary")).alias("guarded"))
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived pairs as model answers of several kinds."""
+    body = F.when(F.col("sent") % 5 == 4, F.concat(F.lit("No corrections needed. "), "tgt")).when(F.col("sent") % 5 == 3, F.concat(F.lit("<corrected sentence>"), "tgt", F.lit(" (question)"), F.lit("</corrected sentence>")))
+    body = body.when(F.col("sent") % 5 == 2, F.concat(F.lit("<erroneous sentence>"), "src", F.lit("</erroneous sentence><corrected sentence>"), "tgt", F.lit("</corrected sentence>"))).otherwise(F.concat(F.lit("<corrected sentence>"), "tgt", F.lit("</corrected sentence> done")))
+    return pairs(spark, sf_dir).select("doc_id", "sent", F.col("src").alias("text"), body.alias("response"))
+
+
+_REASONS_SQL = rf"""WITH {PAIRS_SQL}, r AS (SELECT doc_id, sent, src, tgt, CASE WHEN sent % 5 IN (2, 4) OR regexp_matches(tgt, '(?i)\b(?:no\s+corrections?\s+needed|no\s+correction|not\s+grammatically\s+incorrect|not\s+incorrect|no\s+errors?\s+found)\b|ei\s+vaja') THEN 'tagbad_or_no_correction'
+  WHEN sent % 5 = 3 THEN 'comment_or_no_correction_in_prediction' ELSE 'kept' END AS reason FROM good)"""
+
+
+@query(_REASONS_SQL + " SELECT doc_id, sent, reason, md5(CASE WHEN reason = 'kept' THEN tgt ELSE src END) AS prediction FROM r")
+def cleanup_rules(spark, sf_dir):
+    out = cleanup.cleaned(_responses(spark, sf_dir), 0.0, with_ratio=False)
+    return out.select("doc_id", "sent", F.col("postprocess_reason").alias("reason"), F.md5(F.col("prediction").cast("binary")).alias("prediction"))
+
+
+@query(_REASONS_SQL + " SELECT reason, count(*) AS n FROM r GROUP BY ROLLUP (reason)")
+def cleanup_reasons(spark, sf_dir):
+    return cleanup.reason_counts(cleanup.cleaned(_responses(spark, sf_dir), 0.0, with_ratio=False))
+
+
+@query()
+def cleanup_likeness(spark, sf_dir):
+    """The rules with the least likeness of letters, counted."""
+    return cleanup.reason_counts(cleanup.cleaned(_responses(spark, sf_dir), cleanup.threshold("estgec")))
+
+
+@query(rf"WITH {PAIRS_SQL} SELECT doc_id, count(*) AS n, round(avg((trim(src) <> trim(tgt))::INTEGER), 9) AS purity FROM good GROUP BY doc_id")
+def edited_purity(spark, sf_dir):
+    rows = pairs(spark, sf_dir).withColumn("id", F.col("sent"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(hints.purity("doc_id", "src", "tgt"), 9).alias("purity"))
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS correct, count(*) FILTER (WHERE toxic = 1) AS proposed, count(*) FILTER (WHERE quality = 1) AS gold FROM labels),
+p AS (SELECT *, coalesce(correct / nullif(proposed, 0), 1.0) AS p, coalesce(correct / nullif(gold, 0), 1.0) AS r FROM c)
+SELECT correct, proposed, gold, round(p, 9) AS precision, round(r, 9) AS recall, round(coalesce(1.25 * p * r / nullif(0.25 * p + r, 0), 0.0), 9) AS f FROM p""")
+def scores_prf(spark, sf_dir):
+    yes = lambda cond: F.count(F.when(cond, 1))
+    labels = table(spark, sf_dir, "labels")
+    out = labels.agg(yes((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("correct"), yes(F.col("toxic") == 1).alias("proposed"), yes(F.col("quality") == 1).alias("gold"))
+    p, r = m2.precision(F.col("correct"), F.col("proposed")), m2.recall(F.col("correct"), F.col("gold"))
+    return out.select("*", F.round(p, 9).alias("precision"), F.round(r, 9).alias("recall"), F.round(m2.f_from_pr(p, r), 9).alias("f"))
+
+
+@query()
+def vote_types(spark, sf_dir):
+    """Hint types of all derived pairs, and how often each is voted for."""
+    rows = pairs(spark, sf_dir).select(F.col("doc_id").alias("line_no"), F.col("sent").alias("id"), F.col("src").alias("text"), F.col("tgt").alias("label"), F.lit("").alias("key"), F.lit(1.0).alias("similarity"), F.lit("documents").alias("from"))
+    return hints.ranked_types(hints.votes(rows), most=3).groupBy("hint_type", "rank").agg(F.count("*").alias("documents"), F.sum("votes").alias("votes"))
+
+
+_TYPES = ("R:VERB:SVA", "M:DET", "U:PUNCT", "R:NOUN:NUM", "R:SPELL", "R:WO", "R:OTHER", "R:VERB", "R:ADV")
+
+
+@query("""WITH t AS (SELECT doc_id, ['R:VERB:SVA', 'M:DET', 'U:PUNCT', 'R:NOUN:NUM', 'R:SPELL', 'R:WO', 'R:OTHER', 'R:VERB', 'R:ADV'][doc_id % 9 + 1] AS error_type FROM documents),
+h AS (SELECT unnest(['R:VERB:SVA', 'M:DET', 'U:PUNCT', 'R:NOUN:NUM', 'R:SPELL', 'R:WO', 'R:OTHER', 'R:VERB', 'R:ADV']) AS error_type, unnest(['subject-verb agreement', 'determiner or article', 'punctuation', 'noun number', 'spelling', 'word order', 'word choice', 'verb usage', 'adverb']) AS hint)
+SELECT doc_id, error_type, hint FROM t JOIN h USING (error_type)""")
+def error_type_hints(spark, sf_dir):
+    kinds = F.array(*map(F.lit, _TYPES))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.get(kinds, (F.col("doc_id") % len(_TYPES)).cast("int")).alias("error_type"))
+    return rows.withColumn("hint", hints.error_type_hint(F.col("error_type")))
+
+
+#: A small annotated file: alternatives, a second annotator, a noop, a deletion.
+M2_FILE = """S He go to school .
+A 1 2|||SVA|||goes|||REQUIRED|||-NONE-|||0
+A 3 3|||DET|||the||a|||REQUIRED|||-NONE-|||0
+
+S A dog .
+A -1 -1|||noop|||-NONE-|||REQUIRED|||-NONE-|||0
+A 1 2|||NOUN|||dogs|||REQUIRED|||-NONE-|||1
+
+S a b c
+A 0 1|||U|||-NONE-|||REQUIRED|||-NONE-|||0
+A 2 3|||R|||x y|||REQUIRED|||-NONE-|||0
+"""
+
+
+def _m2_lines(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("m2", i, v) for i, v in enumerate(M2_FILE.split("\n"))], "file string, line_no bigint, value string")
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'He go to school .', 'He goes to the||a school .'), (1, 'A dog .', 'A dogs .'), (2, 'a b c', 'b x y')) t(line_no, src, tgt)")
+def m2_apply(spark, sf_dir):
+    return readers.m2_pairs(_m2_lines(spark)).select("line_no", "src", "tgt")
+
+
+@query("SELECT 4::BIGINT AS correct, 4::BIGINT AS proposed, 4::BIGINT AS gold, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f")
+def m2_score(spark, sf_dir):
+    """A system that does all that annotator 0 asks for."""
+    said = spark.createDataFrame([(0, "He goes to a school ."), (1, "A dog ."), (2, "b x y")], "sent_idx bigint, hypothesis string")
+    return m2.corpus_score(readers.m2_annotations(_m2_lines(spark)).join(said, "sent_idx"))
+
+
+@query()
+def packed_sentences(spark, sf_dir):
+    """Texts cut into sentences that are put together again within 100 words."""
+    parts = text.pack_sentences(F.col("text"), 100)
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("part", "value"))
+
+
+@query()
+def treebank_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.words(text.treebank(F.col("text")))).alias("n_tokens"))

@@ -56,9 +56,10 @@ def frequencies(texts: list[bytes]) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Weights and bias for labels +-1: squared hinge loss, accelerated gradient descent."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, b, v, c = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
-    step = 1.0 / (2 * (float((weight * ((x * x).sum(1) + 1)).sum()) + penalty))
+    y = y.astype(x.dtype)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
+    w, b, v, c = np.zeros(x.shape[1], x.dtype), 0.0, np.zeros(x.shape[1], x.dtype), 0.0
+    step = 1.0 / (2 * (float((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum()) + penalty))
     for i in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v + c)) * y * weight
         w2, b2 = v + step * (2 * (x.T @ slack) - penalty * v), c + step * 2 * slack.sum()
@@ -142,21 +143,21 @@ def families_of(means: np.ndarray, names: list[str]) -> list[int]:
 
 def train(texts: list[bytes], languages: list[str]) -> Model:
     names = sorted(set(languages))
-    x = frequencies(texts).astype(np.float64)
+    x = frequencies(texts)  # in single precision and never copied whole: the driver may be small
     y = np.array([names.index(v) for v in languages])
     scale = 60.0  # frequencies are small; this makes margins of 1 reachable under the penalty
     family = families_of(np.array([x[y == k].mean(0) for k in range(len(names))]), names) if names else []
     of = np.array(family)[y] if names else y
     sides, weights, bias = [], [], []
-    x *= scale
+    x *= np.float32(scale)
     for level, label, options in (("family", of, sorted(set(family))), ("language", y, list(range(len(names))))):
         for i, a in enumerate(options):
             for b in options[i + 1 :]:
                 if level == "language" and family[a] != family[b]:
                     continue
                 own = (label == a) | (label == b)
-                w, c = linear_svm(x[own], np.where(label[own] == a, 1.0, -1.0))
-                sides.append((level, a, b)), weights.append(w * scale), bias.append(c)
+                w, c = linear_svm(x if own.all() else x[own], np.where(label[own] == a, 1.0, -1.0))
+                sides.append((level, a, b)), weights.append(w.astype(np.float64) * scale), bias.append(c)
     weights = np.array(weights).T if weights else np.zeros((FEATURES, 0))
     if len(weights):
         weights[0] = 0

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling. DataFrame functions only.
 
 A source whose target is more than its size takes whole copies of every document first; what is left of the
-target is a fraction f of the source, the inclusion probability of each of its documents. A document's rank is
+target goes to a sample: documents longer than it have inclusion probability 0, the others f, the share of their words that it is. A document's rank is
 its random odds over its inclusion odds, q = (u / (1 - u)) / (f / (1 - f)); documents are taken by rising q until
 their words fill the rest of the target, so the sample's size in words is fixed. One more document may
 follow if its size closes the gap that the last cut leaves.
@@ -64,29 +64,34 @@ def mix(docs: DataFrame, *, size: Column | None = None, weights: tuple[int, ...]
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")
     targets = targets.withColumn("whole", whole)
     targets = targets.withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    targets = durable(targets.withColumn("f", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)), "mix-targets")
+    targets = durable(targets, "mix-rests")
+    rests = targets.select(F.col("source").alias("of"), F.col("rest").alias("of_rest"))
+    short = base.join(rests, F.col("source").eqNullSafe(F.col("of"))).where(F.col("size") <= F.col("of_rest")).groupBy("of").agg(F.sum("size").alias("short_size"))
+    targets = targets.join(short, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    targets = durable(targets.withColumn("f", F.when(F.col("short_size") > 0, F.col("rest") / F.col("short_size")).otherwise(0.0)).drop("short_size"), "mix-targets")
     u, f = uniform(F.col("doc_id"), seed), F.col("f")
     q = (u / (1 - u)) / (f / (1 - f))
     ranked = base.join(targets, base["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    able = (f > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
     ranked = ranked.withColumn("z", F.when((f > 0) & (f < 1), q / (1 + q)).otherwise(1.0))
     ranked = ranked.withColumn("slice", F.floor(F.col("z") * SLICES).cast("int"))
-    slices = ranked.where((F.col("f") > 0) & (F.col("size") > 0)).groupBy("source", "slice", "rest").agg(F.sum("size").alias("slice_size"))
+    slices = ranked.where(able).groupBy("source", "slice", "rest").agg(F.sum("size").alias("slice_size"))
     upto = F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice"))
     slices = slices.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("slice_size"))
     # the only slice of a source that the cut goes through
     cut = durable(slices.where((F.col("before") <= F.col("rest")) & (F.col("upto") > F.col("rest"))).select("source", F.col("slice").alias("cut_slice"), "before"), "mix-cuts")
     ranked = ranked.join(cut, ranked["source"].eqNullSafe(cut["source"]), "left").drop(cut["source"])
-    inside = ranked.where((F.col("slice") == F.col("cut_slice")) & (F.col("size") > 0))
+    inside = ranked.where((F.col("slice") == F.col("cut_slice")) & able)
     running = F.sum("size").over(Window.partitionBy("source").orderBy("z", "doc_id", "size", "row_no").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.select("source", "row_no", "size", "rest", "before", running.alias("running"))
     first = durable(inside.where(F.col("before") + F.col("running") <= F.col("rest")), "mix-inside")
-    chosen = (F.col("f") > 0) & (F.col("size") > 0) & (F.col("cut_slice").isNull() | (F.col("slice") < F.col("cut_slice")))
+    chosen = able & (F.col("cut_slice").isNull() | (F.col("slice") < F.col("cut_slice")))
     ranked = ranked.join(first.select("row_no", F.lit(True).alias("within")), "row_no", "left")
     ranked = ranked.withColumn("more", chosen | F.coalesce(F.col("within"), F.lit(False)))
     # what the cut leaves of the target goes to the document that comes nearest to it
     got = ranked.where(F.col("cut_slice").isNotNull()).groupBy("source", "rest").agg(F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).alias("got"))
     gaps = got.select(F.col("source").alias("gap_source"), (F.col("rest") - F.col("got")).alias("gap"))
-    left = ranked.where(~F.col("more") & (F.col("size") > 0) & F.col("cut_slice").isNotNull()).join(gaps, F.col("source").eqNullSafe(F.col("gap_source")))
+    left = ranked.where(~F.col("more") & able & F.col("cut_slice").isNotNull()).join(gaps, F.col("source").eqNullSafe(F.col("gap_source")))
     fill = left.groupBy("source", "gap").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "z", "doc_id", "size", "row_no")).alias("best"))
     fill = fill.where(F.col("best.off") < F.col("gap")).select(F.col("best.row_no").alias("row_no"), F.lit(True).alias("fills"))
     out = ranked.join(fill, "row_no", "left").withColumn("copies", F.col("whole") + F.when(F.col("more") | F.coalesce(F.col("fills"), F.lit(False)), 1).otherwise(0))
@@ -117,19 +122,20 @@ targets AS (
 parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2)::BIGINT ELSE 0 END AS whole FROM targets),
 rests AS (SELECT *, greatest(target - whole * source_size, 0.0) AS rest FROM parts),
-odds AS (SELECT *, CASE WHEN source_size > 0 THEN rest / source_size ELSE 0.0 END AS f FROM rests),
+shorts AS (SELECT r.source, sum(b.size) AS short_size FROM base b JOIN rests r ON b.source IS NOT DISTINCT FROM r.source AND b.size <= r.rest GROUP BY r.source),
+odds AS (SELECT r.*, CASE WHEN short_size > 0 THEN rest / short_size ELSE 0.0 END AS f FROM rests r LEFT JOIN shorts s ON r.source IS NOT DISTINCT FROM s.source),
 ranked AS (
   SELECT b.*, o.source_size, o.target, o.whole, o.rest, o.f,
          CASE WHEN f > 0 AND f < 1 THEN (u / (1 - u)) / (f / (1 - f)) / (1 + (u / (1 - u)) / (f / (1 - f))) ELSE 1.0 END AS z
   FROM base b JOIN odds o ON b.source IS NOT DISTINCT FROM o.source),
 taken AS (
-  SELECT *, f > 0 AND size > 0 AND sum(size) OVER (PARTITION BY source ORDER BY z, doc_id, size, row_no ROWS UNBOUNDED PRECEDING) <= rest AS more FROM ranked),
+  SELECT *, f > 0 AND size > 0 AND size <= rest AND sum(CASE WHEN size <= rest THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY z, doc_id, size, row_no ROWS UNBOUNDED PRECEDING) <= rest AS more FROM ranked),
 gaps AS (
   SELECT source, rest - sum(CASE WHEN more THEN size ELSE 0 END) AS gap FROM taken WHERE f > 0 GROUP BY source, rest),
 fills AS (
   SELECT row_no, gap, abs(size - gap) AS off,
          row_number() OVER (PARTITION BY t.source ORDER BY abs(size - gap), z, doc_id, size, row_no) AS k
-  FROM taken t JOIN gaps g ON t.source IS NOT DISTINCT FROM g.source WHERE NOT more AND size > 0 AND f > 0)
+  FROM taken t JOIN gaps g ON t.source IS NOT DISTINCT FROM g.source WHERE NOT more AND size > 0 AND size <= rest AND f > 0)
 SELECT t.doc_id, t.size, t.source_size, t.target,
        (whole + CASE WHEN more OR f2.row_no IS NOT NULL THEN 1 ELSE 0 END)::BIGINT * size AS taken
 FROM taken t LEFT JOIN (SELECT row_no FROM fills WHERE k = 1 AND off < gap) f2 ON t.row_no = f2.row_no

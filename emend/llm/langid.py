@@ -1,8 +1,8 @@
 """Hierarchical language identification: the family first, then one-versus-one linear SVMs within it.
 
 Features are the frequencies of hashed byte trigrams of the whole text (A-Z as a-z, other ASCII signs as blanks), so a decision is the mean
-of one weight for each place of the text, summed by blocks. Families are found from the training texts: languages
-whose mean frequencies are alike share one. Both levels are linear SVMs with squared hinge loss, trained on the driver.
+of one weight for each place of the text, summed by blocks. Families are those of linguistics. Both levels are linear SVMs with squared
+hinge loss, one for each pair of families, then for each pair of languages of one family, trained on the driver.
 """
 
 from __future__ import annotations
@@ -129,16 +129,31 @@ class Model:
         return best, float(chance)
 
 
-def families_of(means: np.ndarray, names: list[str]) -> list[int]:
-    """The two or more groups that average linkage of the languages' mean frequencies gives; about the square root of their number."""
-    x = np.sqrt(means)
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    groups = [[i] for i in range(len(names))]
-    while len(groups) > max(1, round(len(names) ** 0.5)):
-        likeness = [(float(np.mean([x[i] @ x[j] for i in a for j in b])), -m, -n) for m, a in enumerate(groups) for n, b in enumerate(groups) if m < n]
-        _, m, n = max(likeness)
-        groups[-m] += groups.pop(-n)
-    return [next(g for g, own in enumerate(groups) if i in own) for i in range(len(names))]
+#: Families of languages by their ISO 639-1 codes. A language that isn't listed is a family of its own.
+FAMILIES = {
+    "Germanic": "af da de en fo fy is lb nb nl nn no sv yi",
+    "Romance": "ca es fr gl it la oc pt rm ro sc",
+    "Slavic": "be bg bs cs hr mk pl ru sh sk sl sr uk",
+    "Baltic": "lt lv",
+    "Celtic": "br cy ga gd gv",
+    "Uralic": "et fi hu se",
+    "Turkic": "az kk ky tk tr tt ug uz",
+    "Indo-Aryan": "bn gu hi mr ne pa si ur",
+    "Iranian": "fa ku ps tg",
+    "Semitic": "am ar he mt",
+    "Sinitic": "yue zh",
+    "Austronesian": "id jv mg ms su tl",
+    "Bantu": "ln lg rw sn st sw xh zu",
+    "Dravidian": "kn ml ta te",
+}
+_FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
+
+
+def families_of(names: list[str]) -> list[int]:
+    """For each language the number of its family."""
+    found = [_FAMILY.get(n.lower().split("-")[0].split("_")[0], f"={n}") for n in names]
+    order = sorted(set(found))
+    return [order.index(f) for f in found]
 
 
 def train(texts: list[bytes], languages: list[str]) -> Model:
@@ -146,7 +161,7 @@ def train(texts: list[bytes], languages: list[str]) -> Model:
     x = frequencies(texts)  # in single precision and never copied whole: the driver may be small
     y = np.array([names.index(v) for v in languages])
     scale = 60.0  # frequencies are small; this makes margins of 1 reachable under the penalty
-    family = families_of(np.array([x[y == k].mean(0) for k in range(len(names))]), names) if names else []
+    family = families_of(names)
     of = np.array(family)[y] if names else y
     sides, weights, bias = [], [], []
     x *= np.float32(scale)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANSWER_START, ANSWER_END = "<corrected sentence>", "</corrected sentence>"
@@ -232,6 +232,51 @@ def pack_sentences(text: Column, budget: int, pattern: str = r"(?<=[.!?])\s+") -
     return F.aggregate(F.split(text, pattern), start, step)
 
 
+#: Where long inputs of a dataset may be cut: after these signs.
+CUTS = {"wilocness": r"(?<=[.!?])(?!\")", "mucgec": "(?<=[，,。!！?？])(?!”)", "fangzhenggrammar": "(?<=[，,。!！?？])(?!”)"}
+
+
+def cut_long(rows: DataFrame, dataset: str, budget: int, count: Callable[[Column], Column] | None = None) -> DataFrame:
+    """rows (id, text, ...) cut at the dataset's signs and put together again up to a budget of tokens.
+
+    Ids become `id#piece#mark`; the mark is the comma that a piece ends with, else P. Labels stay as they are. The budget is for tokens as `count` has it
+    (words by default). In one dataset a piece also ends wherever it doesn't end with a comma.
+    """
+    if dataset not in CUTS:
+        raise NotImplementedError(f"no cuts for {dataset}")
+    n = count or (lambda c: F.size(words(c)))
+    comma = lambda c: F.right(c, F.lit(1)).isin(",", "，")
+    every = F.filter(F.split(_strip(F.col("text")), CUTS[dataset]), lambda x: x != "")
+
+    def step(acc: Column, piece: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, piece)))
+        new = (F.size(acc) == 0) | (n(F.concat(last, piece)) >= budget)
+        if dataset == "mucgec":
+            new = new | ~comma(last)
+        return F.when(new, F.concat(acc, F.array(piece))).otherwise(joined)
+
+    packed = F.aggregate(every, F.array().cast("array<string>"), step)
+    out = rows.withColumn("__pieces", packed).select("*", F.posexplode("__pieces").alias("__n", "__piece"), F.size("__pieces").alias("__of"))
+    mark = F.when(comma(F.col("__piece")) & (F.col("__n") + 1 < F.col("__of")), F.right("__piece", F.lit(1))).otherwise("P")
+    out = out.withColumn("id", F.concat_ws("#", F.col("id").cast("string"), F.col("__n").cast("string"), mark)).withColumn("text", F.col("__piece"))
+    return out.select(*rows.columns)
+
+
+def normalized(text: Column, replacements: dict[str, str] | None = None) -> Column:
+    """Without doubled tokens, some texts replaced, in lower case."""
+    out = without_doubles(text)
+    for old, new in (replacements or {}).items():
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.lower(out)
+
+
+def repaired(text: Column) -> Column:
+    """Controls that are Windows-1252 signs read as Latin-1, as the signs they were meant to be."""
+    codes = [c for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+    return F.translate(text, "".join(map(chr, codes)), bytes(codes).decode("cp1252"))
+
+
 def prefix(tokens: Column, position: Column) -> Column:
     """The tokens up to and with a 0-based position."""
     return F.array_join(F.slice(tokens, F.lit(1), position + 1), " ")

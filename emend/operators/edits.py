@@ -298,6 +298,12 @@ def cyclic_pairs(positive: DataFrame, negative: DataFrame, key: str = "line_no",
     return renamed(left, "pos").join(renamed(right, "neg"), [key, "__turn"]).drop("__turn")
 
 
+def tags_as_edits(items: Column) -> Column:
+    """Items that aren't kept as array<struct<start, end, tags>>, positions counted without the start token."""
+    numbered = F.transform(items, lambda x, i: F.struct((i - 1).alias("start"), i.alias("end"), x["tags"].alias("tags")))
+    return F.filter(numbered, lambda e: e["tags"] != F.array(F.lit(T.KEEP)))
+
+
 def edits_applied(tokens: Column, edits: Column) -> Column:
     """Tokens after edits (start, end, label, from left to right): an empty label deletes, an empty span inserts, REPLACE and TRANSFORM
     act on a token, MERGE joins it with the next."""

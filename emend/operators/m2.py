@@ -97,6 +97,25 @@ def lattice(source: Sequence[str], words: Sequence[str], most_unchanged: int = 2
     return arcs
 
 
+def token_distance(source: Sequence[str], words: Sequence[str], change: int = 2) -> int:
+    """Levenshtein distance of token lists."""
+    row = list(range(len(words) + 1))
+    for i, x in enumerate(source, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(words, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (0 if x == y else change))
+    return row[-1]
+
+
+def shrunk(start: int, end: int, original: str, correction: str) -> tuple[int, int, str, str]:
+    """An edit without the words that both sides begin or end with."""
+    a, b = original.split(), correction.split()
+    head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[head:], b[head:]
+    tail = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1], strict=False)) if x != y), min(len(a), len(b)))
+    return start + head, end - tail, " ".join(a[: len(a) - tail]), " ".join(b[: len(b) - tail])
+
+
 def matches(arc: Arc, gold: Gold) -> bool:
     return arc.span == (gold.start, gold.end) and arc.original == gold.original and arc.correction in gold.corrections
 

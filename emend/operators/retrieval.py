@@ -224,3 +224,10 @@ def tail_split(rows: DataFrame, test_percent: float, valid_percent: float = 0.0,
     place = F.col(order) / F.col("n")
     cut, cut2 = 1 - test_percent / 100, 1 - (test_percent + valid_percent) / 100
     return rows.crossJoin(F.broadcast(n)).withColumn("split", F.when(place >= cut, "test").when(place >= cut2, "valid").otherwise("train")).drop("n")  # one row
+
+
+def best_row(rows: DataFrame, metric: str, largest: bool = True) -> DataFrame:
+    """The one row of a log whose metric is best; rows without it don't count."""
+    known = rows.where(F.col(metric).isNotNull())
+    pick = F.max_by if largest else F.min_by
+    return known.agg(pick(F.struct(*rows.columns), F.col(metric)).alias("r")).where("r is not null").select("r.*")

@@ -108,3 +108,30 @@ def test_case_tags_agree_with_plain_ones(spark):
     for r in pairs.withColumn("t", tags.token_tag(F.col("a"), F.col("b"))).collect():
         plain = tags.transform(r.a, r.b.split(" ")) or tags.REPLACE + r.b
         assert r.t == plain, (r.a, r.b)
+
+
+def test_long_texts_are_cut_and_packed(spark):
+    rows = spark.createDataFrame([("7", " a b. c d! e f g h i? j", "L")], "id string, text string, label string")
+    got = [tuple(r) for r in text.cut_long(rows, "wilocness", 6).collect()]
+    assert got == [("7#0#P", "a b. c d!", "L"), ("7#1#P", " e f g h i?", "L"), ("7#2#P", " j", "L")]
+    chinese = spark.createDataFrame([("1", "甲，乙。丙")], "id string, text string")
+    assert [tuple(r) for r in text.cut_long(chinese, "mucgec", 99, F.length).collect()] == [("1#0#P", "甲，乙。"), ("1#1#P", "丙")]
+    assert [r.id for r in text.cut_long(chinese, "fangzhenggrammar", 3, F.length).collect()] == ["1#0#，", "1#1#P", "1#2#P"]
+    with pytest.raises(NotImplementedError):
+        text.cut_long(rows, "other", 5)
+
+
+def test_small_helpers(spark):
+    from emend.functions.registry import register_functions
+    from emend.operators import edits, m2, retrieval
+
+    assert value(spark, text.normalized(F.lit("A A b"), {"b": "c"})) == "a c"
+    assert value(spark, text.repaired(F.lit("it\x92s"))) == "it\u2019s"
+    assert value(spark, text.is_ascii(F.lit("abc"))) is True and value(spark, text.is_ascii(F.lit("ä"))) is False
+    assert register_functions(spark) == ["likeness"] and spark.sql("SELECT likeness('abcd', 'abxd') AS v").first().v == 0.75
+    items = spark.createDataFrame([([("$START", ["$KEEP"]), ("a", ["$DELETE"])],)], "items array<struct<token:string,tags:array<string>>>")
+    assert [tuple(e) for e in items.select(edits.tags_as_edits(F.col("items")).alias("e")).first().e] == [(0, 1, ["$DELETE"])]
+    assert m2.token_distance("a b".split(), "a c".split()) == 2 and m2.token_distance("a b".split(), "a c".split(), 1) == 1
+    assert m2.shrunk(2, 5, "the big cat", "the small cat") == (3, 4, "big", "small")
+    log = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, None)], "step int, f double")
+    assert retrieval.best_row(log, "f").first().step == 2 and retrieval.best_row(log, "f", False).first().step == 1

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +23,12 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "emend"
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine find this package wherever the driver was started. Clusters bring it by their own means."""
+    own, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if own not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, own])
+    return spark

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from .ordering import numbered, running
 from .vectors import cosine_top
 
 
@@ -59,9 +60,9 @@ def sampled(lines: DataFrame, pool: DataFrame, n: int, key: str = "line_no", see
 def drawn(lines: DataFrame, pool: DataFrame, n: int, key: str = "line_no", seed: int = 0) -> DataFrame:
     """For each line n rows of a pool (id, ...), drawn with replacement: each draw is a place of its own."""
     size = pool.agg(F.count("*").alias("size"))
-    numbered = pool.withColumn("place", F.row_number().over(Window.orderBy("id")) - 1)
+    placed = numbered(pool, ["id"], "place")
     asked = lines.select(key).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).crossJoin(F.broadcast(size))  # one row
-    return asked.withColumn("place", F.pmod(spread_number(F.col(key), F.col("draw"), seed=seed), F.col("size")).cast("int")).drop("size").join(numbered, "place").drop("place")
+    return asked.withColumn("place", F.pmod(spread_number(F.col(key), F.col("draw"), seed=seed), F.col("size")).cast("int")).drop("size").join(placed, "place").drop("place")
 
 
 def random_sign(key: Column, seed: int = 0) -> Column:
@@ -101,10 +102,15 @@ def limits(rows: DataFrame, least: int, most: int, average: float, order: str =
     raw = F.coalesce(F.try_divide((F.col("remaining") * F.col("capacity")).cast("double"), F.col("room").cast("double")), F.lit(0.0))
     out = out.withColumn("raw", raw).withColumn("add", F.least(F.col("capacity"), F.floor("raw").cast("bigint")))
     out = out.withColumn("fraction", F.col("raw") - F.col("add"))
-    left = out.agg(F.max("remaining").alias("r"), F.sum("add").alias("a")).select((F.col("r") - F.col("a")).alias("left"))
-    rank = F.row_number().over(Window.orderBy(F.desc("fraction"), F.desc("capacity"), F.desc("available"), order))
-    ranked = out.where((F.col("capacity") > F.col("add")) & (F.col("fraction") > 0)).withColumn("r", rank)
-    extra = ranked.crossJoin(F.broadcast(left)).where(F.col("r") <= F.col("left")).select(order, F.lit(1).alias("extra"))
+    # rows with one number available are alike but for their place: a few such groups are ranked, and only the last one that gets something is put in order
+    alike = out.where((F.col("capacity") > F.col("add")) & (F.col("fraction") > 0)).groupBy("fraction", "capacity", "available").agg(F.count("*").alias("k"))
+    left = out.agg((F.max("remaining") - F.sum("add")).alias("left"))
+    upto = F.sum("k").over(Window.orderBy(F.desc("fraction"), F.desc("capacity"), F.desc("available")))
+    alike = alike.withColumn("upto", upto).crossJoin(F.broadcast(left))  # one row
+    served = alike.where(F.col("upto") - F.col("k") < F.col("left")).select("available", (F.col("left") - F.col("upto") + F.col("k")).alias("take"), (F.col("upto") <= F.col("left")).alias("all"))
+    own = out.join(F.broadcast(served), "available")  # a row for each number available
+    cut = numbered(own.where("not all").select(order, "take"), [order], "place").where(F.col("place") < F.col("take"))
+    extra = own.where("all").select(order).union(cut.select(order)).withColumn("extra", F.lit(1))
     out = out.join(extra, order, "left")
     return out.select(*(c for c in rows.columns if c not in ("low", "capacity")), (F.col("low") + F.col("add") + F.coalesce("extra", F.lit(0))).alias("limit"))
 
@@ -144,8 +150,7 @@ def balanced_ranges(weights: DataFrame, shards: int, order: str = "idx") -> Data
     The next range begins where the running sum first reaches the share after the last beginning: with running sums, one lookup for each range.
     """
     spark = weights.sparkSession
-    upto = F.sum("weight").over(Window.orderBy(order))
-    sums = weights.select(order, "weight", upto.alias("upto"))
+    sums = running(weights.select(order, "weight"), F.col("weight"), [order], "upto")
     total = weights.agg(F.count("*").alias("n"), F.sum("weight").alias("w")).first()
     n = total["n"]
     shards = max(1, min(shards, n))

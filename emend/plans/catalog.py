@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags, text
 from ..operators import cleanup, edits, hints, m2, prompts, retrieval, vectors
+from ..operators.ordering import numbered
 from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,8 +216,7 @@ SELECT line_no // 2 AS line_no, trim(regexp_replace(max(CASE WHEN line_no % 2 =
 FROM ordered GROUP BY line_no // 2 HAVING count(*) = 2""".replace("\\\\s", "\\s"))
 def alternating_lines(spark, sf_dir):
     """All turns, read as lines of which every first is a target and every second its source."""
-    order = Window.orderBy("conv_id", "turn")
-    rows = table(spark, sf_dir, "conversations").select((F.row_number().over(order) - 1).cast("bigint").alias("line_no"), F.col("text").alias("value"))
+    rows = numbered(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "line_no").select("line_no", F.col("text").alias("value"))
     whole = rows.withColumn("mates", F.count("*").over(Window.partitionBy(F.floor(F.col("line_no") / 2)))).where("mates = 2").drop("mates")
     return readers.alternating(whole)
 
@@ -292,10 +292,9 @@ bad AS (SELECT coalesce(min(line_no), 9223372036854775807) AS first_bad FROM o W
 SELECT line_no, id FROM o WHERE line_no < (SELECT first_bad FROM bad)""")
 def valid_prefix(spark, sf_dir):
     """Stored rows up to the first that isn't what was asked; here the middle row, and rows with a certain word, are spoilt."""
-    order = Window.orderBy("conv_id", "turn")
-    want = table(spark, sf_dir, "conversations").select((F.row_number().over(order) - 1).cast("bigint").alias("line_no"), F.col("conv_id").cast("string").alias("id"), "text")
-    middle = F.floor(F.count("*").over(Window.partitionBy()) / 2)
-    found = want.withColumn("id", F.when(F.col("line_no") == middle, "?").otherwise(F.col("id"))).withColumn("ok", ~F.contains("text", F.lit("token")))
+    turns = table(spark, sf_dir, "conversations")
+    want = numbered(turns, ["conv_id", "turn"], "line_no").select("line_no", F.col("conv_id").cast("string").alias("id"), "text")
+    found = want.withColumn("id", F.when(F.col("line_no") == turns.count() // 2, "?").otherwise(F.col("id"))).withColumn("ok", ~F.contains("text", F.lit("token")))
     return readers.valid_prefix(want, found).select("line_no", "id")
 
 
@@ -357,8 +356,9 @@ def pca_project(spark, sf_dir):
     """The rank of each vector by its first principal component, and its first three coordinates."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     out = vectors.in_components(rows, vectors.principal(rows, 3), "vec", "projected")
-    rank = F.row_number().over(Window.orderBy(F.abs(F.get("projected", F.lit(0))).desc(), "vec_id"))
-    return out.select("vec_id", rank.alias("rank"), *(F.round(F.get("projected", F.lit(i)), 5).alias(f"pc{i + 1}") for i in range(3)))
+    first = F.abs(F.get("projected", F.lit(0)))
+    ranked = numbered(out, [first.desc(), "vec_id"], "rank", -first)
+    return ranked.select("vec_id", (F.col("rank") + 1).alias("rank"), *(F.round(F.get("projected", F.lit(i)), 5).alias(f"pc{i + 1}") for i in range(3)))
 
 
 # --- choosing and scoring -----------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import cleanup, edits, hints, m2, models, prompts, retrieval, vectors
+from ..operators.ordering import numbered
 from ..sources import readers, sinks
 from .config import Language, Run
 
@@ -67,8 +68,8 @@ def corpus_rows(pairs: DataFrame, dataset: str, tokens: bool = True) -> DataFram
 
 
 def prepare_conll14(spark: SparkSession, m2_path: str) -> DataFrame:
-    order = F.row_number().over(readers.Window.orderBy("line_no")) - 1
-    sources = readers.m2_sources(readers.lines(spark, m2_path)).select(order.cast("bigint").alias("line_no"), F.col("value").alias("src"))
+    found = readers.m2_sources(readers.lines(spark, m2_path)).select(F.col("line_no").alias("at"), F.col("value").alias("src"))
+    sources = numbered(found, ["at"], "line_no").select("line_no", "src")
     return corpus_rows(sources, "conll14")
 
 

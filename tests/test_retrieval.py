@@ -168,3 +168,21 @@ def test_relations_and_splits(spark):
     parts = retrieval.tail_split(spark.range(10).toDF("line_no"), 20, 10).groupBy("split").count().collect()
     assert {r.split: r["count"] for r in parts} == {"train": 7, "valid": 1, "test": 2}
     assert retrieval.unknown_names(spark.createDataFrame([("x",), ("y",)], "name string"), spark.createDataFrame([("x",)], "name string")).collect()[0].name == "y"
+
+
+def test_numbers_and_sums_over_buckets(spark, monkeypatch):
+    from emend.operators import ordering
+
+    monkeypatch.setattr(ordering, "PER_BUCKET", 30)
+    rng = np.random.RandomState(8)
+    rows = [(int(a), i, int(w)) for i, (a, w) in enumerate(zip(rng.randint(0, 40, 300), rng.randint(0, 9, 300), strict=True))]
+    df = spark.createDataFrame(rows, "a long, b long, w long")
+    got = [tuple(r) for r in ordering.numbered(ordering.running(df, F.col("w"), ["a", "b"], "s"), ["a", "b"], "n").orderBy("n").collect()]
+    assert [g[:3] for g in got] == sorted(rows) and [g[4] for g in got] == list(range(300))
+    assert [g[3] for g in got] == np.cumsum([w for *_, w in sorted(rows)]).tolist()
+    down = ordering.numbered(df, [F.desc("a"), "b"], "n", -F.col("a")).orderBy("n").collect()
+    assert [(r.a, r.b) for r in down] == sorted(((a, b) for a, b, _ in rows), key=lambda x: (-x[0], x[1]))
+    assert ordering.numbered(df.limit(0), ["a"], "n").count() == 0
+    many = spark.createDataFrame([(i, i % 13) for i in range(400)], "idx long, available long")
+    for average in (2.5, 4.0, 7.3):
+        assert retrieval.limits(many, 1, 9, average).agg(F.sum("limit")).first()[0] == max(sum(min(1, i % 13) for i in range(400)), min(round(average * 400), sum(min(9, i % 13) for i in range(400))))

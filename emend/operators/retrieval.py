@@ -94,7 +94,7 @@ def limits(rows: DataFrame, least: int, most: int, average: float, order: str =
     """
     least = max(0, min(least, most))
     low, high = F.least(F.lit(least), F.col("available")), F.least(F.lit(most), F.col("available"))
-    rows = rows.withColumn("low", low.cast("bigint")).withColumn("capacity", (high - low).cast("bigint"))
+    rows = rows.withColumn("low", low.cast("bigint")).withColumn("capacity", (high - low).cast("bigint")).persist()  # two numbers a row, read several times
     total = rows.agg(F.sum("low").alias("low_total"), F.sum("capacity").alias("room"), F.count("*").alias("n"))
     target = F.greatest(F.col("low_total"), F.least(F.bround(F.lit(min(max(0.0, average), float(most))) * F.col("n")).cast("bigint"), F.col("low_total") + F.col("room")))
     total = total.withColumn("remaining", target - F.col("low_total"))
@@ -115,6 +115,11 @@ def limits(rows: DataFrame, least: int, most: int, average: float, order: str =
     return out.select(*(c for c in rows.columns if c not in ("low", "capacity")), (F.col("low") + F.col("add") + F.coalesce("extra", F.lit(0))).alias("limit"))
 
 
+def limit_stats(rows: DataFrame) -> DataFrame:
+    """One row: least, most and mean of the limits."""
+    return rows.agg(F.min("limit").alias("least"), F.max("limit").alias("most"), F.avg("limit").alias("mean"))
+
+
 def first_examples(examples: DataFrame, limits_: DataFrame, key: str = "line_no") -> DataFrame:
     """examples (key, rank, ...) up to each line's limit."""
     return examples.join(limits_.select(key, "limit"), key).where(F.col("rank") <= F.col("limit")).drop("limit")

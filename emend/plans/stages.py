@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import tags, text
 from ..operators import cleanup, edits, hints, m2, models, prompts, retrieval, vectors
 from ..operators.ordering import numbered
 from ..sources import readers, sinks
@@ -103,6 +103,11 @@ def prepare_estgec(spark: SparkSession, path: str, dataset: str = "estgec_train"
 RECIPES = {"en": prepare_wilocness, "bea19": prepare_wilocness, "de": prepare_falko_merlin, "ro": prepare_ronacc, "et": prepare_estgec}
 
 
+def label_lines(pairs: DataFrame) -> DataFrame:
+    """pairs (line_no, src, tgt) -> (line_no, src, tgt, label): the tagged line of each pair whose tags give back its target."""
+    return edits.with_tags(pairs).withColumn("label", tags.tagged_line(F.col("items"))).drop("items")
+
+
 # --- a run --------------------------------------------------------------------
 
 

@@ -76,6 +76,19 @@ def parallel(spark: SparkSession, source: str, target: str, cleaned: bool = True
     return out.where("trim(src) <> '' and trim(tgt) <> ''") if drop_blank else out
 
 
+def aligned(**tables: DataFrame) -> DataFrame:
+    """(line_no, a column for each table) of line tables; a line that one of them lacks is an error when it is read."""
+    names, out = list(tables), None
+    for name, rows in tables.items():
+        own = rows.select("line_no", F.col("value").alias(name))
+        out = own if out is None else out.join(own, "line_no", "full_outer")
+    there = F.lit(True)
+    for name in names:
+        there = there & F.col(name).isNotNull()
+    checked = F.when(there, F.col(names[0])).otherwise(F.raise_error(F.lit("the files have different numbers of lines")).cast("string"))
+    return out.withColumn(names[0], checked)
+
+
 def alternating(rows: DataFrame) -> DataFrame:
     """(line_no, src, tgt) from lines of which line 2k is the target and line 2k + 1 the source; an odd number of lines is an error."""
     pair = F.floor(F.col("line_no") / 2).cast("bigint")
@@ -216,6 +229,14 @@ def split_path(spark: SparkSession, folder: str, split: str) -> str | None:
     return None
 
 
+def dataset_state(spark: SparkSession, folder: str) -> str:
+    """split: a file for each split; raw: one file that is to be split; partial: some splits; missing."""
+    there = [s for s in ("train", "valid", "test") if any(exists(spark, f"{folder}/{s}.{e}") for e in ("json", "jsonl", "parquet"))]
+    if len(there) == 3:
+        return "split"
+    return "partial" if there else "raw" if exists(spark, f"{folder}/data.json") else "missing"
+
+
 def dataset_split(spark: SparkSession, folder: str, dataset: str, split: str) -> DataFrame:
     """One split; empty where it is missing."""
     path = split_path(spark, folder, split)

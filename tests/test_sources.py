@@ -128,11 +128,13 @@ def test_a_whole_run(spark, tmp_path):
     assert sites.count() == 6 and sites.first().key.endswith("go -> goes")
     lines = pairs.where("line_no < 4")
     test_sites = stages.site_vectors(lines, models.stub_encoder, -1, "en")
-    rows = stages.retrieved(lines, test_sites, sites, pairs, config.language("en"), 5, config.Run())
+    stored = lambda name, df: (sinks.write_table(df, str(tmp_path / name)), spark.read.parquet(str(tmp_path / name)))[1]  # noqa: E731  as the stage runner does
+    pairs, lines, sites, test_sites = (stored(n, df) for n, df in (("pairs", pairs), ("lines", lines), ("sites", sites), ("test_sites", test_sites)))
+    rows = stored("retrieval", stages.retrieved(lines, test_sites, sites, pairs, config.language("en"), 5, config.Run()))
     got = {r.id: len(r.in_domain_examples) for r in rows.collect()}
     assert got == {"0_conll14": 6, "1_conll14": 2, "2_conll14": 6, "3_conll14": 2}
     asked = stages.final_prompts(rows, config.Run(hints=True, template="hinted"))
-    answers = stages.answered(asked, models.stub_generator, "conll14")
+    answers = stored("answers", stages.answered(asked, models.stub_generator, "conll14"))
     assert {r.postprocess_reason for r in answers.collect()} == {"kept"}
     gold = readers.m2_annotations(readers.lines(spark, m2_file)).where("sent_idx < 4")
     said = answers.select(F.split("id", "_")[0].cast("bigint").alias("line_no"), "prediction")
@@ -163,3 +165,19 @@ def test_streamed_answers_are_given_once(spark, tmp_path):
     rows = spark.read.json(out)
     assert sorted(r.id for r in rows.collect()) == ["1", "2"]
     assert resume.progress(rows, 4).first().share == 0.5
+
+
+def test_aligned_tables_states_and_labels(spark, tmp_path):
+    rows = lambda *v: spark.createDataFrame(list(enumerate(v)), "line_no long, value string")
+    both = readers.aligned(src=rows("He go", "x"), tgt=rows("He goes", "x"), pred=rows("He go", "x"))
+    assert both.columns == ["line_no", "src", "tgt", "pred"] and both.count() == 2
+    with pytest.raises(Exception, match="different numbers"):
+        readers.aligned(a=rows("p", "q"), b=rows("p")).collect()
+    lines = stages.label_lines(both.select("line_no", "src", "tgt")).orderBy("line_no").collect()
+    assert lines[0].label == "$STARTSEPL|||SEPR$KEEP HeSEPL|||SEPR$KEEP goSEPL|||SEPR$REPLACE_goes" and lines[1].label.count("$KEEP") == 2
+    assert readers.dataset_state(spark, str(tmp_path)) == "missing"
+    write(tmp_path / "data.json", "[]")
+    assert readers.dataset_state(spark, str(tmp_path)) == "raw"
+    for split in ("train", "valid", "test"):
+        write(tmp_path / f"{split}.json", "[]")
+    assert readers.dataset_state(spark, str(tmp_path)) == "split"

@@ -232,20 +232,25 @@ def _as_items(value) -> list[Item]:
     return [(x["token"], list(x["tags"])) for x in value]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the session's shuffle partitions: aligning a sentence costs far more than moving it, and files may be few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def with_tags(pairs: DataFrame, source: str = "src", target: str = "tgt", verbs: T.Verbs | None = None, checked: bool = True) -> DataFrame:
     """pairs with `items`, their tags. Checked: pairs whose tags don't give back the target (white space apart) are left out, as are
     pairs with a null side or with a mark of the file format."""
 
+    forms = {(a, tag): b for (a, b), tag in verbs.items()} if verbs else None
+
     def work(a: str, b: str):
         found = align(a, b, verbs)
-        return None if found is None else [{"token": t, "tags": g} for t, g in found]
+        if found is None or checked and "".join(decode(found, forms).split()) != "".join(b.split()):
+            return None
+        return [{"token": t, "tags": g} for t, g in found]
 
-    out = _with(pairs.where(F.col(source).isNotNull() & F.col(target).isNotNull()), work, [source, target], "items", ITEMS).where("items is not null")
-    if not checked:
-        return out
-    forms = {(a, tag): b for (a, b), tag in verbs.items()} if verbs else None
-    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
-    return with_decoded(out, "__made", forms).where(bare(F.col("__made")) == bare(F.col(target))).drop("__made")
+    known = spread(pairs.where(F.col(source).isNotNull() & F.col(target).isNotNull()))
+    return _with(known, work, [source, target], "items", ITEMS).where("items is not null")
 
 
 def with_decoded(tagged: DataFrame, name: str = "decoded", forms: T.Verbs | None = None) -> DataFrame:

@@ -452,7 +452,7 @@ def scores_prf(spark, sf_dir):
 def vote_types(spark, sf_dir):
     """Hint types of all derived pairs, and how often each is voted for."""
     rows = pairs(spark, sf_dir).select(F.col("doc_id").alias("line_no"), F.col("sent").alias("id"), F.col("src").alias("text"), F.col("tgt").alias("label"), F.lit("").alias("key"), F.lit(1.0).alias("similarity"), F.lit("documents").alias("from"))
-    return hints.ranked_types(hints.votes(rows), most=3).groupBy("hint_type", "rank").agg(F.count("*").alias("documents"), F.sum("votes").alias("votes"))
+    return hints.ranked_types(hints.votes(edits.spread(rows)), most=3).groupBy("hint_type", "rank").agg(F.count("*").alias("documents"), F.sum("votes").alias("votes"))
 
 
 _TYPES = ("R:VERB:SVA", "M:DET", "U:PUNCT", "R:NOUN:NUM", "R:SPELL", "R:WO", "R:OTHER", "R:VERB", "R:ADV")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.matching import Matcher
 from ..functions.text import extract_answer, words
 
 #: Least likeness of an answer to its source, by dataset.
@@ -24,18 +23,10 @@ def length_guard(prediction: Column, source: Column, factor: float = 1.75, more:
     return F.when(p > F.greatest(F.floor(s * factor), s + more), source).otherwise(prediction)
 
 
-#: Letters up to which texts are compared letter by letter; longer ones word by word, words weighing their letters.
-MOST_LETTERS = 2000
-
-
 def likeness(a: str, b: str) -> float:
     """Share of matching letters, white space apart; 1 for two empty texts."""
-    x, y = (a or "").split(), (b or "").split()
-    a, b = "".join(x), "".join(y)
-    if max(len(a), len(b)) > MOST_LETTERS:
-        same = SequenceMatcher(a=x, b=y, autojunk=True).get_matching_blocks()
-        return 2 * sum(len(w) for m in same for w in x[m.a : m.a + m.size]) / (len(a) + len(b))
-    return SequenceMatcher(a=a, b=b, autojunk=False).ratio() if a or b else 1.0
+    a, b = "".join((a or "").split()), "".join((b or "").split())
+    return Matcher(a, b).ratio() if a or b else 1.0
 
 
 @F.pandas_udf(T.DoubleType())

@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,10 @@ ITEMS = "array<struct<token:string,tags:array<string>>>"
 SITES = "array<struct<side:string,bucket:string,src_pos:int,tgt_pos:int,diff:string>>"
 
 
-#: Tokens times words of a changed block up to which the best spans are sought; larger blocks are paired in order.
-MOST_CELLS = 1600
+#: Tokens times words of a changed block up to which its spans are priced one by one; either way gives the same spans.
+FEW_CELLS = 8
+#: Starts of spans held at once while those of a large block are traced back; those of a larger one are made again, part by part.
+MOST_STARTS = 1 << 24
 
 
 @lru_cache(1 << 16)
@@ -43,9 +46,8 @@ def spans(tokens: Sequence[str], words: Sequence[str], verbs: T.Verbs | None = N
 
     A span costs nothing if one tag makes it of the token, else the letters that differ. Of equal costs the earlier start wins.
     """
-    if len(tokens) * len(words) > MOST_CELLS:
-        last = len(tokens) - 1
-        return [(min(i, len(words)), len(words) if i == last else min(i + 1, len(words))) for i in range(len(tokens))]
+    if len(tokens) * len(words) > FEW_CELLS:
+        return _spans_by_letters(tokens, words, verbs)
 
     @lru_cache(None)
     def cost(i: int, j: int, k: int) -> int:
@@ -69,6 +71,78 @@ def spans(tokens: Sequence[str], words: Sequence[str], verbs: T.Verbs | None = N
     return out[::-1]
 
 
+def _spans_by_letters(tokens: Sequence[str], words: Sequence[str], verbs: T.Verbs | None) -> list[tuple[int, int]]:
+    """spans() in time of the letters of either side multiplied: all spans of a token are priced in one pass over the letters of the words.
+
+    A number cost * unit + start holds the least cost of the ends so far and, of equal ones, the earliest start.
+    """
+    text, unit = "   ".join(words), len(words) + 1
+    far = len(text) + sum(map(len, tokens)) + 1  # more than any cost
+    kind = np.int32 if 4 * far * unit < 1 << 31 else np.int64
+    ends = np.cumsum([len(w) + 3 for w in words]) - 3
+    starts = ends - [len(w) for w in words]
+    letters = np.array([ord(c) for c in text])
+    ramp, number = np.arange(len(text) + 1, dtype=kind) * kind(unit), np.arange(unit, dtype=kind)
+    differs = {c: (letters != ord(c)).astype(kind) * kind(unit) for c in {c for t in tokens for c in t}}
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(words):
+        places.setdefault(w, []).append(j)
+    cases: dict[str, list[str]] = {}
+    for w in places:
+        cases.setdefault(w.lower(), []).append(w)
+
+    @lru_cache(None)
+    def free(token: str) -> list[tuple[int, np.ndarray]]:
+        """(words, starts) of the spans that one tag makes of the token."""
+        found = [(0, number)] if T.transform(token, [], verbs) else []
+        likely = {*cases.get(token.lower(), ()), token + "s", token[:-1], *(w for w in places if verbs and (token, w) in verbs)}
+        found += [(1, np.array(places[w])) for w in likely if w in places and T.transform(token, [w], verbs)]
+        if (n := len(parts := token.split("-"))) > 1:
+            found += [(n, np.array([j])) for j in places.get(parts[0], ()) if list(words[j : j + n]) == parts]
+        return found
+
+    def after(token: str, costs: np.ndarray) -> np.ndarray:
+        begun = costs * kind(unit) + number
+        row = np.full(len(text) + 1, 2 * far * unit, dtype=kind)
+        row[starts] = begun[:-1]
+        row = np.minimum.accumulate(row - ramp) + ramp
+        for c in token:
+            step = row + kind(unit)
+            np.minimum(step[1:], row[:-1] + differs[c], out=step[1:])
+            step -= ramp
+            np.minimum.accumulate(step, out=row)
+            row += ramp
+        best = begun + kind(unit * len(token))
+        np.minimum(best[1:], row[ends], out=best[1:])
+        for n, at in free(token):
+            best[at + n] = np.minimum(best[at + n], begun[at])
+        return best
+
+    part = max(1, MOST_STARTS // unit)
+    costs = np.full(unit, far, dtype=kind)
+    costs[0] = 0
+    before, held = [], []  # costs before each part; starts of the last part's spans
+    for i, token in enumerate(tokens):
+        if i % part == 0:
+            before.append(costs)
+            held = []
+        best = after(token, costs)
+        costs = best // kind(unit)
+        held.append((best % kind(unit)).astype(np.int32))
+    out, end = [], len(words)
+    for i in reversed(range(len(tokens))):
+        if not held:
+            costs = before[i // part]
+            for token in tokens[i - i % part : i + 1]:
+                best = after(token, costs)
+                costs = best // kind(unit)
+                held.append((best % kind(unit)).astype(np.int32))
+        start = int(held.pop()[end])
+        out.append((start, end))
+        end = start
+    return out[::-1]
+
+
 def _token_tags(token: str, words: Sequence[str], verbs: T.Verbs | None) -> tuple[list[str], list[str]]:
     """(tags for the token before, tags for this token) that turn the token into the words."""
     if not words:

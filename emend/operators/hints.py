@@ -11,8 +11,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens beyond which very frequent ones don't anchor a comparison.
-MOST_TOKENS = 500
+from ..functions.matching import Matcher
+
 ARTICLES = frozenset(("a", "an", "the"))
 PREPOSITIONS = frozenset(("of", "to", "in", "on", "at", "for", "from", "with", "by"))
 #: Further function words.
@@ -40,7 +40,7 @@ def is_english(source: Column) -> Column:
 def span(source: str, target: str, fallback: str = "") -> str:
     """The largest change of tokens as `old -> new` (or the side that is there); without one the fallback's last field."""
     a, b = (source or "").split(), (target or "").split()
-    changes = [(" ".join(a[i:j]), " ".join(b[k:m])) for kind, i, j, k, m in SequenceMatcher(a=a, b=b, autojunk=len(a) > MOST_TOKENS).get_opcodes() if kind != "equal"]
+    changes = [(" ".join(a[i:j]), " ".join(b[k:m])) for kind, i, j, k, m in Matcher(a, b).get_opcodes() if kind != "equal"]
     if not changes:
         return " ".join((fallback or "").split("\t", 1)[-1].split())
     old, new = max(changes, key=lambda c: max(map(len, c)))

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from emend.functions import matching
-from emend.operators import cleanup
+from emend.operators import cleanup, hints
 
 LETTERS = st.text("abc", max_size=40)
 
@@ -33,3 +33,10 @@ def test_likeness_is_of_letters_at_every_length():
     distinct = [f"word{i}" for i in range(400)]
     spoilt = [w[:-1] + "q" if i % 3 == 0 else w for i, w in enumerate(distinct)]
     assert cleanup.likeness(" ".join(distinct), " ".join(spoilt)) == SequenceMatcher(None, "".join(distinct), "".join(spoilt), autojunk=False).ratio() > 0.9
+
+
+def test_span_of_a_long_text_is_the_change_alone():
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "zeta"]
+    source = [words[i * i * i % 7] if i % 5 else words[7] for i in range(600)]
+    target = [*source[:6], "other", *source[7:]]
+    assert hints.span(" ".join(source), " ".join(target)) == f"{source[6]} -> other"

@@ -194,6 +194,36 @@ def test_mix_agrees_with_its_sql(spark, tmp_path):
     assert sorted(key(r) for r in mixing.op5_mix(spark, str(tmp_path)).collect()) == want
 
 
+def test_inclusion_follows_the_probabilities(spark):
+    # 150 sources with the same sizes, each a draw of its own; what the first cut leaves goes to one or two small documents of a source
+    sizes = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89] * 20 + [700]
+    rows = [(1000 * s + i, "w " * n, f"s{s:03}") for s in range(150) for i, n in enumerate(sizes)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,)).collect()
+    share, p, n = Counter(), {}, Counter()
+    for r in got:
+        share[r.size] += r.copies - 1
+        n[r.size] += 1
+        p.setdefault(r.size, r.p)
+        assert abs(p[r.size] - r.p) < 1e-9 and abs(r.target - 1.5 * r.source_size) < 1e-6
+    words = sum(sizes)
+    assert abs(sum(p[s] * s for s in sizes) - words / 2) < 1e-6 and p[700] == 1 and 0 < p[1] < p[89] < 1
+    assert p[34] / p[2] == pytest.approx(17) and share[700] == n[700]
+    for s in set(sizes) - {700}:
+        assert abs(share[s] / n[s] - p[s]) < 0.04, (s, share[s] / n[s], p[s])
+
+
+def test_shuffled_probabilities_change_the_choice(spark):
+    sizes = [5 + 7 * i % 90 for i in range(200)]
+    pick = lambda own: {r.doc_id for r in mixing.mix(spark.createDataFrame([(i, "w " * s, "a") for i, s in enumerate(own)], "doc_id long, text string, source string"), weights=(1,)).collect() if r.copies == 2}
+    assert pick(sizes) != pick(sizes[::-1])
+
+
+def test_a_long_document_can_be_drawn(spark):
+    rows = [(i, "w " * 10, "a") for i in range(10)] + [(10, "w " * 10_000, "a"), (11, "w " * 15_486, "b")]
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,)).collect()}
+    assert got[10].p > 0.9 and sum(r.taken for r in got.values() if r.doc_id != 11) >= 20_000
+
+
 # --- sharding -----------------------------------------------------------------
 
 

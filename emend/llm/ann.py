@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: Gaussian (2-stable) projections to few dimensions, indexed by a kd-tree.
 
 The squared projected distance of two vectors over their squared distance follows a chi-square law with as many degrees of freedom as there are
-projected dimensions. A query meets its projected neighbours in order, box by box of the tree, and checks each by its true distance;
-it stops when the next box is so far that a vector nearer than the kth found would lie there with a small probability only.
+projected dimensions. The tree gives a query its projected neighbours in order, and each is verified by its true distance; the search
+stops when the next one is so far that a vector nearer than the kth found would be projected there with a small probability only.
 
 The upper levels of the tree, placed by a bounded sample, are the cells in which all vectors are stored; the lower levels are built in the cell's task.
 A query is first searched in its own cell; its kth distance then says which other cells the test can't rule out.
@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .vectors import CELL_ROWS, MOST_CELLS, best, matrix, meet, queries_of, sample, valid
+from .vectors import CELL_ROWS, best, cells_for, matrix, meet, queries_of, sample, valid
 
 #: Projected dimensions (even), vectors in a box of the tree, and the probability that the test leaves for missing one.
-DIMENSIONS, BOX, MISS = 8, 64, 0.04
+DIMENSIONS, BOX, MISS = 16, 64, 0.06
+#: Projected neighbours that are verified between two tests.
+STEP = 32
 
 
 def chi_square_below(x: float, m: int) -> float:
@@ -43,6 +45,16 @@ def stop_ratio(m: int = DIMENSIONS, miss: float = MISS) -> float:
     return high
 
 
+def projected(x: np.ndarray, project: np.ndarray) -> np.ndarray:
+    """Rounded, so that equal vectors are projected alike whatever block they come in."""
+    return np.round(x @ project, 9)
+
+
+def slack(p: np.ndarray) -> float:
+    """What rounding may add to a squared projected distance."""
+    return 1e-7 * (1 + float((p * p).sum()) ** 0.5)
+
+
 def projection(d: int, m: int = DIMENSIONS, seed: int = 5) -> np.ndarray:
     return np.random.RandomState(seed).standard_normal((d, m))
 
@@ -90,28 +102,52 @@ def gaps(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (off * off).sum(1)
 
 
+class ProjectedTree:
+    """The boxes of a kd-tree over projected points."""
+
+    def __init__(self, y: np.ndarray):
+        self.y, self.boxes = y, list(boxes_of(y, np.arange(len(y))))
+        self.low, self.high = (np.array([f(y[b], axis=0) for b in self.boxes]) for f in (np.min, np.max))
+
+    def in_order(self, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(squared projected distances, points) by rising distance, a part at a time: all that lie before the next box that isn't open."""
+        near = gaps(p, self.low, self.high)
+        order = np.argsort(near, kind="stable")
+        points, dist, at, step = np.empty(0, np.int64), np.empty(0), 0, 2
+        while at < len(order):
+            own = np.concatenate([self.boxes[b] for b in order[at : at + step]])
+            at, step = at + step, 2 * step
+            points, dist = np.concatenate((points, own)), np.concatenate((dist, ((self.y[own] - p) ** 2).sum(1)))
+            ready = dist <= (near[order[at]] if at < len(order) else np.inf)
+            rank = np.argsort(dist[ready], kind="stable")
+            yield dist[ready][rank], points[ready][rank]
+            points, dist = points[~ready], dist[~ready]
+
+
+def neighbours(tree: ProjectedTree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, p: np.ndarray, own_id: int, k: int, ratio: float, reach: float = np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids, distances) of the k nearest found, nearest first, and how many vectors were verified. reach: a kth distance that is known already."""
+    got, dist, kth, verified, more = np.empty(0, np.int64), np.empty(0), reach, 0, slack(p)
+    for far, points in tree.in_order(p):
+        for at in range(0, len(points), STEP):
+            if far[at] > ratio * kth * kth + more:
+                return got, dist, verified
+            own = points[at : at + STEP]
+            own = own[ids[own] != own_id]
+            verified += len(own)
+            got, dist = np.concatenate((got, ids[own])), np.concatenate((dist, np.sqrt(((x[own] - q) ** 2).sum(1))))
+            keep = np.lexsort((got, dist))[:k]
+            got, dist = got[keep], dist[keep]
+            if len(got) == k:
+                kth = min(reach, float(dist[-1]))
+    return got, dist, verified
+
+
 def _search(asked: pd.DataFrame, rows: pd.DataFrame, k: int, ratio: float) -> pd.DataFrame:
     out = {"query_id": [], "vec_id": [], "score": []}
     if len(asked) and len(rows):
-        ids, x, y = rows["vec_id"].to_numpy(np.int64), matrix(rows["v"]), matrix(rows["y"])
-        boxes = list(boxes_of(y, np.arange(len(ids))))
-        low, high = (np.array([f(y[b], axis=0) for b in boxes]) for f in (np.min, np.max))
+        ids, x, tree = rows["vec_id"].to_numpy(np.int64), matrix(rows["v"]), ProjectedTree(matrix(rows["y"]))
         for qid, q, p, reach in zip(asked["vec_id"], asked["v"], asked["y"], asked["reach"], strict=True):
-            near = gaps(p, low, high)
-            order = np.argsort(near, kind="stable")
-            got, dist = np.empty(0, np.int64), np.empty(0)
-            kth, at = reach, 0
-            while at < len(order) and near[order[at]] <= ratio * kth * kth:
-                step = 4 if len(got) < k else 8
-                own = np.concatenate([boxes[b] for b in order[at : at + step] if near[b] <= ratio * kth * kth])
-                at += step
-                own = own[ids[own] != qid]
-                d = np.sqrt(((x[own] - q) ** 2).sum(1))
-                got, dist = np.concatenate((got, ids[own])), np.concatenate((dist, d))
-                keep = np.lexsort((got, dist))[:k]
-                got, dist = got[keep], dist[keep]
-                if len(got) == k:
-                    kth = min(reach, float(dist[-1]))
+            got, dist, _ = neighbours(tree, x, ids, q, p, qid, k, ratio, reach)
             out["query_id"].append(np.full(len(got), qid)), out["vec_id"].append(got), out["score"].append(dist)
     return pd.DataFrame({c: np.concatenate(v) if v else np.empty(0, np.float64 if c == "score" else np.int64) for c, v in out.items()})
 
@@ -127,21 +163,21 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, dimensions: int =
     """
     spark = vectors.sparkSession
     own = valid(vectors, zero=False)
-    some, n = sample(own)
-    if not n:
+    if not (n := own.count()):
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    project, ratio = projection(some.shape[1], dimensions), stop_ratio(dimensions, miss)
-    depth = max(0, min(int(log2(MOST_CELLS)), ceil(log2(max(1.0, n / (CELL_ROWS / 4))))))
-    dims, values = split_tree(some @ project, depth)
+    cells_ = cells_for(n, CELL_ROWS // 4)
+    some = sample(own, cells_, n)
+    project, ratio, depth = projection(some.shape[1], dimensions), stop_ratio(dimensions, miss), ceil(log2(cells_))
+    dims, values = split_tree(projected(some, project), depth)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            y = matrix(rows["v"]) @ project if len(rows) else np.empty((0, dimensions))
+            y = projected(matrix(rows["v"]), project) if len(rows) else np.empty((0, dimensions))
             yield rows.assign(cell=leaf_of(y, dims, values).astype(np.int32), y=list(y))
 
     cells = durable(own.mapInPandas(place, "vec_id bigint, v array<double>, cell int, y array<double>"), "cells")
     edges = [f(F.col("y")[i]).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(dimensions)]
-    found = cells.groupBy("cell").agg(*edges).orderBy("cell").collect()  # at most MOST_CELLS rows
+    found = cells.groupBy("cell").agg(*edges).orderBy("cell").collect()  # a row for each cell
     names = np.array([r["cell"] for r in found], np.int32)
     low, high = (np.array([[r[f"{x}{i}"] for i in range(dimensions)] for r in found]) for x in ("low", "high"))
 
@@ -154,7 +190,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, dimensions: int =
         for rows in batches:
             parts = []
             for i, (p, reach, own_cell) in enumerate(zip(rows["y"], rows["reach"], rows["cell"], strict=True)):
-                to = names[(gaps(p, low, high) <= ratio * reach * reach) & (names != own_cell)]
+                to = names[(gaps(p, low, high) <= ratio * reach * reach + slack(p)) & (names != own_cell)]
                 parts.append(pd.DataFrame({"i": i, "to": to}))
             if parts:
                 to = pd.concat(parts)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Vectors and queries that one task compares at a time.
 CELL_ROWS, CELL_QUERIES = 16_000, 4_000
-#: Vectors that the driver takes to place the cells, and cells at most.
-SAMPLE, MOST_CELLS = 8_000, 1_024
+#: Vectors for each cell that the driver takes to place the cells, the fewest it takes, and cells at most. Beyond these cells grow and are dealt into more parts.
+PER_CELL, LEAST_SAMPLE, MOST_CELLS = 8, 4_000, 4_096
 
 
 def valid(vectors: DataFrame, zero: bool) -> DataFrame:
@@ -31,14 +31,17 @@ def valid(vectors: DataFrame, zero: bool) -> DataFrame:
     return out.where(F.size("v") == d)
 
 
-def sample(vectors: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, int]:
-    """At most `most` vectors, chosen by a hash of their ids, and how many there are."""
-    n = vectors.count()
-    if not n:
-        return np.empty((0, 0)), 0
-    share = min(1.0, most / n)
-    rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).collect()
-    return np.array([r["v"] for r in rows]), n
+def cells_for(n: int, rows: int) -> int:
+    """How many cells of about that many rows n vectors are dealt into."""
+    return max(1, min(MOST_CELLS, -(-n // rows)))
+
+
+def sample(vectors: DataFrame, cells: int, n: int) -> np.ndarray:
+    """At most PER_CELL vectors for each cell (LEAST_SAMPLE at least), chosen by a hash of their ids."""
+    most = max(LEAST_SAMPLE, PER_CELL * cells)
+    share = min(1.0, most / max(1, n))
+    rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).collect()
+    return np.array([r["v"] for r in rows])
 
 
 def is_query(every: int = 100) -> Column:
@@ -55,11 +58,12 @@ def meet(routed: DataFrame, cells: DataFrame, search: Callable[[pd.DataFrame, pd
     """Search each query in each cell that it is routed to.
 
     routed (cell, ...), cells (cell, ...). A cell of many rows is dealt into parts, and so are its queries; each part of one meets each
-    part of the other, so no task holds more than CELL_ROWS rows and CELL_QUERIES queries, by much.
+    part of the other, so no task holds more than CELL_ROWS rows and CELL_QUERIES queries, by much. The numbers of parts, at most MOST_CELLS
+    rows, go to all executors, so that neither side is dealt by its cell alone.
     """
     rows = cells.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("rows"))
     asked = routed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("asked"))
-    parts = rows.join(asked, "cell")
+    parts = F.broadcast(rows.join(asked, "cell"))
     steps = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     few = routed.join(parts, "cell").withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("asked")).cast("int")).withColumn("p", steps("rows")).drop("rows", "asked")
     many = cells.join(parts, "cell").withColumn("p", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("rows")).cast("int")).withColumn("q", steps("asked")).drop("rows", "asked")

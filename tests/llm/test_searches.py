@@ -90,7 +90,81 @@ def test_cover_tree():
         return np.concatenate([tree.own[n], *(below(c) for c in tree.children[n])])
 
     for n in range(len(tree.centre)):
-        assert np.sqrt(((x[below(n)] - tree.centres[n]) ** 2).sum(1)).max() <= tree.radii[n] * (1 + 1e-9)
+        own = below(n).astype(int)
+        assert sorted(own) == sorted(tree.below[n]) and np.sqrt(((x[own] - tree.centres[n]) ** 2).sum(1)).max() <= tree.radii[n] * (1 + 1e-9)
+        centres = tree.centres[tree.children[n]]
+        if len(centres) > 1:  # a net: centres are as far apart as the points below are from theirs
+            apart = np.sqrt(((centres[:, None] - centres) ** 2).sum(2))[np.triu_indices(len(centres), 1)].min()
+            assert apart >= tree.radii[tree.children[n]].max() * (1 - 1e-9)
+
+
+def clusters(n=6000, d=64, k=80, spread=0.05, seed=0):
+    rng = np.random.RandomState(seed)
+    centres = rng.randn(k, d)
+    return centres[rng.randint(0, k, n)] / np.sqrt(d) + rng.randn(n, d) * spread
+
+
+def whole_search(x, ids, k=10):
+    at = np.flatnonzero(ids % 100 == 0)
+    return topk.DualSearch(topk.CoverTree(x[at], topk.QUERY_LEAF), topk.CoverTree(x), ids[at], ids, np.full(len(at), -np.inf), k)
+
+
+def test_bounds_hold():
+    rng = np.random.RandomState(8)
+    x = np.floor(rng.randn(400, 3) * rng.choice([1, 30, 900], (400, 1)))
+    x[7] = 0
+    q, d = topk.CoverTree(x[:60], 2), topk.CoverTree(x)
+    search = topk.DualSearch(q, d, np.empty(0, np.int64), np.arange(400), np.full(60, -np.inf), 5)
+    for n in range(len(q.centre)):
+        top = search.bounds(n, np.arange(len(d.centre)))
+        for m in range(len(d.centre)):
+            assert (x[q.below[n]] @ x[d.below[m]].T).max() <= top[m]
+
+
+def test_trees_prune_on_clusters(spark):
+    x = np.floor(1024 * clusters())
+    ids = np.arange(len(x))
+    search = whole_search(x, ids)
+    share = search.compared / len(search.qids) / len(x)
+    assert share < 0.2
+    want = brute(x, ids, 10, lambda a, q: (a @ q).astype(int), True)
+    assert {int(q): list(zip(*(c.tolist() for c in f))) for q, f in zip(search.qids, search.found, strict=True)} == want
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding is not null").collect()
+    rows = sorted((r.vec_id, r.embedding) for r in t if r.embedding and len(r.embedding) == 64 and None not in r.embedding)
+    y = np.floor(1024 * np.array([v for _, v in rows], float))
+    even = whole_search(y, np.array([i for i, _ in rows]))
+    print(f"pairs compared: {share:.1%} on clusters, {even.compared / len(even.qids) / len(y):.1%} on embeddings")
+    assert even.compared < len(even.qids) * len(y)
+
+
+def test_the_stopping_test_stops():
+    x = clusters(seed=1)
+    ids = np.arange(len(x))
+    y = ann.projected(x, ann.projection(x.shape[1]))
+    tree, ratio, verified, hit = ann.ProjectedTree(y), ann.stop_ratio(), 0, 0
+    want = brute(x, ids, 10, distance, False)
+    for q in want:
+        got, _, n = ann.neighbours(tree, x, ids, x[q], y[q], q, 10, ratio)
+        verified += n
+        hit += len(set(got.tolist()) & {i for i, _ in want[q]})
+    assert verified < 0.2 * len(want) * len(x) and hit >= 0.9 * 10 * len(want)
+
+
+def test_projected_neighbours_come_in_order():
+    y = np.random.RandomState(3).randn(1500, 4)
+    tree = ann.ProjectedTree(y)
+    parts = list(tree.in_order(y[5] + 0.1))
+    dist, points = np.concatenate([d for d, _ in parts]), np.concatenate([p for _, p in parts])
+    assert sorted(points.tolist()) == list(range(1500)) and (np.diff(dist) >= 0).all()
+
+
+def test_many_copies_of_one_vector(spark):
+    rng = np.random.RandomState(6)
+    x = rng.randn(1200, 8)
+    x[rng.permutation(1200)[:500]] = x[0]
+    want = brute(x, np.arange(1200), 10, distance, False)
+    got = results(ann.nearest(table(spark, x)))
+    assert got.keys() == want.keys() and all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want if (x[q] == x[0]).all())
 
 
 def test_large_numbers_stay_exact():

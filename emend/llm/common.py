@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,33 +24,89 @@ def n_words(text) -> F.Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Unset (tests on one machine): a temporary one."""
+    """The folder that driver and executors share. Unset on one machine (tests): a temporary one; unset on a cluster: an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='emend-')}"
         spark.conf.set("spark.checkpoint.dir", found)
+        _delete_at_exit(spark, found)
     return found.rstrip("/")
 
 
+def _delete(path: str, jvm, conf) -> None:
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def delete() -> None:
+        try:
+            _delete(path, jvm, conf)
+        except (Py4JError, OSError):  # the JVM has ended before the driver
+            pass
+
+    atexit.register(delete)
+
+
+_run_dirs: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver ends."""
+    found = f"{shared_dir(spark)}/emend-{spark.sparkContext.applicationId}"
+    if found not in _run_dirs:
+        _run_dirs.add(found)
+        _delete_at_exit(spark, found)
+    return found
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder: lost executors cost no recomputation, and lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
+def drop(*tables: DataFrame) -> None:
     """Delete what durable() wrote, once nothing reads it any more."""
-    path = getattr(df, "_durable_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for df in tables:
+        if path := getattr(df, "_durable_path", None):
+            _delete(path, df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration())
+
+
+#: Rows of one key that may meet in one task, and the most keys that have more: these go to all executors.
+TOGETHER, MOST_HOT = 1_000, 50_000
+
+
+def joined_by_key(many: DataFrame, one: DataFrame, key: str, rows: str) -> DataFrame:
+    """many joined with one, a durable table with a row for each key and the number of its rows in many, which is left out.
+
+    Keys with most rows are broadcast with their row of `one`, so that no task gets all rows of one; as the numbers add up to the rows of
+    many, these are MOST_HOT keys at most.
+    """
+    total = one.agg(F.sum(rows)).first()[0] or 0
+    hot = F.col(rows) > max(TOGETHER, total // MOST_HOT)
+    few, rest = one.where(hot).drop(rows), one.where(~hot).drop(rows)
+    if few.isEmpty():
+        return many.join(rest, key)
+    return many.join(F.broadcast(few), key).unionByName(many.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))
 
 
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Let Arrow batches to Python end at `size` bytes, so that workers hold few texts at once, however long these are."""
+    """Let Arrow batches to Python end at `size` bytes, for the rest of the session, so that workers hold few texts at once, however long these are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, durable
+from .common import drop, durable, joined_by_key
 
 
 def _round(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round over distinct edges (u, v), u > v. Hubs are met by an aggregate and a join, not by one task."""
+    """One star round over distinct edges (u, v), u > v. Hubs meet their least neighbour by a broadcast, not in one task."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    least = durable(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+    joined = joined_by_key(both, least, "u", "n")
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    out = durable(out.where("u <> v").distinct(), "links")
+    drop(least)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -29,9 +31,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = _mark(edges)
     for _ in range(most_rounds):
-        new = durable(_round(_round(edges, True), False), "links")
+        large = _round(edges, True)
+        new = _round(large, False)
         now = _mark(new)
-        drop(edges)
+        drop(edges, large)
         edges = new
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

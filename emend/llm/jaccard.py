@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, durable, small_batches
+from .common import drop, durable, joined_by_key, small_batches
 from .components import components
 from .shingles import U, mixed, set_hash, shingle_sets
 
@@ -406,10 +406,16 @@ class _Join:
         return met.groupBy("pool", "lo", "hi").applyInPandas(lambda rows: _joined(rows, sim), "a bigint, b bigint")
 
     def result(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        each = nodes.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        least = each.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-        out = each.join(least, "label", "left")
-        return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+        """Each document with the least id of its component: first that of equal sets, then that of linked ones."""
+        each = nodes.select("doc_id", F.col("n").alias("n_shingles"), "node")
+        own = durable(each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "least")
+        known = durable(own.join(labels, "node"), "labelled")
+        least = durable(known.groupBy("label").agg(F.min("least").alias("first"), F.count("*").alias("nodes")), "first")
+        first = joined_by_key(known.select("node", "label", "rows"), least, "label", "nodes").select("node", F.col("first").alias("least"), "rows")
+        first = durable(first.union(own.join(labels, "node", "left_anti").select("node", "least", "rows")), "components")
+        drop(own, known, least)
+        linked = joined_by_key(each.where("node is not null"), first, "node", "rows").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+        return linked.unionByName(each.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:

@@ -6,7 +6,8 @@ assistant text is a target once. A turn of its own that exceeds the budget stays
 
 The template writes `<turn role="...">`, a line break, the text, `</turn>`, a line break. Inside texts a backslash goes before each
 backslash, `<turn` and `</turn`, inside roles before each backslash and quote; taking away one backslash before any sign undoes both.
-Turns are streamed in order, so a conversation of any length needs no more memory than a window.
+Turns are streamed in order, so a conversation of any length needs no more memory than a window. Tokens are words: a text without blanks is one
+token however long it is, so the budget bounds a window's words, not its bytes.
 """
 
 from __future__ import annotations
@@ -51,18 +52,24 @@ class Turn:
 class Window:
     """Formatted text, the spans of it (code points) that are targets, and what it holds."""
 
-    text: str = ""
+    parts: list[str] = field(default_factory=list)
+    chars: int = 0
     loss: list[tuple[int, int]] = field(default_factory=list)
     new: int = 0
     tokens: int = 0
 
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
     def add(self, turn: Turn, again: bool) -> None:
         head = f'<turn role="{_ROLE_CONTROL.sub(r"\\\g<0>", turn.role)}"{" again" if again else ""}>\n'
         body = escape(turn.text)
-        at = len(self.text) + len(head)
+        at = self.chars + len(head)
         if turn.role == "assistant" and not again and body:
             self.loss.append((at, at + len(body)))
-        self.text += f"{head}{body}</turn>\n"
+        self.parts.append(f"{head}{body}</turn>\n")
+        self.chars += len(self.parts[-1])
         self.tokens += turn.tokens
         self.new += not again
 
@@ -151,7 +158,7 @@ def _format(batches, schema: pa.Schema, budget: int, history: int) -> Iterator[p
         for k, w in enumerate(windows((Turn(*r[1:]) for r in rows), budget, history)):
             for c, v in zip(out, (conv, k, w.text, [{"start": a, "end": b} for a, b in w.loss], w.new, w.tokens, w.tokens > budget), strict=True):
                 c.append(v)
-            held += len(w.text)
+            held += w.chars
             if held > 4_000_000:
                 yield batch()
                 out, held = [[] for _ in schema], 0
@@ -195,9 +202,14 @@ def _digests(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v]) if v is not None else pa.nulls(1, pa.int64()) for v in one], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Formatted windows -> for each conversation what they say: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    rows = formatted.select("conv_id", "window", "text", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+def read_back(formatted: DataFrame, dealt: bool = False) -> DataFrame:
+    """Formatted windows -> for each conversation what they say: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    dealt: the windows come straight from format_chat(), a conversation's together and in order, and needn't be dealt again.
+    """
+    rows = formatted.select("conv_id", "window", "text", "loss")
+    if not dealt:
+        rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
     conv = formatted.schema["conv_id"].dataType.simpleString()
     return rows.select("conv_id", "text", "loss").mapInArrow(_digests, f"conv_id {conv}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
@@ -211,7 +223,7 @@ def op1_chat_format(spark, sf_dir: str) -> DataFrame:
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(EXTRA, "conv_id bigint, turn bigint, role string, text string")
-    return read_back(format_chat(turns.unionByName(extra)))
+    return read_back(format_chat(turns.unionByName(extra)), dealt=True)
 
 
 OP1_SQL = rf"""

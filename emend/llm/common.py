@@ -89,6 +89,14 @@ def drop(*tables: DataFrame) -> None:
             _delete(path, df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration())
 
 
+def repeated(df: DataFrame, times: str, nth: str, part: int = 10_000) -> DataFrame:
+    """Each row as often as `times` says, numbered from 0 in `nth`; numbers are made in two steps, so that no array is long."""
+    upto = lambda last: F.explode(F.sequence(F.lit(0).cast("bigint"), last))
+    out = df.withColumn("__of", upto(F.floor((F.col(times) - 1) / part)))
+    out = out.withColumn("__nth", upto(F.least(F.lit(part - 1), F.col(times) - 1 - F.col("__of") * part)))
+    return out.withColumn(nth, F.col("__of") * part + F.col("__nth")).drop("__of", "__nth", times)
+
+
 #: Rows of one key that may meet in one task, and the most keys that have more: these go to all executors.
 TOGETHER, MOST_HOT = 1_000, 50_000
 

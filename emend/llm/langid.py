@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from .common import small_batches
 
-#: Training texts of one language at most, and characters of each that are read in training; prediction reads whole texts.
-PER_LANGUAGE, TRAINING_CHARS = 800, 20_000
+#: Training texts of one language at most: the only sample. Whole texts are read, in training as in prediction.
+PER_LANGUAGE = 800
 #: Hashed features.
 FEATURES = 4096
 #: Bytes of text that are looked up together.
@@ -32,7 +32,9 @@ _fold = np.full(256, 32, np.uint8)
 _fold[128:] = np.arange(128, 256)
 _fold[97:123] = np.arange(97, 123)
 _fold[65:91] = np.arange(97, 123)
-_LETTER = regex.compile(r"\p{L}")
+#: A letter of any script.
+LETTER = r"\p{L}"
+_LETTER = regex.compile(LETTER)
 
 
 def trigrams(data: bytes) -> np.ndarray:
@@ -45,12 +47,18 @@ def trigrams(data: bytes) -> np.ndarray:
     return np.where(blank, 0, (code >> np.uint32(20)) % np.uint32(FEATURES - 1) + 1).astype(np.int64)
 
 
-def frequencies(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(texts), FEATURES), np.float32)
-    for row, t in zip(out, texts, strict=True):
-        codes = trigrams(t)
-        counts = np.bincount(codes[codes > 0], minlength=FEATURES)
-        row[:] = counts / max(1, counts.sum())
+def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(features, how often) of a whole text."""
+    codes = trigrams(text)
+    counts = np.bincount(codes[codes > 0], minlength=FEATURES)
+    found = np.flatnonzero(counts)
+    return found, counts[found]
+
+
+def frequencies(counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    out = np.zeros((len(counts), FEATURES), np.float32)
+    for row, (found, n) in zip(out, counts, strict=True):
+        row[found] = n / max(1, n.sum())
     return out
 
 
@@ -99,34 +107,36 @@ class Model:
         return self.decide(margins, letters)
 
     def decide(self, margins: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Votes among families, then among the languages of the family that won; equal votes go to the larger sum of margins."""
+        """Votes among families, then among the languages of the family that won; equal votes go to the larger sum of margins, then to the first."""
         sure = 1 / (1 + np.exp(-4 * np.clip(np.abs(margins), 0, 20)))
-        names, scores = [], np.zeros(len(margins))
         families = sorted(set(self.family))
-        for r, row in enumerate(margins):
-            if not letters[r]:
-                names.append(UNKNOWN)
-                continue
-            score = 1.0
-            won, chance = self._vote("family", families, row, sure[r])
-            score *= chance
-            own = [k for k, f in enumerate(self.family) if f == won]
-            won, chance = self._vote("language", own, row, sure[r])
-            names.append(self.languages[won])
-            scores[r] = score * chance
-        return names, scores
-
-    def _vote(self, level: str, options: list[int], row: np.ndarray, sure: np.ndarray) -> tuple[int, float]:
-        votes = {o: [0, 0.0] for o in options}
-        for d, (at, a, b) in enumerate(self.sides):
-            if at == level and a in votes and b in votes:
-                won, lost = (a, b) if row[d] >= 0 else (b, a)
-                votes[won][0] += 1
-                votes[won][1] += abs(row[d])
-                votes[lost][1] -= abs(row[d])
-        best = max(options, key=lambda o: (*votes[o], -o))
-        chance = min((sure[d] if (row[d] >= 0) == (a == best) else 1 - sure[d] for d, (at, a, b) in enumerate(self.sides) if at == level and best in (a, b) and a in votes and b in votes), default=1.0)
-        return best, float(chance)
+        won, scores = self._vote("family", families, margins, sure)
+        at = np.zeros(len(margins), np.int64)
+        for f in families:
+            own, rows = [k for k, g in enumerate(self.family) if g == f], won == f
+            best, chance = self._vote("language", own, margins[rows], sure[rows])
+            at[rows] = best
+            scores[rows] *= chance
+        scores = np.where(letters, scores, 0.0)
+        return [self.languages[k] if ok else UNKNOWN for k, ok in zip(at, letters, strict=True)], scores
+
+    def _vote(self, level: str, options: list[int], margins: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the option that wins most duels, and the least sure of these."""
+        place = {o: i for i, o in enumerate(options)}
+        duels = [(d, place[a], place[b]) for d, (at, a, b) in enumerate(self.sides) if at == level and a in place and b in place]
+        votes, sums = np.zeros((2, len(margins), len(options)))
+        for d, a, b in duels:
+            first = margins[:, d] >= 0
+            votes[:, a] += first
+            votes[:, b] += ~first
+            sums[:, a] += margins[:, d]
+            sums[:, b] -= margins[:, d]
+        best = np.lexsort((np.broadcast_to(-np.arange(len(options)), votes.shape), sums, votes), axis=1)[:, -1]
+        chance = np.ones(len(margins))
+        for d, a, b in duels:
+            own = np.where((margins[:, d] >= 0) == (best == a), sure[:, d], 1 - sure[:, d])
+            chance = np.where((best == a) | (best == b), np.minimum(chance, own), chance)
+        return np.array(options)[best], chance
 
 
 #: Families of languages by their ISO 639-1 codes. A language that isn't listed is a family of its own.
@@ -156,9 +166,9 @@ def families_of(names: list[str]) -> list[int]:
     return [order.index(f) for f in found]
 
 
-def train(texts: list[bytes], languages: list[str]) -> Model:
+def train(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str]) -> Model:
     names = sorted(set(languages))
-    x = frequencies(texts)  # in single precision and never copied whole: the driver may be small
+    x = frequencies(counts)  # in single precision and never copied whole: the driver may be small
     y = np.array([names.index(v) for v in languages])
     scale = 60.0  # frequencies are small; this makes margins of 1 reachable under the penalty
     family = families_of(names)
@@ -185,7 +195,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """At most per_language labelled texts of each language: those with the smallest digests of their text."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
     rows = known.select("lang", F.md5(F.col("text").cast("binary")).alias("k")).groupBy("lang", "k").agg(F.lit(1).alias("one"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
@@ -197,13 +207,22 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
     few = known.select("lang", "text", F.md5(F.col("text").cast("binary")).alias("k")).where(F.conv(F.substring("k", 1, 8), 16, 10).cast("double") / float(1 << 32) < share)
     few = few.dropDuplicates(["lang", "k"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
-    return few.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", F.substring("text", 1, TRAINING_CHARS).alias("text"))
+    return few.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "k", "text")
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [counted((x or "").encode()) for x in batch.column("text").to_pylist()]
+        columns = [pa.array([c[i].astype(np.int64).tobytes() for c in own], pa.binary()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("k"), *columns], ["lang", "k", "found", "n"])
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """docs (text, lang, ...): a model of the languages of the labelled rows. The sample on the driver is bounded."""
-    rows = sorted((r["lang"], r["text"]) for r in training_sample(docs, per_language).collect())
-    return train([t.encode() for _, t in rows], [v for v, _ in rows])
+    """docs (text, lang, ...): a model of the languages of the labelled rows. Executors count the features of the sample's whole texts; the driver gets these counts."""
+    small_batches(docs.sparkSession)
+    rows = training_sample(docs, per_language).mapInArrow(_counts, "lang string, k string, found binary, n binary").collect()
+    rows.sort(key=lambda r: (r["lang"], r["k"]))
+    return train([tuple(np.frombuffer(r[c], np.int64) for c in ("found", "n")) for r in rows], [r["lang"] for r in rows])
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, n_words
+from .common import drop, durable, n_words
 
 #: Slices of the rank within a source at least, and documents of a slice, about.
 SLICES, PER_SLICE = 4096, 20_000
@@ -99,38 +99,56 @@ def _open(turns: int) -> Column:
     return out
 
 
-def mix(docs: DataFrame, *, size: Column | None = None, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 20, row_no: str | None = None) -> DataFrame:
-    """docs (doc_id, source, text, ...) -> doc_id, size, source_size, target, copies, taken, p, row_no.
+def _ranked(rows: DataFrame, state: DataFrame, seed: int) -> DataFrame:
+    """rows (doc_id, source, size, row_no, ...) with their source's state, p and rank; the rank is null where nothing is drawn for."""
+    p = F.when(F.col("size") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("c") * F.col("size"), F.lit(1.0))))
+    u = uniform(F.col("doc_id"), seed)
+    q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
+    out = rows.join(state, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("p", p)
+    out = out.withColumn("z", F.when((F.col("p") > 0) & (F.col("p") < 1), q / (1 + q)))
+    return out.withColumn("rank", F.when(F.col("z").isNotNull(), F.struct("z", "row_no")))
 
-    row_no: a column that numbers the rows of a stored table, by which a caller can join the result to it; else rows are numbered here.
-    A row each: taken is copies times size, 0 to `most` copies; p is the inclusion probability of the copy that is drawn for. Null source: a source of its
-    own, last. Null or empty text: size 0, taken 0. Null doc_id: a document whose random number is that of the empty id. Repeated rows
-    count each for itself, with one random number. An empty table gives an empty result. Other columns don't matter, whatever their names.
-    """
-    base = durable(docs.select("doc_id", "source", (size if size is not None else n_words(F.col("text"))).alias("size"), (F.col(row_no) if row_no else F.monotonically_increasing_id()).alias("row_no")), "mix")
+
+def cuts(base: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 20) -> DataFrame:
+    """base (doc_id, source, size, row_no), a stored table -> a row for each source: of (the source), its size, target, whole copies, c, and where the order was cut."""
     slices = max(SLICES, base.count() // PER_SLICE)
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")
     rest = F.when(F.col("whole") < most, F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))).otherwise(0.0)
     targets = targets.withColumn("whole", whole).withColumn("rest", rest).withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     targets = durable(targets.withColumnRenamed("source", "of"), "mix-targets")
-    known = base.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    odds = proportional(known.where("size > 0").groupBy("sid", "rest", "size").agg(F.count("*").alias("n")))
-    state = durable(targets.select("sid").join(odds, "sid", "left").select("sid", "c", F.coalesce("left", F.lit(0.0)).alias("left0")), "mix-odds")
-    p = F.when(F.col("size") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("c") * F.col("size"), F.lit(1.0))))
-    u = uniform(F.col("doc_id"), seed)
-    q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    ranked = known.join(state.select("sid", "c"), "sid").withColumn("p", p)
-    ranked = ranked.withColumn("z", F.when((F.col("p") > 0) & (F.col("p") < 1), q / (1 + q))).withColumn("slice", F.floor(F.col("z") * slices).cast("int"))
-    ranked = ranked.withColumn("rank", F.when(F.col("z").isNotNull(), F.struct("z", "row_no")))
-    ranked = durable(ranked.select("sid", "doc_id", "size", "source_size", "target", "whole", "p", "slice", "rank", "row_no"), "mix-ranks")
+    known = base.where("size > 0").join(targets, F.col("source").eqNullSafe(F.col("of")))
+    odds = proportional(known.groupBy("sid", "rest", "size").agg(F.count("*").alias("n")))
+    state = durable(targets.drop("rest").join(odds, "sid", "left").withColumn("left0", F.coalesce("left", F.lit(0.0))).drop("left"), "mix-odds")
+    ranked = _ranked(base, state, seed).where("rank is not null")
+    ranked = durable(ranked.select("sid", "size", F.floor(F.col("z") * slices).cast("int").alias("slice"), "rank"), "mix-ranks")
+    stale = [targets]
     for turn in range(CUTS):
+        stale.append(state)
         state = _next_cut(ranked, state, turn)
     left = ranked.join(state, "sid").where(_open(CUTS) & (F.col("size") < 2 * F.col(f"left{CUTS}")))
-    state = durable(state.join(left.groupBy("sid").agg(F.min("rank")["row_no"].alias("last")), "sid", "left").drop("c"), "mix-last")
+    out = durable(state.join(left.groupBy("sid").agg(F.min("rank")["row_no"].alias("last")), "sid", "left").drop("sid"), "mix-state")
+    drop(ranked, state, *stale)
+    return out
+
+
+def with_copies(rows: DataFrame, state: DataFrame, seed: int = 20) -> DataFrame:
+    """rows (doc_id, source, size, row_no, ...) with source_size, target, p and copies, told by their source's state alone."""
     drawn = F.when(F.col("rank").isNull(), F.col("p") == 1).otherwise(~_open(CUTS) | F.coalesce(F.col("row_no") == F.col("last"), F.lit(False)))
-    out = ranked.join(state, "sid").withColumn("copies", F.col("whole") + drawn.cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "p", "row_no")
+    out = _ranked(rows, state, seed).withColumn("copies", F.col("whole") + drawn.cast("long"))
+    return out.select(*rows.columns, "source_size", "target", "p", "copies")
+
+
+def mix(docs: DataFrame, *, size: Column | None = None, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 20) -> DataFrame:
+    """docs (doc_id, source, text, ...) -> doc_id, size, source_size, target, copies, taken, p.
+
+    A row each: taken is copies times size, 0 to `most` copies; p is the inclusion probability of the copy that is drawn for. Null source: a source of its
+    own, last. Null or empty text: size 0, taken 0. Null doc_id: a document whose random number is that of the empty id. Repeated rows
+    count each for itself, with one random number. An empty table gives an empty result. Other columns don't matter, whatever their names.
+    """
+    base = durable(docs.select("doc_id", "source", (size if size is not None else n_words(F.col("text"))).alias("size"), F.monotonically_increasing_id().alias("row_no")), "mix")
+    out = with_copies(base, cuts(base, weights, share, most, seed), seed)
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "p")
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ scans all blobs for that rule alone.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -16,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, shared_dir
+from .common import durable, run_dir
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,9 @@ class Rule:
 
     @property
     def name(self) -> str:
-        return f"{self.kind}/{self.version}"
+        """Kind, version, and a digest of what the rule does, so that a pattern that was changed without a new version is a new rule."""
+        what = hashlib.sha256(f"{self.pattern}\0{self.group}\0{self.least}".encode()).hexdigest()
+        return f"{self.kind}/{self.version}/{what[:8]}"
 
 
 #: The three kinds of the contract, in its order, then further ones.
@@ -46,10 +49,10 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 
-_SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+_SPAN = "array<struct<start:bigint,end:bigint,kind:string>>"
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
+def spans(text: Column, rule: Rule) -> Column:
     """Leftmost non-overlapping matches of the rule that are long enough, in code points, end exclusive.
 
     Splitting by the pattern gives the pieces between the matches, so that starts are sums of lengths.
@@ -61,7 +64,7 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     def step(acc, x):
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.coalesce(F.length(x["all"]), F.lit(0))
-        one = F.struct(begin.cast("bigint").alias("start"), F.lit(rank).alias("rank"), end.cast("bigint").alias("end"), F.lit(rule.kind).alias("kind"))
+        one = F.struct(begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"), F.lit(rule.kind).alias("kind"))
         return F.struct(end.cast("bigint").alias("at"), F.when(F.length(x["part"]) >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
     return F.when(text.rlike(rule.hint), F.aggregate(found, start, step)["out"]).otherwise(none)
@@ -85,7 +88,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger_path: str | No
     """
     spark = docs.sparkSession
     docs = docs.drop("blob", "found").withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
-    path = ledger_path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    path = ledger_path or f"{run_dir(spark)}/ledger-{uuid.uuid4().hex}"
     names = F.array(*(F.lit(r.name) for r in rules))
     seen = _ledger(spark, path)
     texts = docs.select("blob", "text")
@@ -96,11 +99,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger_path: str | No
         todo = docs.select("blob").distinct().join(seen, "blob", "left").select("blob", F.array_except(names, F.coalesce("had", F.array().cast("array<string>"))).alias("todo"))
         todo = durable(todo.where(F.size("todo") > 0), "todo")
         pending = texts.join(todo, "blob").dropDuplicates(["blob"])
-    each = [F.when(F.array_contains("todo", r.name), spans(F.col("text"), r, k)) for k, r in enumerate(rules)]
+    each = [F.when(F.array_contains("todo", r.name), spans(F.col("text"), r)) for r in rules]
     found = F.filter(F.flatten(F.array(*(F.coalesce(x, F.array().cast(_SPAN)) for x in each))), lambda x: x["start"].isNotNull())
     pending.select("blob", F.col("todo").alias("rules"), found.alias("found")).write.mode("append").parquet(path)
     wanted = reduce(lambda a, b: a | b, ((F.col("x.kind") == r.kind) & F.array_contains("rules", r.name) for r in rules))
-    hits = _ledger(spark, path).where(F.size("found") > 0).select("blob", "rules", F.explode("found").alias("x")).where(wanted).groupBy("blob").agg(F.array_sort(F.collect_set("x")).alias("found"))
+    rank = reduce(lambda a, kr: F.when(F.col("x.kind") == kr[1].kind, kr[0]).otherwise(a), enumerate(rules), F.lit(len(rules)))  # by the rules of this call
+    hits = _ledger(spark, path).where(F.size("found") > 0).select("blob", "rules", F.explode("found").alias("x")).where(wanted)
+    hits = hits.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct(F.col("x.start").alias("start"), rank.alias("rank"), F.col("x.end").alias("end"), F.col("x.kind").alias("kind")))).alias("found"))
+    hits = hits.withColumn("found", F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     return docs.join(hits, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(_SPAN)))
 
 

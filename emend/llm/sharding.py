@@ -14,9 +14,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, durable
+from .common import drop, durable, repeated
 
-#: Hex digits of the first slices, and how many segments a further split may add.
+#: Hex digits of the first slices, and how many segments a further split may add at most.
 DIGITS, MOST_SEGMENTS = 4, 200_000
 #: Rows that one task numbers within a shard.
 NUMBERED_TOGETHER = 20_000
@@ -110,6 +110,10 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
         split = np.flatnonzero(through & loose)
         if not len(split):
             break
+        if len(split) * 16 > MOST_SEGMENTS:  # the segments nearest to even cuts first, the others in a later turn if they still matter
+            middle, even = starts[split] + found.size[split] / 2, total * np.arange(1, shards) / shards
+            off = np.abs(middle[:, None] - even).min(1) if shards > 1 else middle
+            split = np.sort(split[np.argsort(off, kind="stable")[: max(1, MOST_SEGMENTS // 16)]])
         more = 1
         while more < 28 and len(split) * 16 ** (more + 1) <= MOST_SEGMENTS:
             more += 1
@@ -136,24 +140,27 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, size, text_crc32, law, shard, slot, grown_shard, digest; a row each.
 
     Size: UTF-8 bytes of the text and 16. Null text counts as empty, and so shares the group of empty texts. Null doc_ids and repeated
-    rows are rows as any other. With fewer groups than shards, some shards stay empty. An empty table gives an empty result.
+    rows are rows as any other; slots follow from ids and texts alone, not from the layout of the input. With fewer groups than shards, some shards stay empty. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = durable(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("digest")).withColumn("row_no", F.monotonically_increasing_id()), "shard")
-    groups = durable(base.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups")
+    base = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("digest"))
+    base = durable(base.groupBy("doc_id", "size", "text_crc32", "digest").agg(F.count("*").alias("times")), "shard")
+    groups = durable(base.groupBy("digest").agg(F.sum(F.col("size") * F.col("times")).alias("bytes")), "shard-groups")
     _, starts = minimax_cuts(groups, shards)
     drop(groups)
     at = sum(((F.col("digest") >= s).cast("int") for s in starts), F.lit(0)).cast("int")
     placed = base.withColumn("shard", at)
-    # slots: numbered in parts by row number, the parts laid end to end
+    # slots: numbered in parts by document, the parts laid end to end
     parts = max(1, -(-base.count() // (shards * NUMBERED_TOGETHER)))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "row_no"), F.lit(parts)).cast("int"))
-    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(parts)).cast("int"))
+    counts = placed.groupBy("shard", "part").agg(F.sum("times").alias("n"))
     offset = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("shard", "part", offset.alias("offset"))
-    number = F.row_number().over(Window.partitionBy("shard", "part").orderBy("digest", "doc_id", "row_no")) - 1
-    out = placed.withColumn("number", number).join(offsets, ["shard", "part"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("number")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "digest")
+    before = F.sum("times").over(Window.partitionBy("shard", "part").orderBy("digest", "doc_id")) - F.col("times")
+    out = placed.withColumn("before", before).join(offsets, ["shard", "part"])
+    out = repeated(out, "times", "nth")  # rows that are equal in id and text were counted as one
+    slot = (F.col("offset") + F.col("before") + F.col("nth")).cast("long")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "digest")
 
 
 def op7_shard(spark, sf_dir: str) -> DataFrame:

@@ -260,6 +260,8 @@ def test_shards(spark):
     for s in size:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert sharding.shard(df.limit(0), 10).count() == 0 and len(got) == len(rows)
+    again = sharding.shard(df.repartition(7), 10).drop("digest").collect()
+    assert sorted(map(str, again)) == sorted(str(r) for r in sharding.shard(df, 10).drop("digest").collect())
     assert {r.shard for r in sharding.shard(df.limit(2), 40).collect()} <= set(range(40))
 
 
@@ -307,6 +309,39 @@ def test_pack(spark):
     assert pieces[0] == (0, 256) and sum(s for _, s in pieces) == 20_000
     assert [r.bin_id for r in got if r.doc_id == 800] == [None, None]
     assert packing.pack(df.limit(0)).count() == 0
+    again = packing.pack(df.repartition(7), capacity=256, per_source=3, together=200).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def naive_best_fit(pieces, capacity, per_source):
+    """Every piece looks at every bin: (size, source, cluster) by falling size -> bins."""
+    bins, out = [], {}
+    for i in sorted(range(len(pieces)), key=lambda i: (-pieces[i][0], i)):
+        size, source, cluster = pieces[i]
+        fits = [(capacity - sum(pieces[j][0] for j in own), b) for b, own in enumerate(bins)]
+        fits = [(room - size, b) for room, b in fits if room >= size and (cluster is None or all(pieces[j][2] != cluster for j in bins[b])) and sum(pieces[j][1] == source for j in bins[b]) < per_source]
+        if not fits:
+            bins.append([])
+            fits = [(0, len(bins) - 1)]
+        out[i] = min(fits)[1]
+        bins[out[i]].append(i)
+    return [out[i] for i in range(len(pieces))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 30), st.sampled_from(["a", "b", None]), st.sampled_from([None, 1, 2, 3])), max_size=40), st.integers(1, 4))
+def test_best_fit_agrees_with_a_scan_of_all_bins(pieces, per_source):
+    got = packing.best_fit(*([p[i] for p in pieces] for i in range(3)), 30, per_source)
+    assert got == naive_best_fit(pieces, 30, per_source)
+
+
+def test_pack_with_clusters_of_its_own(spark):
+    rows = [(i, "a b c", "s", i % 2) for i in range(8)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string, near long"), capacity=6, cluster=F.col("near")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.bin_id, []).append(r.doc_id % 2)
+    assert len(by) == 4 and all(sorted(v) == [0, 1] for v in by.values())
 
 
 # --- steps --------------------------------------------------------------------
@@ -319,7 +354,7 @@ def test_steps_keep_the_columns_and_take_effect(spark):
     docs = spark.createDataFrame([(i, t, "en" if i % 2 else "de", "ab"[i % 2], len(t)) for i, t in rows] + extra, schema).cache()
     known = stages.known_languages(docs)
     assert known.columns == docs.columns and {r.doc_id for r in docs.collect()} - {r.doc_id for r in known.collect()} == {200, 201} and known.where("lang is null").count() == 0
-    single = stages.without_near_duplicates(docs)
+    single = stages.without_near_duplicates(docs.where("doc_id <> 5 or lang = 'en'").dropDuplicates(["doc_id"]))
     want = plain_components([(r.doc_id, r.text) for r in docs.dropDuplicates(["doc_id"]).collect()], 5, 4, 5)
     assert sorted(r.doc_id for r in single.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
     safe = {r.doc_id: r for r in stages.without_secrets(docs).collect()}
@@ -330,3 +365,30 @@ def test_steps_keep_the_columns_and_take_effect(spark):
     for r in mixing.mix(docs).collect():
         want[r.doc_id] += r.copies
     assert mix.columns == docs.columns and copies == +want
+
+
+def test_near_duplicates_are_rows_not_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, d), (None, a), (None, "other " * 3), (None, None), (8, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id long, text string, row_no string, gone string")
+    got = stages.without_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(1, a), (5, b), (7, c), (7, d), (None, "other " * 3), (None, None), (8, ""), (9, None)]))
+    only = stages.without_near_duplicates(docs.where("doc_id is null or doc_id = 5"))
+    assert sorted(str(r.doc_id) for r in only.where(F.col("text") == a).collect()) == ["5"]
+
+
+@pytest.mark.parametrize("stage", [stages.known_languages, stages.without_near_duplicates, stages.without_secrets, stages.mixed, stages.packed])
+def test_steps_on_odd_tables(spark, stage):
+    names = ["found", "blob", "twice", "copies", "__row", "copy", "size", "lang_pred", "score", "row_no", "of", "c0", "p", "rank"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    secret = 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y'
+    own = [(1, secret, "en", "a", 60), (2, "just some words here", None, None, 20), (2, "just some words here", None, None, 20), (None, "no id " * 9, "en", "a", 54), (3, None, "en", None, 0), (4, "", None, "b", 0)]
+    docs = spark.createDataFrame([r + tuple(f"{n}!" for n in names) for r in own], schema)
+    got = stage(docs)
+    if stage is not stages.packed:
+        assert got.columns == docs.columns and all(r[n] == f"{n}!" for r in got.collect() for n in names)
+    assert got.where("doc_id = 1").count() >= 1
+    assert stage(docs.limit(0)).count() == 0
+    unlabelled = stages.known_languages(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert stage is not stages.known_languages or sorted(str(r.doc_id) for r in unlabelled.collect()) == ["1", "2", "2", "None"]

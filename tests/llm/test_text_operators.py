@@ -73,17 +73,17 @@ def test_families_and_held_out_accuracy(spark):
 
 def test_odd_texts_and_models(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "123 $$$ ½ ²"), (4, "the " * 50_000), (None, "der die das und nicht"), (4, "x")], "doc_id long, text string")
-    model = langid.train([b"the and of to in that it is", b"der die das und nicht ein ist"] * 3, ["en", "de"] * 3)
+    model = langid.train([langid.counted(t) for t in (b"the and of to in that it is", b"der die das und nicht ein ist")] * 3, ["en", "de"] * 3)
     got = {(r.doc_id, (r.text or "")[:3]): (r.lang_pred, r.score) for r in langid.identify(df, model).collect()}
     assert got[1, ""] == got[2, ""] == got[3, "123"] == ("und", 0.0) and got[4, "the"][0] == "en" and got[None, "der"][0] == "de"
-    assert {r.lang_pred for r in langid.identify(df, langid.train([b"a b"], ["xx"])).collect()} == {"und", "xx"}
+    assert {r.lang_pred for r in langid.identify(df, langid.train([langid.counted(b"a b")], ["xx"])).collect()} == {"und", "xx"}
     none = df.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(none, langid.fit(none)).collect()} == {"und"}
     assert langid.identify(df.limit(0), model).count() == 0
 
 
 def test_prediction_does_not_depend_on_the_batch():
-    model = langid.train([b"the and of to", b"der die das und", b"le la les des", b"el los las del"], ["en", "de", "fr", "es"])
+    model = langid.train([langid.counted(t) for t in (b"the and of to", b"der die das und", b"le la les des", b"el los las del")], ["en", "de", "fr", "es"])
     texts = [b"the cat", b"x" * 300_000, b"les chats", b"la", b""]
     letters = langid.np.ones(len(texts), bool)
     whole = model.predict(texts, letters)

@@ -434,3 +434,19 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+#: All pairs that share a shingle, and what links reach: for tables that a single machine holds.
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+each AS (SELECT doc_id, hash(unnest(s)) AS g FROM sets),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM met JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT x, y FROM ends UNION SELECT r.x, b.y FROM reached r JOIN ends b ON r.y = b.x)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(min(y), doc_id)) AS component_id FROM sizes LEFT JOIN reached ON x = doc_id GROUP BY doc_id, n
+"""

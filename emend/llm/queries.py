@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from .ann import op4_nearest
 from .chat import OP1_SQL, op1_chat_format
-from .jaccard import op2_ngram_jaccard
+from .jaccard import OP2_SQL, op2_ngram_jaccard
 from .langid import op3_language_id
 from .mixing import OP5_SQL, op5_mix
 from .packing import op9_best_fit
 from .pii import op8_surrogates
-from .secrets import op10_secrets
+from .secrets import OP10_SQL, op10_secrets
 from .sharding import op7_shard
 from .topk import OP6_SQL, op6_top_products
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_best_fit": op9_best_fit,
     "op10_secrets": op10_secrets,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op5_mix": OP5_SQL, "op6_top_products": OP6_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op5_mix": OP5_SQL, "op6_top_products": OP6_SQL, "op10_secrets": OP10_SQL}

@@ -135,3 +135,26 @@ def op10_secrets(spark, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda x: x["kind"].isin(*BASE))
     return out.select("doc_id", *map(count, BASE), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("found")).alias("spans"))
+
+
+def _spans_sql(rule: Rule) -> str:
+    """(row_no, start, stop, kind) of one rule: pieces between the matches, laid end to end."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT row_no, start, start + length(whole) AS stop, '{rule.kind}' AS kind FROM (
+    SELECT row_no, whole, part, sum(length(gap)) OVER w + coalesce(sum(length(whole)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM (SELECT row_no, generate_subscripts(gaps, 1) AS i, unnest(gaps) AS gap, unnest(wholes) AS whole, unnest(parts) AS part
+          FROM (SELECT row_no, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS wholes, regexp_extract_all(t, '{pattern}', {rule.group}) AS parts FROM texts))
+    WINDOW w AS (PARTITION BY row_no ORDER BY i))
+  WHERE whole IS NOT NULL AND length(part) >= {rule.least}"""
+
+
+OP10_SQL = (
+    "WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS row_no FROM documents),\nfound AS ("
+    + " UNION ALL ".join(f"SELECT *, {k} AS rank FROM ({_spans_sql(r)})" for k, r in enumerate(RULES))
+    + "),\njoined AS (SELECT row_no, "
+    + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)
+    + f", string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (WHERE rank < {len(BASE)}) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans FROM found GROUP BY row_no)\n"
+    + "SELECT doc_id, "
+    + ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)
+    + ", sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN joined USING (row_no)"
+)

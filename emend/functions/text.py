@@ -19,8 +19,7 @@ def clean_space(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Tokens between white space; none for an empty text."""
-    clean = clean_space(text)
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    return F.filter(F.split(clean_space(text), " "), lambda w: w != "")
 
 
 def blank_tokens(text: Column) -> Column:
@@ -160,17 +159,22 @@ def _find(text: Column, what: str) -> Column:
 def tagged(response: Column, start: str = ANSWER_START, end: str = ANSWER_END) -> Column:
     """The text before an end tag that comes before any start tag, else between the tags; null if there is none or it is empty."""
     s, e = _find(response, start), _find(response, end)
-    before = _strip(F.substring(response, F.lit(1), e - 1))
+    before = strip(F.substring(response, F.lit(1), e - 1))
     begin = s + len(start)
     after = F.substring(response, begin, F.length(response))
     close = _find(after, end)
-    between = _strip(F.substring(after, F.lit(1), close - 1))
+    between = strip(F.substring(after, F.lit(1), close - 1))
     first = F.when((e > 0) & ((s == 0) | (e < s)) & (before != ""), before)
     return F.coalesce(first, F.when((s > 0) & (close > 0) & (between != ""), between))
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+#: All white space of Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """Without white space at the ends, sign by sign: no regular expression that looks at every run of blanks."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def extract_answer(response: Column, source: Column) -> Column:
@@ -189,7 +193,7 @@ def legacy_answer(response: Column, source: Column, start: str = ANSWER_START, e
     """Between the tags, the last sign of a long end tag not asked for; the source if a tag is missing, nothing is between them or there are no errors."""
     close = end[:-1] if len(end) >= 5 else end
     after = F.substring_index(F.substring(response, F.locate(start, response) + len(start), F.length(response)), start, 1)
-    found = _strip(F.substring_index(after, close, 1))
+    found = strip(F.substring_index(after, close, 1))
     has = lambda what: F.contains(response, F.lit(what))
     return F.when(has(start) & has(close) & ~has(none_found) & (found != ""), found).otherwise(source)
 
@@ -197,7 +201,7 @@ def legacy_answer(response: Column, source: Column, start: str = ANSWER_START, e
 def split_answer(response: Column, source: Column, splitter: str) -> Column:
     """The second of three or more parts, if it is half to twice as long as the source; else the source."""
     parts = F.split(response, splitter.translate(str.maketrans({c: f"\\{c}" for c in r"\.[]{}()*+-?^$|"})))
-    middle = _strip(F.get(parts, F.lit(1)))
+    middle = strip(F.get(parts, F.lit(1)))
     ratio = F.length(middle) / F.nullif(F.length(source), F.lit(0))
     return F.when((F.size(parts) >= 3) & ratio.between(0.5, 2.0), middle).otherwise(source)
 
@@ -208,7 +212,7 @@ def answer(response: Column, source: Column, mode: str, splitter: str = "###") -
         "gec": lambda: legacy_answer(response, source),
         "tagged": lambda: extract_answer(response, source),
         "splitter": lambda: split_answer(response, source, splitter),
-        "normal": lambda: _strip(response),
+        "normal": lambda: strip(response),
         "no": lambda: response,
     }
     if mode not in modes:
@@ -221,15 +225,15 @@ def answer(response: Column, source: Column, mode: str, splitter: str = "###") -
 
 def pack_sentences(text: Column, budget: int, pattern: str = r"(?<=[.!?])\s+") -> Column:
     """Sentences of a text put together again, in order, while their words stay within the budget."""
-    start = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("part"), F.lit(-1).alias("n"))  # n: words of the open part, -1 without one
 
     def step(acc: Column, sentence: Column) -> Column:
-        last = F.element_at(acc, -1)
-        both = F.concat_ws(" ", last, sentence)
-        fits = (F.size(acc) > 0) & (F.size(words(both)) <= budget)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(sentence)))
+        n = F.size(words(sentence))
+        fits = (acc["n"] >= 0) & (acc["n"] + n <= budget)
+        closed = F.when(acc["n"] >= 0, F.concat(acc["out"], F.array(acc["part"]))).otherwise(acc["out"])
+        return F.when(fits, F.struct(acc["out"].alias("out"), F.concat_ws(" ", acc["part"], sentence).alias("part"), (acc["n"] + n).alias("n"))).otherwise(F.struct(closed.alias("out"), sentence.alias("part"), n.alias("n")))
 
-    return F.aggregate(F.split(text, pattern), start, step)
+    return F.aggregate(F.split(text, pattern), start, step, lambda acc: F.when(acc["n"] >= 0, F.concat(acc["out"], F.array(acc["part"]))).otherwise(acc["out"]))
 
 
 #: Where long inputs of a dataset may be cut: after these signs.
@@ -246,7 +250,7 @@ def cut_long(rows: DataFrame, dataset: str, budget: int, count: Callable[[Column
         raise NotImplementedError(f"no cuts for {dataset}")
     n = count or (lambda c: F.size(words(c)))
     comma = lambda c: F.right(c, F.lit(1)).isin(",", "，")
-    every = F.filter(F.split(_strip(F.col("text")), CUTS[dataset]), lambda x: x != "")
+    every = F.filter(F.split(strip(F.col("text")), CUTS[dataset]), lambda x: x != "")
 
     def step(acc: Column, piece: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -277,30 +281,63 @@ def repaired(text: Column) -> Column:
     return F.translate(text, "".join(map(chr, codes)), bytes(codes).decode("cp1252"))
 
 
-def prefix(tokens: Column, position: Column) -> Column:
-    """The tokens up to and with a 0-based position."""
-    return F.array_join(F.slice(tokens, F.lit(1), position + 1), " ")
+def prefix(line: Column, position: Column) -> Column:
+    """A line of tokens between single blanks, up to and with that at a 0-based position: cut out of the line, no tokens are put together again."""
+    return F.call_function("substring_index", line, F.lit(" "), (position + 1).cast("int"))
 
 
 # --- Penn Treebank tokens -----------------------------------------------------
 
-#: Patterns and replacements of the English treebank convention, in order.
+#: Patterns and replacements of the scorer's treebank convention, in order, as both Java and RE2 read them. First single signs and slashes,
+#: then (ptb) brackets, quotes and contractions, then commas that aren't inside a number.
+SIGN_RULES = ((r"([^\pL\pN_\s.'`,\-\"|/])", " $1 "), (r"\|", " -PIPE- "), (r"(\S)/(\S)", "$1 / $2"))
 PTB_RULES = (
-    (r'^"', "`` "), (r'([ (\[{<])"', "$1 `` "), (r"\.\.\.", " ... "), (r"([,;:@#$%&])(?![0-9])", " $1 "), (r"([?!])", " $1 "),
-    (r"([\]\[(){}<>])", " $1 "), ("--", " -- "), ('"', " '' "), (r"([^'])' ", "$1 ' "), (r"'([sSmMdD]) ", " '$1 "),
-    (r"'(ll|re|ve|LL|RE|VE) ", " '$1 "), (r"(n't|N'T) ", " $1 "), (r"\b([Cc])annot\b", "$1an not"), (r"\b([Gg])onna\b", "$1on na"), (r"\b([Gg])otta\b", "$1ot ta"),
-    (r"\b([Ww])anna\b", "$1an na"), (r"\b([Ll])emme\b", "$1em me"), (r"\b([Gg])imme\b", "$1im me"), (r"([^.])([.])([\])}>\"']*)\s*$", "$1 $2$3 "),
+    (r"\(", " -LRB- "), (r"\)", " -RRB- "), (r"\[", " -LSB- "), (r"\]", " -RSB- "), (r"\{", " -LCB- "), (r"\}", " -RCB- "),
+    (r'"\s*$', " '' "), (r'^\s*"', " `` "), (r'(\S)"\s', "$1 '' "), (r'\s"(\S)', " `` $1"), (r'(\S)"', "$1 '' "), (r'"(\S)', " `` $1"),
+    (r"'\s*$", " ' "), (r"^\s*'", " ` "), (r"(\S)'\s", "$1 ' "), (r"\s'(\S)", " ` $1"),
+    (r"'(ll|re|ve|LL|RE|VE)", " -CONTRACT-$1"), ("n't", " n-CONTRACT-t"), ("N'T", " N-CONTRACT-T"), ("([cC])annot", "$1an not"),
 )
-#: French elisions part before their vowel.
-FRENCH_RULES = ((r"(?i)\b([cdjlmnstç]|qu|jusqu|lorsqu|puisqu)['’]", "$1' "), (r"([,;:?!()\[\]])", " $1 "), (r"([^.])([.])\s*$", "$1 $2 "))
+COMMA_RULES = ((r"(\D),(\D)", "$1 , $2"), (r"(\d),(\D)", "$1 , $2"), (r"(\D),(\d)", "$1 , $2"))
+#: Apostrophes by language.
+APOSTROPHE_RULES = {
+    "en": ((r"([^a-zA-Z])'([^a-zA-Z])", "$1 ' $2"), (r"([^\pL\pN_])'([a-zA-Z])", "$1 ' $2"), (r"([a-zA-Z])'([^a-zA-Z])", "$1 ' $2"), (r"([a-zA-Z])'([a-zA-Z])", "$1 '$2"), (r"(\d)'(s)", "$1 '$2"), (r" '\s+s ", " 's "), (r" '\s+s ", " 's ")),
+    "fr": ((r"([^a-zA-Z])'([^a-zA-Z])", "$1 ' $2"), (r"([^a-zA-Z])'([a-zA-Z])", "$1 ' $2"), (r"([a-zA-Z])'([^a-zA-Z])", "$1 ' $2"), (r"([a-zA-Z])'([a-zA-Z])", "$1' $2")),
+}
+#: Abbreviations that keep their period.
+ABBREVIATIONS = {
+    "en": tuple(
+        "A B C D E F G H I J K L M N O P Q R S T U V W X Y Z Adj Adm Adv Asst Bart Bldg Brig Bros Capt Cmdr Col Comdr Con Corp Cpl DR Dr Drs Ens Gen Gov Hon Hr Hosp Insp Lt MM MR MRS MS Maj Messrs Mlle Mme Mr Mrs Ms Msgr "
+        "Op Ord Pfc Ph Prof Pvt Rep Reps Res Rev Rt Sen Sens Sfc Sgt Sr St Supt Surg v vs i.e rev e.g Nos Nr".split()
+    ),
+    "fr": (),
+}
 
 
-def treebank(text: Column, lang: str = "en") -> Column:
-    """Tokens of the treebank convention (en, fr), joined by blanks; other languages are split by blanks."""
-    rules = {"en": PTB_RULES, "fr": FRENCH_RULES}.get(lang)
-    if rules is None:
+def treebank_rules(lang: str, ptb: bool) -> tuple[tuple[str, str], ...]:
+    """All patterns before words are looked at. Runs of dots or dashes are tokens of their own."""
+    runs = ((r"(\.\.+)", " $1 "), (r"(--+)", " $1 "))
+    return (*SIGN_RULES, *(PTB_RULES if ptb else ()), *runs, *COMMA_RULES, *APOSTROPHE_RULES[lang], ("' '", "''"))
+
+
+def treebank(text: Column, lang: str = "en", ptb: bool = False) -> Column:
+    """Tokens as the scorer's treebank convention has them (en, fr), joined by blanks; other languages are split by blanks.
+
+    A word's period is a token of its own unless the word has further periods and a letter, is an abbreviation, or a number follows.
+    """
+    if lang not in APOSTROPHE_RULES:
         return clean_space(text)
-    return clean_space(chain(*rules)(F.concat(text, F.lit(" "))))
+    own = words(chain(*treebank_rules(lang, ptb))(F.concat(F.lit(" "), strip(text), F.lit(" "))))
+
+    def word(w: Column, i: Column, every: Column) -> Column:
+        before = F.left(w, F.length(w) - 1)
+        inner = F.contains(before, F.lit(".")) & w.rlike("[a-zA-Z]")
+        number = F.coalesce(F.get(every, i + 1).rlike(r"^\d"), F.lit(False))
+        run = w.rlike(r"^\.+$")
+        return F.when(w.endswith(".") & ~run & ~inner & ~before.isin(*ABBREVIATIONS[lang]) & ~number, F.concat(before, F.lit(" ."))).otherwise(w)
+
+    once = F.transform(F.array(own), lambda every: F.transform(every, lambda w, i: word(w, i, every)))  # the rules run once, not once a word
+    line = F.regexp_replace(join_words(F.get(once, F.lit(0))), r"'\s+'", "''")
+    return clean_space(F.replace(line, F.lit("-CONTRACT-"), F.lit("'")))
 
 
 def token_offset(text: Column, chars: Column, lang: str = "en") -> Column:

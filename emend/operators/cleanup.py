@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.matching import Matcher
-from ..functions.text import extract_answer, words
+from ..functions.text import extract_answer, strip, words
 
 #: Least likeness of an answer to its source, by dataset.
 LIKENESS = {"conll14": 0.70, "bea19": 0.70, "falko_merlin": 0.70, "ronacc_readerbench": 0.96, "estgec": 0.96}
@@ -55,14 +58,15 @@ def cleaned(rows: DataFrame, least: float, with_ratio: bool = True) -> DataFrame
     In order: the tag of the erroneous sentence before that of the answer, or a phrase that nothing is to correct, in the response; such a phrase or a comment in the
     answer; too little likeness; kept. All but the last give the source. The costly ratio is computed only where the cheap rules say nothing.
     """
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    source, response = strip(F.coalesce("text", F.lit(""))), F.coalesce("response", F.lit(""))
-    out = rows.withColumn("__source", source).withColumn("prediction_raw", extract_answer(response, F.col("__source")))
-    low = F.lower(response)
+    response = F.coalesce("response", F.lit(""))
+    out = rows.withColumn("__source", strip(F.coalesce("text", F.lit("")))).withColumn("__low", F.lower(response)).withColumn("prediction_raw", extract_answer(response, F.col("__source")))
+    low, answer = F.col("__low"), F.col("prediction_raw")
+    has = lambda where, *parts: reduce(or_, (F.contains(where, F.lit(p)) for p in parts))  # noqa: E731  what the costly patterns can't do without
+    nothing = lambda text, where: has(where, "correct", "error", "vaja") & text.rlike(NOTHING)
     wrong, right = F.locate("<erroneous sentence>", low), F.locate("<corrected sentence>", low)
-    bad = ((wrong > 0) & ((right == 0) | (wrong < right))) | response.rlike(NOTHING)
-    said = F.col("prediction_raw").rlike(NOTHING) | F.col("prediction_raw").rlike(COMMENT)
-    out = out.withColumn("postprocess_reason", F.when(bad, "tagbad_or_no_correction").when(said, "comment_or_no_correction_in_prediction"))
+    bad = ((wrong > 0) & ((right == 0) | (wrong < right))) | nothing(response, low)
+    said = nothing(answer, F.lower(answer)) | (has(answer, "(") & answer.rlike(COMMENT))
+    out = out.withColumn("postprocess_reason", F.when(bad, "tagbad_or_no_correction").when(said, "comment_or_no_correction_in_prediction")).drop("__low")
     if with_ratio:
         ratio = likeness_column(F.when(F.col("postprocess_reason").isNull(), F.col("__source")), F.when(F.col("postprocess_reason").isNull(), F.col("prediction_raw")))
         out = out.withColumn("__ratio", ratio)

@@ -10,9 +10,11 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import tags as T
 from ..functions.text import blank_tokens, prefix
@@ -288,18 +290,22 @@ def sites(gold: Sequence[Item], pred: Sequence[Item], target: str, pred_target:
 # --- on DataFrames ------------------------------------------------------------
 
 
-def _batches(work, columns: list[str], schema: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            made = [work(*values) for values in zip(*(rows[c] for c in columns), strict=True)]
-            yield rows.assign(**{schema.split(" ")[0]: pd.Series(made, index=rows.index, dtype=object)})
+#: Results that a task keeps, as texts repeat.
+KEPT = 20_000
 
-    return run
 
+def _with(df: DataFrame, work, columns: list[str], name: str, kind: str, cached: bool = False) -> DataFrame:
+    """df with a column that plain Python makes of others, batch by batch; the rest of a batch is passed on as it is."""
+    plain = df.drop(name)
+    made_type = to_arrow_type(T_.DataType.fromDDL(kind))
 
-def _with(df: DataFrame, work, columns: list[str], name: str, kind: str) -> DataFrame:
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name)
-    return df.drop(name).mapInPandas(_batches(work, columns, f"{name} {kind}"), f"{fields}, {name} {kind}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lru_cache(KEPT)(work) if cached else work
+        for batch in batches:
+            made = [own(*values) for values in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, made_type)], [*batch.schema.names, name])
+
+    return plain.mapInArrow(run, T_.StructType([*plain.schema.fields, T_.StructField(name, T_.DataType.fromDDL(kind))]))
 
 
 def _as_items(value) -> list[Item]:
@@ -324,7 +330,7 @@ def with_tags(pairs: DataFrame, source: str = "src", target: str = "tgt", verbs:
         return [{"token": t, "tags": g} for t, g in found]
 
     known = spread(pairs.where(F.col(source).isNotNull() & F.col(target).isNotNull()))
-    return _with(known, work, [source, target], "items", ITEMS).where("items is not null")
+    return _with(known, work, [source, target], "items", ITEMS, cached=True).where("items is not null")
 
 
 def with_decoded(tagged: DataFrame, name: str = "decoded", forms: T.Verbs | None = None) -> DataFrame:
@@ -342,11 +348,47 @@ def with_sites(pairs: DataFrame, variant: str = "build") -> DataFrame:
     return _with(pairs, work, ["items", "pred_items", "tgt", "pred_tgt"], "sites", SITES)
 
 
+def site_rows(pairs: DataFrame, *keys: str, source: str = "src", target: str = "tgt", predicted: str = "pred_tgt", variant: str = "build", verbs: T.Verbs | None = None) -> DataFrame:
+    """pairs (keys, source, target, predicted) -> keys, side, bucket, src_pos, tgt_pos, diff: the error sites of all pairs, in one pass.
+
+    Both targets are aligned with the source and walked in the same batch, so tags never leave it. Pairs with a null text, or whose tags
+    don't give back their target, give no sites.
+    """
+    forms = {(a, tag): b for (a, b), tag in verbs.items()} if verbs else None
+
+    def tags(a: str, b: str) -> list[Item] | None:
+        found = align(a, b, verbs)
+        return found if found is not None and "".join(decode(found, forms).split()) == "".join(b.split()) else None
+
+    def work(a: str, b: str, guess: str) -> list[tuple]:
+        gold = tags(a, b)
+        pred = gold if guess == b else tags(a, guess)
+        return [] if gold is None or pred is None else sites(gold, pred, b, guess, variant)
+
+    columns = (("side", pa.string()), ("bucket", pa.string()), ("src_pos", pa.int32()), ("tgt_pos", pa.int32()), ("diff", pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lru_cache(KEPT)(work)
+        for batch in batches:
+            made = [own(*values) for values in zip(*(batch.column(c).to_pylist() for c in (source, target, predicted)), strict=True)]
+            rows = batch.select(list(keys)).take(pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made])))
+            flat = list(zip(*(site for m in made for site in m), strict=True)) or [()] * len(columns)
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(v, t) for v, (_, t) in zip(flat, columns, strict=True))], [*keys, *(n for n, _ in columns)])
+
+    known = spread(pairs.where(F.col(source).isNotNull() & F.col(target).isNotNull() & F.col(predicted).isNotNull()).select(*keys, source, target, predicted))
+    kind = T_.StructType([*(known.schema[k] for k in keys), *T_.StructType.fromDDL("side string, bucket string, src_pos int, tgt_pos int, diff string").fields])
+    return known.mapInArrow(run, kind)
+
+
 def exploded_sites(with_sites_: DataFrame, *keys: str) -> DataFrame:
-    """A row for each site, numbered by source and target position within its line, side and bucket."""
-    out = with_sites_.select(*keys, F.explode("sites").alias("s")).select(*keys, "s.*")
+    """A row for each site of with_sites(), numbered."""
+    return numbered_sites(with_sites_.select(*keys, F.explode("sites").alias("s")).select(*keys, "s.*"), *keys)
+
+
+def numbered_sites(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sites with `site`, their number by source and target position within their line, side and bucket."""
     order = Window.partitionBy(*keys, "side", "bucket").orderBy("src_pos", "tgt_pos", "diff")
-    return out.withColumn("site", F.row_number().over(order) - 1)
+    return rows.withColumn("site", F.row_number().over(order) - 1)
 
 
 def prefixes(lines: DataFrame, site_rows: DataFrame, lang: str = "en", key: str = "line_no") -> DataFrame:
@@ -354,27 +396,36 @@ def prefixes(lines: DataFrame, site_rows: DataFrame, lang: str = "en", key: str
 
     Sites at -1, outside the line or at punctuation are left out; those that stay are numbered again (rank, from 0) in their order.
     """
-    tokens = lines.select(key, blank_tokens(F.col("src")).alias("src_tokens"), blank_tokens(F.col("tgt")).alias("tgt_tokens"))
-    out = site_rows.join(tokens, key)
+    tokens = lines.select(key, F.trim("src").alias("__src"), F.trim("tgt").alias("__tgt"))
+    out = site_rows.join(tokens, key).withColumn("src_tokens", blank_tokens(F.col("__src"))).withColumn("tgt_tokens", blank_tokens(F.col("__tgt")))
     src, tgt = F.get("src_tokens", F.col("src_pos")), F.get("tgt_tokens", F.col("tgt_pos"))
     inside = (F.col("src_pos") >= 0) & (F.col("tgt_pos") >= 0) & (F.col("src_pos") < F.size("src_tokens")) & (F.col("tgt_pos") < F.size("tgt_tokens"))
-    out = out.where(inside).where(~T.is_punctuation(src, lang) & ~T.is_punctuation(tgt, lang))
+    out = out.where(inside).where(~T.is_punctuation(src, lang) & ~T.is_punctuation(tgt, lang)).drop("src_tokens", "tgt_tokens")
     order = Window.partitionBy(key, *(c for c in ("side", "bucket") if c in site_rows.columns)).orderBy("src_pos", "tgt_pos", *(["diff"] if "diff" in site_rows.columns else []))
     out = out.withColumn("rank", F.row_number().over(order) - 1)
-    return out.withColumn("src_prefix", prefix(F.col("src_tokens"), F.col("src_pos"))).withColumn("tgt_prefix", prefix(F.col("tgt_tokens"), F.col("tgt_pos"))).drop("src_tokens", "tgt_tokens")
+    return out.withColumn("src_prefix", prefix(F.col("__src"), F.col("src_pos"))).withColumn("tgt_prefix", prefix(F.col("__tgt"), F.col("tgt_pos"))).drop("__src", "__tgt")
+
+
+def cyclic(positive: Column, negative: Column) -> Column:
+    """Two arrays -> array<struct<pos, neg>>: the negatives after the first, negative k with positive (k - 1) mod P. None without a positive."""
+    pairs = F.transform(F.slice(negative, F.lit(2), F.greatest(F.size(negative), F.lit(1))), lambda x, i: F.struct(F.get(positive, i % F.size(positive)).alias("pos"), x.alias("neg")))
+    return F.when(F.size(positive) > 0, pairs)
 
 
 def cyclic_pairs(positive: DataFrame, negative: DataFrame, key: str = "line_no", rank: str = "rank") -> DataFrame:
-    """Within a line the negatives after the first, each with the positive of its turn: negative k with positive (k - 1) mod P.
+    """cyclic() within each line of two tables (key, rank, ...): columns pos_* and neg_*.
 
-    An equi-join on the line and the turn; lines without a positive, or with one negative, give nothing.
+    Both sides of a line are gathered in one pass, in the order of their ranks, and paired by their places; lines without a positive, or
+    with one negative, give nothing.
     """
-    counted = positive.groupBy(key).agg(F.count("*").alias("__n"))
-    turn = F.pmod(F.col(rank) - 1, F.col("__n"))
-    right = negative.where(F.col(rank) >= 1).join(counted, key).withColumn("__turn", turn)
-    left = positive.withColumn("__turn", F.col(rank).cast("bigint"))
-    renamed = lambda df, mark: df.select(key, "__turn", *(F.col(c).alias(f"{mark}_{c}") for c in df.columns if c not in (key, "__turn", "__n")))
-    return renamed(left, "pos").join(renamed(right, "neg"), [key, "__turn"]).drop("__turn")
+    kinds = [f"struct<{', '.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in df.schema.fields if f.name != key)}>" for df in (positive, negative)]
+    row = lambda df: F.struct(F.col(rank).cast("bigint").alias("__rank"), F.struct(*(c for c in df.columns if c != key)).alias("row"))
+    none = lambda kind: F.lit(None).cast(f"struct<__rank:bigint,row:{kind}>")
+    both = positive.select(key, row(positive).alias("p"), none(kinds[1]).alias("n")).union(negative.select(key, none(kinds[0]).alias("p"), row(negative).alias("n")))
+    side = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["row"])
+    pairs = both.groupBy(key).agg(side("p").alias("p"), side("n").alias("n")).select(key, F.explode(cyclic(F.col("p"), F.col("n"))).alias("x"))
+    names = lambda df, mark: [F.col("x")[mark][c].alias(f"{mark}_{c}") for c in df.columns if c != key]
+    return pairs.select(key, *names(positive, "pos"), *names(negative, "neg"))
 
 
 def tags_as_edits(items: Column) -> Column:

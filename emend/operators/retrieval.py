@@ -40,21 +40,30 @@ def spread_number(*keys: Column, seed: int) -> Column:
     return F.xxhash64(*keys, F.lit(seed))
 
 
-def sampled(lines: DataFrame, pool: DataFrame, n: int, key: str = "line_no", seed: int = 0, buckets: int = 64) -> DataFrame:
-    """For each line n different rows of a pool (id, ...), chosen by keyed hashes: lines (key) x n with the pool's columns.
+def drawn_number(key: Column, draw: Column | int, seed: int) -> Column:
+    """A whole number below 2 ** 52 for each key and draw, from a digest that other engines have too."""
+    parts = F.concat_ws("|", key.cast("string"), (draw if isinstance(draw, Column) else F.lit(draw)).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(parts.cast("binary")), 1, 13), 16, 10).cast("bigint")
 
-    A line starts at a place of the pool's random order and takes the n rows from there on: an equi-join on the place, not a product.
+
+def sampled(lines: DataFrame, pool: DataFrame, n: int, key: str = "line_no", seed: int = 0) -> DataFrame:
+    """For each line n different rows of a pool (id, ...), each set of n as likely as any other: lines (key) x n with the pool's columns and `draw`.
+
+    Rows of the pool have places from 0 without gaps. Draw d takes a place among the first N - n + d, or the last of these if that place is
+    taken already: n places that differ, in one pass over n numbers. A pool of fewer than n rows gives all of them to each line.
     """
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(spread_number(F.col("id"), seed=seed), "id")) - 1
-    dealt = pool.withColumn("bucket", F.pmod(spread_number(F.col("id"), seed=seed + 1), F.lit(buckets)).cast("int")).withColumn("place", place)
-    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") >= n)
-    order = F.row_number().over(Window.orderBy("bucket")) - 1  # at most `buckets` rows
-    sizes = sizes.withColumn("turn", order).withColumn("turns", F.count("*").over(Window.partitionBy()))
-    first = sizes.agg(F.max("turns").alias("turns"))
-    asked = lines.select(key).crossJoin(F.broadcast(first)).withColumn("turn", F.pmod(spread_number(F.col(key), seed=seed + 2), F.col("turns")).cast("int"))  # one row
-    asked = asked.drop("turns").join(F.broadcast(sizes.drop("turns")), "turn").withColumn("start", F.pmod(spread_number(F.col(key), seed=seed + 3), F.col("size")))
-    asked = asked.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("place", F.pmod(F.col("start") + F.col("draw") - 1, F.col("size")).cast("int"))
-    return asked.select(key, "draw", "bucket", "place").join(dealt, ["bucket", "place"]).drop("bucket", "place")
+    size = pool.agg(F.least(F.count("*"), F.lit(n)).alias("__k"), F.count("*").alias("__size"))
+    asked = lines.select(key).crossJoin(F.broadcast(size))  # one row
+
+    def step(acc: Column, d: Column) -> Column:
+        last = F.col("__size") - F.col("__k") + d - 1
+        at = F.pmod(drawn_number(F.col(key), d, seed), last + 1)
+        return F.concat(acc, F.array(F.when(F.array_contains(acc, at), last).otherwise(at)))
+
+    draws = F.when(F.col("__k") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("__k"))).otherwise(F.array().cast("array<bigint>"))
+    places = F.aggregate(draws, F.array().cast("array<bigint>"), step)
+    asked = asked.select(key, F.posexplode(places).alias("draw", "place")).withColumn("draw", F.col("draw") + 1)
+    return asked.join(numbered(pool, ["id"], "place"), "place").drop("place")
 
 
 def drawn(lines: DataFrame, pool: DataFrame, n: int, key: str = "line_no", seed: int = 0) -> DataFrame:

@@ -200,17 +200,34 @@ def _block_top(k: int):
     return top
 
 
+def _few_queries(queries: list, k: int):
+    """Batches of train rows against all queries: k rows for each query and batch."""
+    known = pd.DataFrame({"id": [q["id"] for q in queries], "v": [np.array(q["v"]) for q in queries]})
+    top = _block_top(k)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield top(known, rows)
+
+    return run
+
+
 def cosine_top(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
     """queries (id, vec), train (id, vec) -> query, rank, id, similarity: the k most similar, ties to the smaller id.
 
-    Both sides are dealt into blocks; each pair of blocks is one matrix product that gives k rows for each query.
+    Up to QUERY_BLOCK queries go to all tasks, and train rows stay where they are. More queries are dealt into blocks, as are the
+    train rows; each pair of blocks is one matrix product that gives k rows for each query.
     """
     unit_rows = lambda df: df.select("id", unit(F.col("vec")).alias("v"))
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    first = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    few = unit_rows(queries).limit(QUERY_BLOCK + 1).collect()
+    schema = "query bigint, id bigint, similarity double"
+    if len(few) <= QUERY_BLOCK:
+        return first(unit_rows(train).mapInPandas(_few_queries(few, k), schema))
     n_q, n_t = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (train, TRAIN_BLOCK)))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     q = unit_rows(queries).withColumn("qb", block(n_q, 1)).withColumn("tb", spread(n_t))
     t = unit_rows(train).withColumn("tb", block(n_t, 2)).withColumn("qb", spread(n_q))
-    found = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(_block_top(k), "query bigint, id bigint, similarity double")
-    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return first(q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(_block_top(k), schema))

@@ -139,8 +139,8 @@ def punct_predicate(spark, sf_dir):
 @query(rf"""WITH {SENTENCES_SQL}, u AS (SELECT doc_id, sent, tokens, unnest(range(len(tokens)))::INTEGER AS pos FROM sentences)
 SELECT doc_id, sent, pos, md5(array_to_string(tokens[1:pos + 1], ' ')) AS prefix_md5 FROM u WHERE NOT contains('!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', tokens[pos + 1])""")
 def prefix_truncation(spark, sf_dir):
-    rows = sentences(spark, sf_dir).select("doc_id", "sent", "tokens", F.posexplode("tokens").alias("pos", "token")).where(~tags.is_punctuation(F.col("token")))
-    return rows.select("doc_id", "sent", "pos", F.md5(text.prefix(F.col("tokens"), F.col("pos")).cast("binary")).alias("prefix_md5"))
+    rows = sentences(spark, sf_dir).select("doc_id", "sent", "src", F.posexplode("tokens").alias("pos", "token")).where(~tags.is_punctuation(F.col("token")))
+    return rows.select("doc_id", "sent", "pos", F.md5(text.prefix(F.col("src"), F.col("pos")).cast("binary")).alias("prefix_md5"))
 
 
 # --- tags ---------------------------------------------------------------------
@@ -195,8 +195,8 @@ def edit_tags(spark, sf_dir):
 @query()
 def edit_sites(spark, sf_dir):
     """Error sites of all derived pairs, by side and bucket."""
-    tagged = edits.with_tags(pairs(spark, sf_dir)).withColumn("pred_items", F.col("items")).withColumn("pred_tgt", F.col("tgt"))
-    return edits.exploded_sites(edits.with_sites(tagged), "doc_id", "sent").groupBy("side", "bucket").agg(F.count("*").alias("n"), F.count_distinct("diff").alias("diffs"))
+    rows = pairs(spark, sf_dir).withColumn("pred_tgt", F.col("tgt"))
+    return edits.site_rows(rows, "doc_id", "sent").groupBy("side", "bucket").agg(F.count("*").alias("n"), F.count_distinct("diff").alias("diffs"))
 
 
 # --- joins --------------------------------------------------------------------
@@ -236,18 +236,27 @@ def missing_index(spark, sf_dir):
 
 
 _CAPITAL_SQL = rf"""WITH {SENTENCES_SQL}, u AS (SELECT doc_id, sent, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM sentences),
-r AS (SELECT doc_id, sent, pos, token <> lower(token) AS capital, row_number() OVER (PARTITION BY doc_id, sent, token <> lower(token) ORDER BY pos) - 1 AS rank, count(*) OVER (PARTITION BY doc_id, sent, token <> lower(token)) AS n FROM u)
-SELECT p.doc_id, p.sent, p.pos::INTEGER AS pos_pos, q.pos::INTEGER AS neg_pos FROM r q JOIN r p ON p.doc_id = q.doc_id AND p.sent = q.sent AND p.capital AND NOT q.capital AND q.rank >= 1 AND p.rank = (q.rank - 1) % p.n"""
+r AS (SELECT doc_id, sent, pos, token <> lower(token) AS capital, row_number() OVER (PARTITION BY doc_id, sent, token <> lower(token) ORDER BY pos) - 1 AS rank, count(*) FILTER (WHERE token <> lower(token)) OVER (PARTITION BY doc_id, sent) AS n FROM u),
+q AS (SELECT doc_id, sent, pos, (rank - 1) % n AS turn FROM r WHERE NOT capital AND rank >= 1 AND n > 0),
+p AS (SELECT doc_id, sent, pos, rank AS turn FROM r WHERE capital)
+SELECT doc_id, sent, p.pos::INTEGER AS pos_pos, q.pos::INTEGER AS neg_pos FROM q JOIN p USING (doc_id, sent, turn)"""
 
 
 @query(_CAPITAL_SQL)
 def cyclic_pairing(spark, sf_dir):
     """Within each sentence, capitalised tokens as positives and the others as negatives."""
-    rows = sentences(spark, sf_dir).select("doc_id", "sent", F.posexplode("tokens").alias("pos", "token")).withColumn("capital", F.col("token") != F.lower("token"))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "sent", "capital").orderBy("pos")) - 1).withColumn("line", F.struct("doc_id", "sent"))
-    side = lambda yes: rows.where(F.col("capital") == yes).select("line", "rank", "pos")
-    out = edits.cyclic_pairs(side(True), side(False), "line")
-    return out.select("line.doc_id", "line.sent", "pos_pos", "neg_pos")
+    rows = sentences(spark, sf_dir).withColumn("marked", F.transform("tokens", lambda t, i: F.struct(i.alias("i"), (t != F.lower(t)).alias("capital"))))
+    places = lambda yes: F.transform(F.filter("marked", lambda m: m["capital"] == F.lit(yes)), lambda m: m["i"])
+    sides = rows.select("doc_id", "sent", places(True).alias("p"), places(False).alias("n"))
+    return sides.select("doc_id", "sent", F.explode(edits.cyclic(F.col("p"), F.col("n"))).alias("x")).select("doc_id", "sent", F.col("x.pos").alias("pos_pos"), F.col("x.neg").alias("neg_pos"))
+
+
+@query(_CAPITAL_SQL)
+def cyclic_pairing_rows(spark, sf_dir):
+    """The same from two tables of sites."""
+    rows = sentences(spark, sf_dir).select(F.struct("doc_id", "sent").alias("line"), F.posexplode("tokens").alias("pos", "token")).withColumn("capital", F.col("token") != F.lower("token"))
+    side = lambda yes: rows.where(F.col("capital") == yes).select("line", "pos", F.col("pos").alias("rank"))
+    return edits.cyclic_pairs(side(True), side(False), "line").select("line.doc_id", "line.sent", "pos_pos", "neg_pos")
 
 
 @query("""WITH m AS (SELECT conv_id, turn, role, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN 1 ELSE 0 END AS f FROM conversations)
@@ -378,15 +387,23 @@ def dynamic_limits(spark, sf_dir):
     return retrieval.limits(rows, 2, 10, 4.5)
 
 
-@query()
+@query("""WITH pool AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents), n AS (SELECT count(*) AS n FROM documents),
+h AS (SELECT doc_id, n, ('0x' || substr(md5(doc_id || '|1|0'), 1, 13))::BIGINT % (n - 1) AS a, ('0x' || substr(md5(doc_id || '|2|0'), 1, 13))::BIGINT % n AS b FROM documents, n),
+d AS (SELECT doc_id, 1 AS draw, a AS place FROM h UNION ALL SELECT doc_id, 2, CASE WHEN a = b THEN n - 1 ELSE b END FROM h)
+SELECT doc_id, draw::INTEGER AS draw, id FROM d JOIN pool USING (place)""")
 def sample_without_replacement(spark, sf_dir):
     """Two different documents for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    pool = docs.select(F.col("doc_id").alias("id"))
-    return retrieval.sampled(docs, pool, 2, "doc_id", buckets=4).select("doc_id", "draw", "id")
+    return retrieval.sampled(docs, docs.select(F.col("doc_id").alias("id")), 2, "doc_id").select("doc_id", "draw", "id")
 
 
-@query()
+@query(r"""WITH RECURSIVE w AS (SELECT doc_id AS idx, greatest(1, len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) // 2) AS weight FROM documents),
+s AS (SELECT idx, sum(weight) OVER (ORDER BY idx) AS upto FROM w), t AS (SELECT count(*) AS n, ceil(sum(weight) / 8) AS share FROM w),
+chain AS (SELECT a.idx, a.upto, min(b.idx) AS after FROM s a, t, s b WHERE b.idx > a.idx AND b.upto - a.upto >= share GROUP BY a.idx, a.upto),
+r AS (
+  SELECT 0 AS shard, 0::BIGINT AS start, (SELECT min(idx) FROM s, t WHERE upto >= share) AS last
+  UNION ALL SELECT shard + 1, last + 1, after FROM r LEFT JOIN chain ON idx = last WHERE shard < 7 AND last IS NOT NULL)
+SELECT shard::INTEGER AS shard, start, CASE WHEN shard = 7 OR last IS NULL THEN (SELECT n FROM t) ELSE last + 1 END AS "end" FROM r""")
 def balanced_ranges(spark, sf_dir):
     """Eight ranges of documents of about as many words each."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.greatest(F.lit(1), F.floor(F.size(text.words(F.col("text"))) / 2)).alias("weight"))
@@ -498,13 +515,35 @@ def m2_score(spark, sf_dir):
     return m2.corpus_score(readers.m2_annotations(_m2_lines(spark)).join(said, "sent_idx"))
 
 
-@query()
+@query(r"""WITH RECURSIVE cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
+each AS (SELECT doc_id, unnest(range(len(parts))) AS i, unnest(parts) AS sentence FROM cut),
+counted AS (SELECT doc_id, i, sentence, CASE WHEN trim(regexp_replace(sentence, '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(sentence, '\s+', ' ', 'g')), ' ')) END AS n FROM each),
+run AS (
+  SELECT doc_id, i, 0 AS part, n FROM counted WHERE i = 0
+  UNION ALL
+  SELECT c.doc_id, c.i, CASE WHEN r.n + c.n <= 100 THEN r.part ELSE r.part + 1 END, CASE WHEN r.n + c.n <= 100 THEN r.n + c.n ELSE c.n END FROM run r JOIN counted c ON c.doc_id = r.doc_id AND c.i = r.i + 1)
+SELECT doc_id, part::INTEGER AS part, string_agg(sentence, ' ' ORDER BY i) AS value FROM run JOIN counted USING (doc_id, i) GROUP BY doc_id, part""")
 def packed_sentences(spark, sf_dir):
     """Texts cut into sentences that are put together again within 100 words."""
     parts = text.pack_sentences(F.col("text"), 100)
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("part", "value"))
 
 
-@query()
+def _treebank_sql(ptb: bool) -> str:
+    quoted = lambda s: s.replace("'", "''")
+    line = r"' ' || regexp_replace(text, '^\s+|\s+$', '', 'g') || ' '"
+    for pattern, new in text.treebank_rules("en", ptb):
+        line = f"regexp_replace({line}, '{quoted(pattern)}', '{quoted(new).replace('$', chr(92))}', 'g')"
+    short = ", ".join(f"'{x}'" for x in text.ABBREVIATIONS["en"])
+    return rf"""(SELECT doc_id, array_to_string(list_transform(own, lambda w, i: CASE WHEN w LIKE '%.' AND NOT regexp_full_match(w, '\.+') AND NOT (contains(left(w, length(w) - 1), '.') AND regexp_matches(w, '[a-zA-Z]'))
+  AND left(w, length(w) - 1) NOT IN ({short}) AND NOT coalesce(regexp_matches(own[i + 1], '^\d'), false) THEN left(w, length(w) - 1) || ' .' ELSE w END), ' ') AS line
+  FROM (SELECT doc_id, string_split(trim(regexp_replace({line}, '\s+', ' ', 'g')), ' ') AS own FROM documents))"""
+
+
+_FINAL_SQL = r"trim(regexp_replace(replace(regexp_replace({0}.line, '''\s+''', '''''', 'g'), '-CONTRACT-', ''''), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {_FINAL_SQL.format('a')} AS plain, {_FINAL_SQL.format('b')} AS ptb FROM {_treebank_sql(False)} a JOIN {_treebank_sql(True)} b USING (doc_id)")
 def treebank_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.words(text.treebank(F.col("text")))).alias("n_tokens"))
+    """The scorer's tokens, without and with the treebank's brackets, quotes and contractions."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.treebank(F.col("text")).alias("plain"), text.treebank(F.col("text"), ptb=True).alias("ptb"))

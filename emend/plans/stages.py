@@ -148,7 +148,7 @@ def retrieved(lines: DataFrame, test_sites: DataFrame, train_sites: DataFrame, t
     train = both[1].select(F.col("site_id").alias("id"), F.get(parts, F.lit(0)).alias("text"), F.get(parts, F.lit(1)).alias("label"), "key", F.col("projected").alias("vec"))
     near = retrieval.site_neighbours(test, train, lang.top_k, run.demo_floor)
     right = train_pairs.where("src = tgt").select(F.col("line_no").alias("id"), F.col("src").alias("text"), F.col("tgt").alias("label"))
-    correct = retrieval.sampled(lines, right, lang.correct_examples, seed=0, buckets=1 if right.limit(1000).count() < 1000 else 64)
+    correct = retrieval.sampled(lines, right, lang.correct_examples, seed=0)
     return retrieval.retrieval_rows(lines, retrieval.example_lists(near, correct, lang.train), lang.test)
 
 

@@ -98,3 +98,14 @@ def test_edits_applied(spark):
     assert rows.select(edits.edits_applied(F.col("t"), F.col("e")).alias("v")).first().v == "x y C"
     merged = spark.createDataFrame([(["in", "to", "it"], [(0, 2, "$MERGE_SPACE")])], "t array<string>, e array<struct<start:int,end:int,label:string>>")
     assert merged.select(edits.edits_applied(F.col("t"), F.col("e")).alias("v")).first().v == "into it"
+
+
+def test_site_rows_are_those_of_two_passes(spark):
+    rows = [(0, "a b c", "a x c", "a b c"), (1, "the cat sat", "the cats sat down", "the cats sat down"), (2, "a-b c", "a b c d", "a b d"), (3, None, "x", "x"), (4, "same", "same", "same"), (5, "SEPL|||SEPR", "x", "x")]
+    df = spark.createDataFrame(rows, "line_no long, src string, tgt string, pred_tgt string")
+    one = sorted(map(str, edits.numbered_sites(edits.site_rows(df, "line_no"), "line_no").collect()))
+    tagged = edits.with_tags(df)
+    guess = edits.with_tags(df.select("line_no", "src", F.col("pred_tgt").alias("tgt"))).select("line_no", F.col("items").alias("pred_items"))
+    two = edits.exploded_sites(edits.with_sites(tagged.join(guess, "line_no")), "line_no")
+    assert one == sorted(map(str, two.collect())) and len(one) > 8
+    assert edits.site_rows(df.limit(0), "line_no").count() == 0

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -79,11 +81,21 @@ def test_directions(spark):
 
 def test_sampling(spark):
     lines, pool = spark.range(50).toDF("line_no"), spark.range(200).toDF("id")
-    got = retrieval.sampled(lines, pool, 3, buckets=4).collect()
+    got = retrieval.sampled(lines, pool, 3).collect()
     by_line = {k: [r.id for r in got if r.line_no == k] for k in range(50)}
     assert all(len(v) == 3 == len(set(v)) for v in by_line.values()) and len({r.id for r in got}) > 60
-    assert sorted(map(tuple, got)) == sorted(map(tuple, retrieval.sampled(lines, pool, 3, buckets=4).collect()))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, retrieval.sampled(lines, pool, 3).collect()))
     assert retrieval.drawn(lines, pool, 2).count() == 100
+    # every row of a small pool can be drawn, and pairs are as likely as any other
+    small = spark.range(40).toDF("id")
+    drawn = retrieval.sampled(spark.range(4000).toDF("line_no"), small, 2).collect()
+    times = Counter(r.id for r in drawn)
+    assert len(times) == 40 and all(140 < n < 260 for n in times.values())
+    pairs = {}
+    for r in drawn:
+        pairs.setdefault(r.line_no, set()).add(r.id)
+    assert len({frozenset(p) for p in pairs.values()}) > 700
+    assert retrieval.sampled(lines, spark.range(2).toDF("id"), 3).count() == 100 and retrieval.sampled(lines, small.limit(0), 3).count() == 0
     assert {r.s for r in lines.select(retrieval.random_sign(F.col("line_no")).alias("s")).collect()} == {1, -1}
 
 
@@ -110,7 +122,7 @@ def test_neighbours_and_rows(spark):
     assert retrieval.site_neighbours(sites, train, 2, by_text=True).count() == 4
     lines = spark.createDataFrame([(0, "a"), (1, "b")], "line_no long, src string")
     pool = train.select("id", "text", F.col("text").alias("label"))
-    lists = retrieval.example_lists(near, retrieval.sampled(lines, pool, 1, buckets=1), "train")
+    lists = retrieval.example_lists(near, retrieval.sampled(lines, pool, 1), "train")
     rows = retrieval.retrieval_rows(lines, lists, "test").orderBy("id").collect()
     assert [len(r.in_domain_examples) for r in rows] == [7, 1] and rows[0].in_domain_examples[-1].key == "Cor" and rows[0].id == "0_test"
     stats = retrieval.retrieval_stats(retrieval.retrieval_rows(lines, lists, "test")).first()

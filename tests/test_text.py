@@ -52,11 +52,21 @@ def test_chains(spark):
         assert value(spark, text.postprocessed(F.lit("A b, c."), dataset)) is not None
 
 
+TREEBANK = [
+    ("Don't stop, he cannot.", False, "Don 't stop , he cannot ."), ("Don't stop, he cannot.", True, "Do n't stop , he can not ."), ("Mr. Smith paid $3.50 at 5 p.m. today.", False, "Mr. Smith paid $ 3.50 at 5 p.m. today ."),
+    ("wait... what--no?", False, "wait ... what -- no ?"), ("1,000 apples,pears and 3,x", False, "1,000 apples , pears and 3 , x"), ("a|b and/or c", False, "a -PIPE- b and / or c"), ("(see [this] {that})", True, "-LRB- see -LSB- this -RSB- -LCB- that -RCB- -RRB-"),
+    ('He said "yes" twice', True, "He said `` yes '' twice"), ("John's dog", False, "John 's dog"), ("in fig. 3 it", False, "in fig. 3 it"), ("the end. Then", False, "the end . Then"), ("They'll see we've", True, "They 'll see we 've"), ("", False, ""), ("...", False, "..."),
+]
+
+
 def test_treebank(spark):
-    assert value(spark, text.treebank(F.lit("Don't stop, he cannot."))).split() == ["Do", "n't", "stop", ",", "he", "can", "not", "."]
-    assert value(spark, text.treebank(F.lit("l'eau est là."), "fr")).split() == ["l'", "eau", "est", "là", "."]
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(TREEBANK)], "i long, line string, ptb boolean, want string")
+    got = rows.select("line", "want", F.when(F.col("ptb"), text.treebank(F.col("line"), ptb=True)).otherwise(text.treebank(F.col("line"))).alias("got")).collect()
+    for r in got:
+        assert r.got == r.want, r.line
+    assert value(spark, text.treebank(F.lit("l'eau est là, 3,5."), "fr")).split() == ["l'", "eau", "est", "là", ",", "3,5", "."]
     assert value(spark, text.treebank(F.lit(" a  b "), "de")) == "a b"
-    assert value(spark, text.token_offset(F.lit("He cannot go"), F.lit(9))) == 3
+    assert value(spark, text.token_offset(F.lit("He cannot go"), F.lit(9))) == 2
 
 
 def test_sentences_are_packed(spark):

@@ -246,7 +246,8 @@ def draw(kind: str, normal: str, key: bytes, attempt: int = 0, gender: str = "")
 def written(surrogate: str, kind: str, place: str) -> str:
     """The surrogate in the form of the place: digits between its punctuation, letters in its case."""
     if kind in ("card", "phone", "ssn", "iban"):
-        signs = iter((regex.sub(r"\D", "", place)[: max(0, n - 10)] if kind == "phone" else "") + surrogate)  # the country's code stays
+        digits = regex.sub(r"\D", "", place)
+        signs = iter((digits[: max(0, len(digits) - 10)] if kind == "phone" else "") + surrogate)  # the country's code stays
         return "".join(next(signs) if c.isalnum() else c for c in place) + "".join(signs)
     if kind == "ip":
         return surrogate

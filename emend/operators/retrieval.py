@@ -35,11 +35,6 @@ def site_neighbours(sites: DataFrame, train: DataFrame, k: int, floor: int = 0,
     return found.join(ranked, found["query"] == ranked["site_id"]).join(rows.select("id", "text", "label", "key"), "id").select("line_no", "site_rank", "rank", "id", "text", "label", "key", "similarity")
 
 
-def spread_number(*keys: Column, seed: int) -> Column:
-    """A number that depends on the keys and the seed only; orders rows at random, the same way in every run."""
-    return F.xxhash64(*keys, F.lit(seed))
-
-
 def drawn_number(key: Column, draw: Column | int, seed: int) -> Column:
     """A whole number below 2 ** 52 for each key and draw, from a digest that other engines have too."""
     parts = F.concat_ws("|", key.cast("string"), (draw if isinstance(draw, Column) else F.lit(draw)).cast("string"), F.lit(str(seed)))
@@ -71,11 +66,11 @@ def drawn(lines: DataFrame, pool: DataFrame, n: int, key: str = "line_no", seed:
     size = pool.agg(F.count("*").alias("size"))
     placed = numbered(pool, ["id"], "place")
     asked = lines.select(key).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).crossJoin(F.broadcast(size))  # one row
-    return asked.withColumn("place", F.pmod(spread_number(F.col(key), F.col("draw"), seed=seed), F.col("size")).cast("int")).drop("size").join(placed, "place").drop("place")
+    return asked.withColumn("place", F.pmod(drawn_number(F.col(key), F.col("draw"), seed), F.col("size"))).drop("size").join(placed, "place").drop("place")
 
 
 def random_sign(key: Column, seed: int = 0) -> Column:
-    return F.when(F.pmod(spread_number(key, seed=seed), F.lit(2)) == 0, 1).otherwise(-1)
+    return F.when(F.pmod(drawn_number(key, 0, seed), F.lit(2)) == 0, 1).otherwise(-1)
 
 
 def min_max(value: Column, *keys: str) -> Column:

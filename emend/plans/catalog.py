@@ -228,11 +228,12 @@ def positional_join(spark, sf_dir):
     return out.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), "n_chars", F.col("there").isNull().alias("unlabelled"))
 
 
-@query("SELECT l.doc_id FROM labels l ANTI JOIN documents d ON l.doc_id = d.doc_id UNION ALL SELECT d.doc_id FROM documents d ANTI JOIN labels l ON l.doc_id = d.doc_id")
+@query("SELECT i AS doc_id FROM range(0, (SELECT max(doc_id) + 10 FROM documents)) t(i) ANTI JOIN labels l ON l.doc_id = i")
 def missing_index(spark, sf_dir):
-    """Ids that only one of the two tables has."""
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    return labels.join(docs, "doc_id", "left_anti").union(docs.join(labels, "doc_id", "left_anti"))
+    """Numbers up to nine beyond the last document that no label has."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    n = docs.agg(F.max("doc_id")).first()[0] + 10
+    return retrieval.missing(labels, "doc_id", n)
 
 
 _CAPITAL_SQL = rf"""WITH {SENTENCES_SQL}, u AS (SELECT doc_id, sent, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM sentences),

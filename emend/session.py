@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -32,3 +33,14 @@ def reachable(spark: SparkSession) -> SparkSession:
     if own not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, own])
     return spark
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A new folder in the one that driver and executors share; on one machine, where none is set, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='emend-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -1,11 +1,13 @@
 """Registered queries against their SQL, on the smallest tables."""
 
+import importlib
 import os
+import sys
 
 import duckdb
 import pytest
 
-from emend.plans import catalog
+from emend.plans import catalog, catalog_files  # noqa: F401  both register queries
 
 SF = os.environ.get("EMEND_TEST_SF", "/root/testdata/sf0.001")
 
@@ -33,8 +35,17 @@ def test_query(spark, oracle, name):
         assert len(got)
 
 
-def test_entry_runs_without_the_operators(spark):
+def test_entry_runs_without_the_operators(spark, monkeypatch):
     import __spark_entry__ as entry
 
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("emend.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    for name in ("corpus_pipeline", "emend.llm", "emend.llm.queries"):
+        monkeypatch.setitem(sys.modules, name, None)  # importing it is an ImportError
+    monkeypatch.delattr(sys.modules["emend"], "llm", raising=False)
+    entry = importlib.reload(entry)
+    assert entry.llm_queries is None and entry.corpus_pipeline is None
     assert entry.entry(spark).count() > 0
-    assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(catalog.QUERIES) == set(entry.queries()) and set(entry.oracle_sql()) == set(catalog.ORACLE_SQL)
+    monkeypatch.undo()
+    importlib.reload(entry)

@@ -23,12 +23,15 @@ def last_vector(rows: DataFrame) -> DataFrame:
 def site_neighbours(sites: DataFrame, train: DataFrame, k: int, floor: int = 0, by_text: bool = False) -> DataFrame:
     """sites (line_no, site_id, pc1, vec), train (id, text, label, key, vec) -> line_no, site_rank, rank, id, text, label, key, similarity.
 
-    k or the floor, whichever is more. Sites of a line go by falling |pc1|. Training texts of over 200 words take no part. by_text: vectors are looked up by key.
+    k or the floor, whichever is more. Sites of a line go by falling |pc1|. Training texts of over 200 words take no part. by_text: vectors of both sides are
+    looked up by key (sites have one then), in one index in which test sites come after, and so over, training sites.
     """
     rows = train.where(short_enough(F.col("key")))
     if by_text:
-        shared = last_vector(train.select(F.col("key").alias("text"), F.col("id").alias("seq"), "vec"))
-        rows = rows.drop("vec").join(shared.withColumnRenamed("text", "key"), "key")
+        seq = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).cast("bigint").alias("at")).alias("seq")
+        both = train.select(F.col("key").alias("text"), seq(0, "id"), "vec").union(sites.select(F.col("key").alias("text"), seq(1, "site_id"), "vec"))
+        shared = last_vector(both).withColumnRenamed("text", "key")
+        rows, sites = rows.drop("vec").join(shared, "key"), sites.drop("vec").join(shared, "key")
     found = cosine_top(sites.select(F.col("site_id").alias("id"), "vec"), rows.select("id", "vec"), max(k, floor))
     order = Window.partitionBy("line_no").orderBy(F.abs("pc1").desc(), "site_id")
     ranked = sites.withColumn("site_rank", F.row_number().over(order)).select("line_no", "site_id", "site_rank")

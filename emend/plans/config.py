@@ -45,6 +45,7 @@ class Run:
     chat: bool = True
     batch: int = 8
     seed: int = 88
+    by_text: bool = False
 
 
 #: Languages and their corpora; examples per sentence and neighbours per site; who scores.

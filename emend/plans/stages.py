@@ -137,16 +137,28 @@ def site_vectors(pairs: DataFrame, encoder, layer: int, lang: str, variant: str
     return named.select(F.xxhash64("line_no", "diff_id").alias("site_id"), "line_no", "diff_id", "vec", F.concat_ws("\t", "src", "diff").alias("key"), F.concat_ws("\t", "src", "tgt").alias("label"))
 
 
+def test_vectors(lines: DataFrame, predictions: DataFrame, encoder, layer: int, lang: str) -> DataFrame:
+    """site_vectors() of the test side: lines (line_no, src) against what was predicted for them (line_no, prediction), not against their targets.
+
+    The tags of the first predictions say where the sites are. Lines without a prediction, or with an empty one, have none.
+    """
+    said = predictions.select("line_no", F.col("prediction").alias("tgt")).where("trim(tgt) <> ''")
+    return site_vectors(lines.select("line_no", "src").join(said, "line_no"), encoder, layer, lang, "retrieve")
+
+
 def retrieved(lines: DataFrame, test_sites: DataFrame, train_sites: DataFrame, train_pairs: DataFrame, lang: Language, dimensions: int, run: Run) -> DataFrame:
-    """Retrieval rows for lines (line_no, src): scaled, projected, nearest sites, and correct examples at random."""
+    """Retrieval rows for lines (line_no, src): scaled, projected, nearest sites, and correct examples at random.
+
+    run.by_text: vectors of both sides are looked up by their key, and where a test site has the key of a training site, its vector stands for both.
+    """
     m = vectors.moments(train_sites)
     scale = lambda df: df.withColumn("vec", vectors.scaled(F.col("vec"), m))
     basis = vectors.principal(scale(train_sites), max(dimensions, 5))
     both = [vectors.in_components(scale(df), basis, "vec", "projected", dimensions) for df in (test_sites, train_sites)]
-    test = both[0].select("line_no", "site_id", F.get("projected", F.lit(0)).alias("pc1"), F.col("projected").alias("vec"))
+    test = both[0].select("line_no", "site_id", "key", F.get("projected", F.lit(0)).alias("pc1"), F.col("projected").alias("vec"))
     parts = F.split("label", "\t")
     train = both[1].select(F.col("site_id").alias("id"), F.get(parts, F.lit(0)).alias("text"), F.get(parts, F.lit(1)).alias("label"), "key", F.col("projected").alias("vec"))
-    near = retrieval.site_neighbours(test, train, lang.top_k, run.demo_floor)
+    near = retrieval.site_neighbours(test, train, lang.top_k, run.demo_floor, run.by_text)
     right = train_pairs.where("src = tgt").select(F.col("line_no").alias("id"), F.col("src").alias("text"), F.col("tgt").alias("label"))
     correct = retrieval.sampled(lines, right, lang.correct_examples, seed=0)
     return retrieval.retrieval_rows(lines, retrieval.example_lists(near, correct, lang.train), lang.test)
@@ -177,3 +189,30 @@ def scored(predictions: DataFrame, annotations: DataFrame, lang: Language, exter
     if external is None:
         raise NotImplementedError(f"{lang.code} is scored by an outside tool")
     return external(predictions)
+
+
+def whole_run(spark: SparkSession, folder: str, lines: DataFrame, train_pairs: DataFrame, lang: Language, model: Model, encoder, generator, run: Run = Run(), annotations: DataFrame | None = None, overwrite: bool = False) -> tuple[dict[str, DataFrame], list[str]]:
+    """All stages of a run over lines (line_no, src) and training pairs (line_no, src, tgt), each stored in the folder: first predictions, vectors of the
+    training side, retrieval, final predictions and, with gold annotations, the score. What is stored is not made again.
+    """
+    numbered_lines = lines.select("line_no", "src", F.concat_ws("_", F.col("line_no").cast("string"), F.lit(lang.test)).alias("id"), F.col("src").alias("text"))
+    plain = F.array().cast("array<struct<text:string,label:string>>")
+
+    def initial(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
+        asked = numbered_lines.withColumn("sentence", prompts.prompt(prompts.TEMPLATES["zero_shot"], plain, F.col("text")))
+        return answered(asked, generator, lang.test if lang.test in cleanup.LIKENESS else "conll14", run.batch)
+
+    def final(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
+        out = answered(final_prompts(t["retrieval"], run), generator, lang.test if lang.test in cleanup.LIKENESS else "conll14", run.batch)
+        return out.withColumn("line_no", F.split("id", "_")[0].cast("bigint"))
+
+    plan = [
+        Stage("initial", f"{folder}/initial", initial),
+        Stage("cache", f"{folder}/cache", lambda spark, t: site_vectors(train_pairs, encoder, model.layer, lang.code)),
+        Stage("test_sites", f"{folder}/test_sites", lambda spark, t: test_vectors(lines, t["initial"], encoder, model.layer, lang.code)),
+        Stage("retrieval", f"{folder}/retrieval", lambda spark, t: retrieved(lines, t["test_sites"], t["cache"], train_pairs, lang, model.retrieve_dim, run)),
+        Stage("final", f"{folder}/final", final),
+    ]
+    if annotations is not None and lang.scorer == "m2":
+        plan.append(Stage("score", f"{folder}/score", lambda spark, t: scored(t["final"].select("line_no", "prediction"), annotations, lang)))
+    return run_stages(spark, plan, overwrite)

@@ -109,3 +109,29 @@ def test_site_rows_are_those_of_two_passes(spark):
     two = edits.exploded_sites(edits.with_sites(tagged.join(guess, "line_no")), "line_no")
     assert one == sorted(map(str, two.collect())) and len(one) > 8
     assert edits.site_rows(df.limit(0), "line_no").count() == 0
+
+
+#: source, target, tags of the start token and of each token. By hand: equal stretches are kept, a changed stretch is cut into spans at the least number of letters that
+#: differ, a span's tag is the first that makes it of its token, what is over is appended.
+BY_HAND = [
+    ("a b c", "a b c", "K K K K"), ("a b c", "a c", "K K D K"), ("a c", "a b c", "K A_b K"), ("b c", "a b c", "A_a K K"), ("a b", "a b c d", "K K A_c,A_d"), ("a", "", "K D"), ("", "a", "A_a"),
+    ("the cat", "The cat", "K T_CASE_CAPITAL K"), ("the cat", "THE cat", "K T_CASE_UPPER K"), ("THE cat", "the cat", "K T_CASE_LOWER K"), ("iphone x", "iPhone x", "K T_CASE_CAPITAL_1 K"), ("abc x", "ABc x", "K T_CASE_UPPER_-1 K"),
+    ("one cat here", "one cats here", "K K T_AGREEMENT_PLURAL K"), ("two cats here", "two cat here", "K K T_AGREEMENT_SINGULAR K"), ("a well-known b", "a well known b", "K K T_SPLIT_HYPHEN K"), ("x-y-z", "x y z", "K T_SPLIT_HYPHEN"),
+    ("in to it", "into it", "K M_SPACE K K"), ("well known it", "well-known it", "K M_HYPHEN K K"), ("b a", "a b", "A_a K D"), ("go home", "went home", "K R_went K"), ("he go to", "he goes to", "K K R_goes K"),
+    ("x y z", "x q z", "K K R_q K"), ("see teh dog", "see the dog", "K K R_the K"), ("I has it", "I have it", "K K R_have K"), ("a b c d", "d", "K D D D K"), ("same same", "same", "K K D"), ("a", "a a", "K A_a"),
+    ("cat", "Cats", "K R_Cats"), ("cat sat", "cats Sat", "K T_AGREEMENT_PLURAL T_CASE_CAPITAL"), ("abcdef x", "abcdex y x", "K R_abcdex,A_y K"), ("in the in", "in a in", "K K R_a K"),
+]
+NAMES = {"K": "$KEEP", "D": "$DELETE", "A": "$APPEND", "R": "$REPLACE", "T": "$TRANSFORM", "M": "$MERGE"}
+
+
+@pytest.mark.parametrize(("source", "target", "want"), BY_HAND)
+def test_tags_by_hand(source, target, want):
+    tags = [[NAMES[t[0]] + t[1:] for t in own.split(",")] for own in want.split(" ")]
+    # a merge leaves its second token alone
+    assert [g for _, g in edits.align(source, target)] == tags
+
+
+def test_a_long_block_is_aligned_like_a_short_one():
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(41)]
+    found = edits.align(" ".join(words), " ".join(["NEW", *(w.upper() for w in words)]))
+    assert [g for _, g in found] == [["$APPEND_NEW"], *[["$TRANSFORM_CASE_UPPER"]] * 41]

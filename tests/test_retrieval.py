@@ -119,7 +119,9 @@ def test_neighbours_and_rows(spark):
     sites = spark.createDataFrame([(0, 10, 0.1, [1.0, 1.0]), (0, 11, -0.9, [5.0, 1.0])], "line_no long, site_id long, pc1 double, vec array<double>")
     near = retrieval.site_neighbours(sites, train, 2, 3)
     assert near.count() == 6 and near.where("site_rank = 1 and rank = 1").first().id == 5
-    assert retrieval.site_neighbours(sites, train, 2, by_text=True).count() == 4
+    keyed = sites.withColumn("key", F.when(F.col("site_id") == 10, "t5\td").otherwise("other"))
+    by_text = retrieval.site_neighbours(keyed, train, 2, by_text=True)
+    assert by_text.count() == 4 and [r.id for r in by_text.where("site_rank = 2").orderBy("rank").collect()] == [1, 5]  # the test site's vector stands for the training site of that key
     lines = spark.createDataFrame([(0, "a"), (1, "b")], "line_no long, src string")
     pool = train.select("id", "text", F.col("text").alias("label"))
     lists = retrieval.example_lists(near, retrieval.sampled(lines, pool, 1), "train")

@@ -144,6 +144,29 @@ def test_a_whole_run(spark, tmp_path):
         stages.scored(said, gold, config.language("ro"))
 
 
+def test_one_call_runs_all_stages(spark, tmp_path):
+    def changing_generator():
+        plain = models.stub_generator()
+        return lambda prompts: [a.replace("He go ", "He goes ") for a in plain(prompts)]
+
+    m2_file = write(tmp_path / "train.m2", "".join(f"S He go to school number {i} .\nA 1 2|||V|||goes|||REQUIRED|||-NONE-|||0\n\nS All is well here {i} .\n\n" for i in range(6)))
+    corpus = stages.prepare_wilocness(spark, m2_file)
+    sinks.write_table(corpus.select("line_no", F.col("text").alias("src"), F.col("label").alias("tgt")), str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    gold = readers.m2_annotations(readers.lines(spark, m2_file)).where("sent_idx < 4")
+    model = config.Model("stub", 5, -1)
+    for run in (config.Run(), config.Run(by_text=True, hints=True, template="hinted")):
+        folder = str(tmp_path / f"run-{run.by_text}")
+        args = (spark, folder, pairs.where("line_no < 4").select("line_no", "src"), pairs, config.language("en"), model, models.stub_encoder, changing_generator, run, gold)
+        tables, log = stages.whole_run(*args)
+        assert log == [f"made {n}" for n in ("initial", "cache", "test_sites", "retrieval", "final", "score")]
+        assert tables["initial"].count() == tables["final"].count() == 4 and tables["test_sites"].count() == 2
+        assert {r.id: len(r.in_domain_examples) for r in tables["retrieval"].collect()} == {"0_conll14": 6, "1_conll14": 2, "2_conll14": 6, "3_conll14": 2}
+        score = tables["score"].first()
+        assert (score.correct, score.proposed, score.gold) == (2, 2, 2)
+        assert all(x.startswith("kept") for x in stages.whole_run(*args)[1])
+
+
 def test_other_recipes(spark, tmp_path):
     src, tgt = write(tmp_path / "s", "Das ist ein Haus\n"), write(tmp_path / "t", "Das ist ein Haus .\n")
     assert stages.prepare_falko_merlin(spark, src, tgt).first().label == "Das ist ein Haus ."

@@ -107,11 +107,11 @@ def joined_by_key(many: DataFrame, one: DataFrame, key: str, rows: str) -> DataF
     Keys with most rows are broadcast with their row of `one`, so that no task gets all rows of one; as the numbers add up to the rows of
     many, these are MOST_HOT keys at most.
     """
-    total = one.agg(F.sum(rows)).first()[0] or 0
-    hot = F.col(rows) > max(TOGETHER, total // MOST_HOT)
-    few, rest = one.where(hot).drop(rows), one.where(~hot).drop(rows)
-    if few.isEmpty():
-        return many.join(rest, key)
+    total, most = one.agg(F.coalesce(F.sum(rows), F.lit(0)), F.coalesce(F.max(rows), F.lit(0))).first()
+    upto = max(TOGETHER, total // MOST_HOT)
+    if most <= upto:
+        return many.join(one.drop(rows), key)
+    few, rest = one.where(F.col(rows) > upto).drop(rows), one.where(F.col(rows) <= upto).drop(rows)
     return many.join(F.broadcast(few), key).unionByName(many.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))
 
 

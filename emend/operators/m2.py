@@ -2,7 +2,7 @@
 
 The sequences are paths of a lattice over both Levenshtein tables (substitution at cost 1 and at cost 2), with arcs that span several
 steps as long as they pass over few unchanged words. Sentences and annotators are scored in parallel; only the choice of the
-annotator, which looks at the running totals of the corpus, is one ordered pass over a few numbers for each sentence.
+annotator where there are several, which looks at the running totals of the corpus, is one ordered pass over a few numbers for each such sentence.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import work_dir
+from .ordering import running_sums
+
 Cell = tuple[int, int]
 
 
@@ -206,37 +209,49 @@ def sentence_counts(rows: DataFrame, most_unchanged: int = 2, ignore_case: bool
 def chosen(stats: DataFrame, beta: float = 0.5, running: bool = True) -> DataFrame:
     """One annotator for each sentence: sent_idx, annotator, correct, proposed, gold.
 
-    running: the one that makes the corpus' F highest so far (ties: more correct, then fewer proposed and gold), sentences in order: one
-    ordered pass, streamed. Otherwise the one of the sentence's own highest F, in parallel.
+    running: the one that makes the corpus' F highest so far (ties: more correct, then fewer proposed and gold), sentences in order. Sentences
+    with one annotator have no choice: their numbers are summed in parallel, and only those with several go through one ordered pass, with
+    the sums of the others that come before. Otherwise the one of the sentence's own highest F, in parallel.
     """
     if not running:
         own = f_from_counts(F.col("correct"), F.col("proposed"), F.col("gold"), beta)
         order = Window.partitionBy("sent_idx").orderBy(own.desc(), F.desc("correct"), F.col("proposed") + beta * beta * F.col("gold"), "annotator")
         return stats.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
+    fields = ("correct", "proposed", "gold")
+    # a few numbers a sentence, read several times: stored, as they come of dynamic programs
+    path = work_dir(stats.sparkSession, "m2")
+    stats.select("sent_idx", F.col("annotator").cast("int").alias("annotator"), *(F.col(c).cast("bigint").alias(c) for c in fields)).write.parquet(path)
+    counted = stats.sparkSession.read.parquet(path).withColumn("annotators", F.count("*").over(Window.partitionBy("sent_idx")))
+    single = F.col("annotators") == 1
+    before = running_sums(counted, {f"{c}_before": F.when(single, F.col(c)).otherwise(0).cast("bigint") for c in fields}, ["sent_idx", "annotator"])
+    several = before.where(~single)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, now, options = (0, 0, 0), None, []
+        total, others, now, options = (0, 0, 0), (0, 0, 0), None, []
 
         def pick() -> tuple:
-            sums = [tuple(t + x for t, x in zip(total, o[1:], strict=True)) for o in options]
+            sums = [tuple(t + b + x for t, b, x in zip(total, others, o[1:], strict=True)) for o in options]
             key = lambda i: (f_score(*sums[i], beta), sums[i][0], -(sums[i][1] + beta * beta * sums[i][2]), -i)
             return options[max(range(len(options)), key=key)]
 
+        columns = ["sent_idx", "annotator", *fields]
         for df in batches:
             out = []
-            for sent, *rest in df[["sent_idx", "annotator", "correct", "proposed", "gold"]].itertuples(index=False):
+            for sent, annotator, *rest in df[[*columns, *(f"{c}_before" for c in fields)]].itertuples(index=False):
                 if sent != now and options:
                     best = pick()
                     out.append((now, *best))
                     total, options = tuple(t + x for t, x in zip(total, best[1:], strict=True)), []
-                now = sent
-                options.append(tuple(rest))
-            yield pd.DataFrame(out, columns=["sent_idx", "annotator", "correct", "proposed", "gold"])
+                now, others = sent, tuple(rest[3:])
+                options.append((annotator, *rest[:3]))
+            yield pd.DataFrame(out, columns=columns)
         if options:
-            yield pd.DataFrame([(now, *pick())], columns=["sent_idx", "annotator", "correct", "proposed", "gold"])
+            yield pd.DataFrame([(now, *pick())], columns=columns)
 
-    ordered = stats.repartition(1).sortWithinPartitions("sent_idx", "annotator")
-    return ordered.mapInPandas(run, "sent_idx bigint, annotator int, correct bigint, proposed bigint, gold bigint")
+    ordered = several.repartition(1).sortWithinPartitions("sent_idx", "annotator")
+    picked = ordered.mapInPandas(run, "sent_idx bigint, annotator int, correct bigint, proposed bigint, gold bigint")
+    return counted.where(single).select(picked.columns).union(picked)
 
 
 def corpus_score(rows: DataFrame, beta: float = 0.5, most_unchanged: int = 2, running: bool = True, ignore_case: bool = False) -> DataFrame:

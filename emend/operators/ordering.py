@@ -22,15 +22,23 @@ def _bucketed(df: DataFrame, key: Column) -> DataFrame:
     return df.withColumn("__bucket", F.coalesce(at, F.lit(0)))
 
 
-def running(df: DataFrame, value: Column, order: list, name: str, key: Column | None = None) -> DataFrame:
-    """df with the sum of value up to and with each row. key: a number that never falls along the order; by default the first of it."""
+def running_sums(df: DataFrame, values: dict[str, Column], order: list, key: Column | None = None) -> DataFrame:
+    """df with, for each name, the sum of its value up to and with each row. key: a number that never falls along the order; by default the first of it."""
     first = key if key is not None else F.col(order[0]) if isinstance(order[0], str) else order[0]
-    own = _bucketed(df.withColumn("__value", value), first)
-    sums = own.groupBy("__bucket").agg(F.sum("__value").alias("__sum"))
-    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("__bucket", before.alias("__before"))  # at most MOST_BUCKETS rows
-    inner = F.sum("__value").over(Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return own.withColumn("__inner", inner).join(F.broadcast(sums), "__bucket").withColumn(name, F.col("__before") + F.col("__inner")).drop("__bucket", "__value", "__inner", "__before")
+    names = list(values)
+    own = _bucketed(df.withColumns({f"__value{i}": values[n] for i, n in enumerate(names)}), first)
+    sums = own.groupBy("__bucket").agg(*(F.sum(f"__value{i}").alias(f"__sum{i}") for i in range(len(names))))
+    upto = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__bucket", *(F.coalesce(F.sum(f"__sum{i}").over(upto), F.lit(0)).alias(f"__before{i}") for i in range(len(names))))  # at most MOST_BUCKETS rows
+    inner = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = own.withColumns({f"__inner{i}": F.sum(f"__value{i}").over(inner) for i in range(len(names))}).join(F.broadcast(sums), "__bucket")
+    out = out.withColumns({n: F.col(f"__before{i}") + F.col(f"__inner{i}") for i, n in enumerate(names)})
+    return out.drop("__bucket", *(f"__{x}{i}" for i in range(len(names)) for x in ("value", "inner", "before")))
+
+
+def running(df: DataFrame, value: Column, order: list, name: str, key: Column | None = None) -> DataFrame:
+    """running_sums() of one value."""
+    return running_sums(df, {name: value}, order, key)
 
 
 def numbered(df: DataFrame, order: list, name: str, key: Column | None = None) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 
@@ -35,12 +37,47 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder in the one that driver and executors share; on one machine, where none is set, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Unset on one machine (tests): a temporary one; unset on a cluster: an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='emend-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        found = f"file://{tempfile.mkdtemp(prefix='emend-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+        _delete_at_exit(spark, found)
+    return found.rstrip("/")
+
+
+def delete(path: str, jvm, conf) -> None:
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def gone() -> None:
+        try:
+            delete(path, jvm, conf)
+        except (Py4JError, OSError):  # the JVM has ended before the driver
+            pass
+
+    atexit.register(gone)
+
+
+_run_dirs: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver ends."""
+    found = f"{shared_dir(spark)}/emend-{spark.sparkContext.applicationId}"
+    if found not in _run_dirs:
+        _run_dirs.add(found)
+        _delete_at_exit(spark, found)
+    return found
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A new folder in this application's part of the shared one."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"

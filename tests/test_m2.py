@@ -69,3 +69,22 @@ def test_m2_pairs(spark):
     assert [(r.src, r.tgt) for r in rows] == [("a b c", "b x y"), ("last one", "last one")]
     assert [(c.idx_src, c.idx_tgt) for c in rows[0].corrections] == [([0], []), ([2], [1, 2])]
     assert [r.value for r in readers.m2_sources(lines(spark, text)).orderBy("line_no").collect()] == ["a b c", "last one"]
+
+
+def test_running_choice_agrees_with_one_pass(spark):
+    import random
+
+    rng, rows = random.Random(2), []
+    for sent in range(200):
+        for annotator in range(rng.choice([1, 1, 1, 2, 3])):
+            proposed, gold = rng.randrange(5), rng.randrange(5)
+            rows.append((sent, annotator, rng.randint(0, min(proposed, gold)), proposed, gold))
+    total, want = (0, 0, 0), []
+    for sent in range(200):
+        own = [r for r in rows if r[0] == sent]
+        after = [tuple(t + x for t, x in zip(total, r[2:], strict=True)) for r in own]
+        best = max(range(len(own)), key=lambda i: (m2.f_score(*after[i]), after[i][0], -(after[i][1] + 0.25 * after[i][2]), -i))
+        total = after[best]
+        want.append(own[best])
+    stats = spark.createDataFrame(rows, "sent_idx long, annotator int, correct long, proposed long, gold long")
+    assert sorted(tuple(r) for r in m2.chosen(stats).collect()) == want

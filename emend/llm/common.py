@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
-from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete, run_dir
+
 #: Fixed value: a word is a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,47 +22,6 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Unset on one machine (tests): a temporary one; unset on a cluster: an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='emend-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        _delete_at_exit(spark, found)
-    return found.rstrip("/")
-
-
-def _delete(path: str, jvm, conf) -> None:
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).delete(where, True)
-
-
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-
-    def delete() -> None:
-        try:
-            _delete(path, jvm, conf)
-        except (Py4JError, OSError):  # the JVM has ended before the driver
-            pass
-
-    atexit.register(delete)
-
-
-_run_dirs: set[str] = set()
-
-
-def run_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder; it goes when the driver ends."""
-    found = f"{shared_dir(spark)}/emend-{spark.sparkContext.applicationId}"
-    if found not in _run_dirs:
-        _run_dirs.add(found)
-        _delete_at_exit(spark, found)
-    return found
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like this one that the table doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -86,7 +44,7 @@ def drop(*tables: DataFrame) -> None:
     """Delete what durable() wrote, once nothing reads it any more."""
     for df in tables:
         if path := getattr(df, "_durable_path", None):
-            _delete(path, df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration())
+            delete(path, df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration())
 
 
 def repeated(df: DataFrame, times: str, nth: str, part: int = 10_000) -> DataFrame:

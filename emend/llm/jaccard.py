@@ -251,18 +251,16 @@ def _joined(rows: pd.DataFrame, sim: Similarity) -> pd.DataFrame:
         overlap += part @ part.T
     label = rows["label"].to_numpy()
     linked = (overlap * (sim.num + sim.den) >= sim.num * (size[:, None] + size)) & (label[:, None] != label)
-    node, parent, out = rows["node"].to_numpy(), list(range(len(sets))), []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for i, j in np.argwhere(np.triu(linked, 1)).tolist():
-        x, y = root(i), root(j)
-        if x != y:
-            parent[x] = y
-            out.append((node[i], node[j]))
+    node, unseen, out = rows["node"].to_numpy(), np.ones(len(sets), bool), []
+    for start in range(len(sets)):  # each set is reached once, over one of its links
+        todo = [start] if unseen[start] else []
+        unseen[start] = False
+        while todo:
+            i = todo.pop()
+            near = np.flatnonzero(linked[i] & unseen)
+            unseen[near] = False
+            out += [(node[i], node[j]) for j in near]
+            todo += near.tolist()
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 

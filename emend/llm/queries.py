@@ -12,6 +12,7 @@ from .pii import op8_surrogates
 from .secrets import OP10_SQL, op10_secrets
 from .sharding import op7_shard
 from .topk import OP6_SQL, op6_top_products
+from .urls import OP11_SQL, op11_url_filter
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_surrogates": op8_surrogates,
     "op9_best_fit": op9_best_fit,
     "op10_secrets": op10_secrets,
+    "op11_url_filter": op11_url_filter,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op5_mix": OP5_SQL, "op6_top_products": OP6_SQL, "op10_secrets": OP10_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op5_mix": OP5_SQL, "op6_top_products": OP6_SQL, "op10_secrets": OP10_SQL, "op11_url_filter": OP11_SQL}

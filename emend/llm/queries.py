@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_token_alignment
 from .ann import op4_nearest
 from .chat import OP1_SQL, op1_chat_format
 from .jaccard import OP2_SQL, op2_ngram_jaccard
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_best_fit": op9_best_fit,
     "op10_secrets": op10_secrets,
     "op11_url_filter": op11_url_filter,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op5_mix": OP5_SQL, "op6_top_products": OP6_SQL, "op10_secrets": OP10_SQL, "op11_url_filter": OP11_SQL}

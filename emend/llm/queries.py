@@ -9,6 +9,7 @@ from .jaccard import OP2_SQL, op2_ngram_jaccard
 from .langid import op3_language_id
 from .mixing import OP5_SQL, op5_mix
 from .packing import op9_best_fit
+from .phrases import OP12_SQL, op12_collocations
 from .pii import op8_surrogates
 from .secrets import OP10_SQL, op10_secrets
 from .sharding import op7_shard
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_best_fit": op9_best_fit,
     "op10_secrets": op10_secrets,
     "op11_url_filter": op11_url_filter,
+    "op12_collocations": op12_collocations,
     "op13_token_alignment": op13_token_alignment,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op5_mix": OP5_SQL, "op6_top_products": OP6_SQL, "op10_secrets": OP10_SQL, "op11_url_filter": OP11_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op5_mix": OP5_SQL, "op6_top_products": OP6_SQL, "op10_secrets": OP10_SQL, "op11_url_filter": OP11_SQL, "op12_collocations": OP12_SQL}

@@ -21,9 +21,9 @@ from .common import durable, joined_by_key, small_batches, table
 from .tokenizers import TOKENIZERS, Encoders, Ragged, encoders, vocabulary_files
 
 #: Tokens of both sides that DuckDB aligns at once, and the bytes of a unit beyond which it is cut at common ends.
-MOST_TOKENS, MOST_UNIT = 400_000, 1 << 16
+MOST_TOKENS, MOST_UNIT = 100_000, 1 << 16
 #: Bytes of text of a batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: A pair of ids is one number: a * SPAN + b.
 SPAN = 1 << 20
 
@@ -94,7 +94,6 @@ class _Aligner:
 
     def units(self, a: Ragged, b: Ragged) -> tuple[list[bytes], np.ndarray]:
         """Text of the groups of each unit, with a semicolon after each group, and how many groups it has; links go into unit_pairs."""
-        self.db.execute("DELETE FROM unit_pairs")
         texts, n_groups = [], []
         sizes = np.cumsum(a.sizes() + b.sizes())
         lo = 0
@@ -112,13 +111,15 @@ class _Aligner:
             texts += [bytes(data[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             n_groups.append(np.bincount(unit - lo, found["ends"].to_numpy(), hi - lo).astype(np.int64))
             lo = hi
+        for name in ("a", "b") if lo else ():
+            self.db.unregister(name)
         return texts, np.concatenate([np.empty(0, np.int64), *n_groups])
 
     def batch(self, texts: list[str | None]) -> tuple[dict, list, list, tuple]:
         """Columns by document, then its pairs and how often it links each, then all pairs with how many documents hold them."""
         known: dict[str, int] = {}
         number = known.setdefault
-        docs = Ragged.of([[number(p, len(known)) for p in self.coder.parts(t)] if t else [] for t in texts], np.int64)
+        docs = Ragged.joined([Ragged.of([[number(p, len(known)) for p in self.coder.parts(t)] if t else []], np.int64) for t in texts], np.int64)
         parts = list(known)
         a, b = self.coder.ids_a(parts), self.coder.ids_b(parts)
         raw = [p.encode() for p in parts]
@@ -147,6 +148,8 @@ class _Aligner:
             digests.append(hashlib.sha256(b"".join(map(texts_of.__getitem__, unit[i:j].tolist()))[:-1]).hexdigest() if j > i else "")
         n_links = np.concatenate(([0], np.cumsum(links["n"].to_numpy())))[upto]
         columns = {"n_a": sums(ua.sizes()), "n_b": sums(ub.sizes()), "n_groups": sums(n_groups), "n_links": np.diff(n_links), "groups_sha256": digests}
+        self.db.execute("DROP TABLE links; DELETE FROM unit_pairs")
+        self.db.unregister("held")
         lists = [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), links[c].combine_chunks()) for c in ("pair", "n")]
         return columns, lists, [total["pair"].to_numpy(), total["n"].to_numpy()], good
 

@@ -17,6 +17,8 @@ MOST_BYTES = 64 << 20
 #: Fixed value: the pattern by which byte-level BPE cuts texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACE = "▁"
+#: Parts that are encoded by one call.
+TOGETHER = 10_000
 #: A single space between two characters that aren't space: both tokenizers begin a token there.
 BORDER = re.compile(rf"(?<=[^\s{_SPACE}])\x20(?=[^\s{_SPACE}])")
 
@@ -45,6 +47,11 @@ class Ragged:
             return cls(np.frombuffer(b"".join(lists), np.uint8), start)
         return cls(np.fromiter((x for one in lists for x in one), dtype, int(start[-1])), start)
 
+    @classmethod
+    def joined(cls, parts: list[Ragged], dtype) -> Ragged:
+        sizes = np.concatenate([np.empty(0, np.int64), *(p.sizes() for p in parts)])
+        return cls(np.concatenate([np.empty(0, dtype), *(p.values for p in parts)]), np.concatenate(([0], np.cumsum(sizes))))
+
     def sizes(self) -> np.ndarray:
         return np.diff(self.start)
 
@@ -91,10 +98,15 @@ class Encoders:
         return BORDER.split(text) if self.borders else [text]
 
     def ids_a(self, parts: list[str]) -> Ragged:
-        return Ragged.of([self._a.encode_ordinary(" " + p) for p in parts], np.int32)
+        return self._ids(parts, lambda own: [self._a.encode_ordinary(" " + p) for p in own])
 
     def ids_b(self, parts: list[str]) -> Ragged:
-        return Ragged.of(self._b.encode(parts, num_threads=1), np.int32)
+        return self._ids(parts, lambda own: self._b.encode(own, num_threads=1))
+
+    @staticmethod
+    def _ids(parts: list[str], encode) -> Ragged:
+        """A few parts at a time, as lists of numbers take much more room than arrays."""
+        return Ragged.joined([Ragged.of(encode(parts[i : i + TOGETHER]), np.int32) for i in range(0, len(parts), TOGETHER)], np.int32)
 
 
 @lru_cache(2)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags, text
 from ..operators import cleanup, edits, hints, m2, prompts, retrieval, vectors
-from ..operators.ordering import numbered
+from ..operators.ordering import numbered, running_sums
 from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -367,7 +367,7 @@ def pca_project(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     out = vectors.in_components(rows, vectors.principal(rows, 3), "vec", "projected")
     first = F.abs(F.get("projected", F.lit(0)))
-    ranked = numbered(out, [first.desc(), "vec_id"], "rank", -first)
+    ranked = numbered(out, [first.desc(), "vec_id"], "rank")
     return ranked.select("vec_id", (F.col("rank") + 1).alias("rank"), *(F.round(F.get("projected", F.lit(i)), 5).alias(f"pc{i + 1}") for i in range(3)))
 
 
@@ -388,6 +388,14 @@ def dynamic_limits(spark, sf_dir):
     return retrieval.limits(rows, 2, 10, 4.5)
 
 
+@query(r"""SELECT doc_id, sent, row_number() OVER o - 1 AS place, sum(length(src)) OVER (o ROWS UNBOUNDED PRECEDING)::BIGINT AS letters FROM (WITH """ + SENTENCES_SQL + """ SELECT *, md5(src) AS digest FROM sentences) WINDOW o AS (ORDER BY digest, doc_id DESC, sent)""")
+def ordered_sentences(spark, sf_dir):
+    """All sentences in the order of their digests, numbered, with the letters up to each."""
+    rows = sentences(spark, sf_dir).select("doc_id", "sent", F.md5(F.col("src").cast("binary")).alias("digest"), F.length("src").alias("n"))
+    out = running_sums(rows, {"place": F.lit(1), "letters": F.col("n")}, ["digest", F.desc("doc_id"), "sent"])
+    return out.select("doc_id", "sent", (F.col("place") - 1).alias("place"), "letters")
+
+
 @query("""WITH pool AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents), n AS (SELECT count(*) AS n FROM documents),
 h AS (SELECT doc_id, n, ('0x' || substr(md5(doc_id || '|1|0'), 1, 13))::BIGINT % (n - 1) AS a, ('0x' || substr(md5(doc_id || '|2|0'), 1, 13))::BIGINT % n AS b FROM documents, n),
 d AS (SELECT doc_id, 1 AS draw, a AS place FROM h UNION ALL SELECT doc_id, 2, CASE WHEN a = b THEN n - 1 ELSE b END FROM h)

@@ -9,7 +9,7 @@ import uuid
 from pathlib import Path
 
 from py4j.protocol import Py4JError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "emend") -> SparkSession:
@@ -81,3 +81,10 @@ def run_dir(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder in this application's part of the shared one."""
     return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, written to a new folder of the shared one and read from there."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

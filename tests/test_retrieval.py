@@ -194,7 +194,7 @@ def test_numbers_and_sums_over_buckets(spark, monkeypatch):
     got = [tuple(r) for r in ordering.numbered(ordering.running(df, F.col("w"), ["a", "b"], "s"), ["a", "b"], "n").orderBy("n").collect()]
     assert [g[:3] for g in got] == sorted(rows) and [g[4] for g in got] == list(range(300))
     assert [g[3] for g in got] == np.cumsum([w for *_, w in sorted(rows)]).tolist()
-    down = ordering.numbered(df, [F.desc("a"), "b"], "n", -F.col("a")).orderBy("n").collect()
+    down = ordering.numbered(df, [F.desc("a"), "b"], "n").orderBy("n").collect()
     assert [(r.a, r.b) for r in down] == sorted(((a, b) for a, b, _ in rows), key=lambda x: (-x[0], x[1]))
     assert ordering.numbered(df.limit(0), ["a"], "n").count() == 0
     many = spark.createDataFrame([(i, i % 13) for i in range(400)], "idx long, available long")

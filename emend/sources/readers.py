@@ -30,22 +30,48 @@ def exists(spark: SparkSession, path: str) -> bool:
 # --- lines --------------------------------------------------------------------
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str, joined: bool = False, ends: str | None = None) -> DataFrame:
     """(file, line_no, value): every line of every file, gzip or not, numbered from 0 within its file.
 
-    Blocks of a file are numbered on their own and laid end to end, so a large file needs no single task. A missing file has no lines.
+    Blocks of a file are numbered on their own and laid end to end, so a large file needs no single task. joined: the files of a folder are
+    one file, in the order of their names. ends: what ends a line, if not a line break. A missing file has no lines.
     """
+    options = {"lineSep": ends} if ends else {}
     try:
-        raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+        raw = spark.read.text(path, **options).select("value", F.col("_metadata.file_path").alias("of"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], "file string, line_no bigint, value string")
-    counts = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inner = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
-    out = raw.withColumn("inner", inner).join(counts.select("file", "block", before.alias("before")), ["file", "block"])
-    return out.select("file", (F.col("before") + F.col("inner")).cast("bigint").alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    raw = raw.withColumn("file", F.lit(path) if joined else F.col("of"))
+    counts = raw.groupBy("file", "of", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("of", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(Window.partitionBy("file", "of", "block").orderBy("at")) - 1
+    out = raw.withColumn("inner", inner).join(counts.select("file", "of", "block", before.alias("before")), ["file", "of", "block"])
+    value = F.col("value") if ends else F.regexp_replace("value", r"\r$", "")
+    return out.select("file", (F.col("before") + F.col("inner")).cast("bigint").alias("line_no"), value.alias("value"))
+
+
+#: Lines, or blocks, of a file that one task looks at together.
+TOGETHER = 100_000
+
+
+def _chunk(at: str) -> Column:
+    return F.floor(F.col(at) / TOGETHER)
+
+
+def before_in_file(rows: DataFrame, at: str, weights: dict[str, Column]) -> DataFrame:
+    """rows (file, at, ...) with, for each name, the sum of its weight over all rows of the file before this one.
+
+    A file is summed in chunks of TOGETHER places, of which each gives one row to what is summed over whole files.
+    """
+    own = rows.withColumn("__chunk", _chunk(at)).withColumns({f"__{n}": w for n, w in weights.items()})
+    inner = Window.partitionBy("file", "__chunk").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = own.groupBy("file", "__chunk").agg(*(F.sum(f"__{n}").alias(f"__all_{n}") for n in weights))
+    upto = Window.partitionBy("file").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select("file", "__chunk", *(F.coalesce(F.sum(f"__all_{n}").over(upto), F.lit(0)).alias(f"__before_{n}") for n in weights))
+    out = own.withColumns({f"__inner_{n}": F.coalesce(F.sum(f"__{n}").over(inner), F.lit(0)) for n in weights}).join(chunks, ["file", "__chunk"])
+    return out.select(*rows.columns, *((F.col(f"__before_{n}") + F.col(f"__inner_{n}")).cast("bigint").alias(n) for n in weights))
 
 
 def nonblank(rows: DataFrame) -> DataFrame:
@@ -54,11 +80,20 @@ def nonblank(rows: DataFrame) -> DataFrame:
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
-    """(file, line_no, value) with `block`, the number of the paragraph; blank lines part paragraphs and are left out."""
-    blank = F.trim("value") == ""
-    order = Window.partitionBy("file").orderBy("line_no")
-    first = ~blank & F.coalesce(F.lag(blank).over(order), F.lit(True))
-    return rows.withColumn("first", first.cast("int")).withColumn("block", F.sum("first").over(order) - 1).where(~blank).drop("first")
+    """(file, line_no, value) with `block`, the number of the paragraph; blank lines part paragraphs and are left out.
+
+    Each chunk of a file counts the paragraphs that begin in it; whether its first line begins one depends on the last line of the chunk before. So
+    a chunk is known by how it begins, how it ends and how many begin, and these are put together in order.
+    """
+    own = rows.withColumn("__blank", F.trim("value") == "").withColumn("__chunk", _chunk("line_no"))
+    order = Window.partitionBy("file", "__chunk").orderBy("line_no")
+    own = own.withColumn("__first", (~F.col("__blank") & F.coalesce(F.lag("__blank").over(order), F.lit(True))).cast("int"))
+    chunks = own.groupBy("file", "__chunk").agg(F.sum("__first").alias("starts"), F.min_by("__blank", "line_no").alias("head"), F.max_by("__blank", "line_no").alias("tail"))
+    along = Window.partitionBy("file").orderBy("__chunk")
+    chunks = chunks.withColumn("__goes_on", (~F.col("head") & ~F.coalesce(F.lag("tail").over(along), F.lit(True))).cast("int"))
+    chunks = chunks.withColumn("__before", F.coalesce(F.sum(F.col("starts") - F.col("__goes_on")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = own.withColumn("__inner", F.sum("__first").over(order)).join(chunks.select("file", "__chunk", "__goes_on", "__before"), ["file", "__chunk"])
+    return out.where(~F.col("__blank")).select(*rows.columns, (F.col("__before") + F.col("__inner") - F.col("__goes_on") - 1).alias("block"))
 
 
 def zipped(left: DataFrame, right: DataFrame, cleaned: bool = True, strict: bool = True) -> DataFrame:
@@ -166,8 +201,8 @@ def edited(tokens: Column, edits: Column) -> Column:
 def m2_pairs(rows: DataFrame) -> DataFrame:
     """(line_no, src, tgt, src_tokens, tgt_tokens, corrections) of an M2 file; the edits of all annotators are applied, in order."""
     out = m2_blocks(rows).withColumn("src_tokens", F.split(F.element_at("sentences", -1), " ")).withColumn("made", edited(F.col("src_tokens"), F.col("edits")))
-    line = F.row_number().over(Window.partitionBy("file").orderBy("block")) - 1
-    return out.select("file", line.cast("bigint").alias("line_no"), F.trim(F.array_join("src_tokens", " ")).alias("src"), F.trim(F.array_join("made.tokens", " ")).alias("tgt"), "src_tokens", F.col("made.tokens").alias("tgt_tokens"), F.col("made.corrections").alias("corrections"))
+    out = before_in_file(out, "block", {"line_no": F.lit(1)})
+    return out.select("file", "line_no", F.trim(F.array_join("src_tokens", " ")).alias("src"), F.trim(F.array_join("made.tokens", " ")).alias("tgt"), "src_tokens", F.col("made.tokens").alias("tgt_tokens"), F.col("made.corrections").alias("corrections"))
 
 
 def m2_annotations(rows: DataFrame) -> DataFrame:
@@ -176,28 +211,54 @@ def m2_annotations(rows: DataFrame) -> DataFrame:
     A noop leaves its annotator with an empty list; a sentence without annotators has annotator 0. Several sentences of a block share its edits, those
     within the tokens so far. Alternative corrections are parted by two bars, -NONE- is the empty one.
     """
-    blocks = m2_blocks(rows)
+    blocks = before_in_file(m2_blocks(rows), "block", {"before": F.size("sentences")})
     all_words = F.split(F.array_join("sentences", " "), r"\s+")
     whole = blocks.withColumn("words", all_words)
     corrections = lambda e: F.transform(F.split(e["text"], r"\|\|"), lambda c: F.when(c == "-NONE-", "").otherwise(F.trim(c)))
     made = F.transform("edits", lambda e: F.struct(F.when(e["type"] == "noop", -1).otherwise(e["s"]).alias("s"), F.when(e["type"] == "noop", -1).otherwise(e["e"]).alias("e"), F.when(e["e"] > e["s"], F.array_join(F.slice("words", F.greatest(e["s"], F.lit(0)) + 1, F.greatest(e["e"] - e["s"], F.lit(0))), " ")).otherwise("").alias("orig"), corrections(e).alias("corr"), e["annotator"].alias("annotator")))
     whole = whole.withColumn("made", made).withColumn("annotator", F.explode(F.when(F.size("edits") > 0, F.array_distinct(F.transform("edits", lambda e: e["annotator"]))).otherwise(F.array(F.lit(0)))))
-    each = whole.select("file", "block", "annotator", "made", F.col("sentences"), F.posexplode("sentences").alias("at", "source"))
+    each = whole.select("file", "before", "annotator", "made", F.col("sentences"), F.posexplode("sentences").alias("at", "source"))
     upto = F.aggregate(F.slice("sentences", F.lit(1), F.col("at") + 1), F.lit(0), lambda n, x: n + F.size(F.split(x, r"\s+")))
     each = each.withColumn("upto", upto)
     edits = F.transform(F.filter("made", lambda e: (e["annotator"] == F.col("annotator")) & (e["s"] >= 0) & (e["e"] >= 0) & (e["s"] <= F.col("upto")) & (e["e"] <= F.col("upto"))), lambda e: F.struct(e["s"].alias("s"), e["e"].alias("e"), e["orig"].alias("orig"), e["corr"].alias("corr")))
-    number = F.dense_rank().over(Window.partitionBy("file").orderBy("block", "at")) - 1
-    return each.select("file", number.cast("bigint").alias("sent_idx"), F.trim("source").alias("source"), "annotator", edits.alias("edits"))
+    return each.select("file", (F.col("before") + F.col("at")).cast("bigint").alias("sent_idx"), F.trim("source").alias("source"), "annotator", edits.alias("edits"))
 
 
 # --- JSON ---------------------------------------------------------------------
 
 
+def json_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(row_no, value): the objects of a JSON array, as text, however the file is laid out and however long it is.
+
+    The file is cut at closing braces, wherever these stand. What a piece does to the state (inside a string or not, how deep) is known from the piece for both
+    ways in which it may begin, so that two running sums give the state at each of its ends; a brace that leads back to the array ends a row.
+    """
+    pieces = lines(spark, path, ends="}")
+    bare = F.regexp_replace("value", r"\\\\.", "")  # without escaped signs, quotes among them
+    parts = F.split(bare, '"')
+    count = lambda text: F.length(F.regexp_replace(text, r"[^\[{]", "")) - F.length(F.regexp_replace(text, r"[^\]}]", ""))
+    # what stands outside strings if the piece begins outside one: every second part from the first; else from the second
+    deeper = lambda odd: F.aggregate(F.transform(parts, lambda x, i: F.when(i % 2 == odd, count(x)).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    own = pieces.select("file", "line_no", "value", (F.size(parts) - 1).alias("quotes"), deeper(0).alias("outside"), deeper(1).alias("inside"))
+    own = before_in_file(own, "line_no", {"before": F.col("quotes")}).withColumn("begins", F.col("before") % 2)
+    closed = ((F.col("begins") + F.col("quotes")) % 2 == 0).cast("int")  # the brace after the piece stands outside strings
+    own = own.withColumn("closed", closed).withColumn("deeper", F.when(F.col("begins") == 0, F.col("outside")).otherwise(F.col("inside")))
+    own = before_in_file(own, "line_no", {"depth": F.col("deeper") - F.col("closed")})
+    own = own.withColumn("ends", ((F.col("closed") == 1) & (F.col("depth") + F.col("deeper") == 2)).cast("int"))
+    own = before_in_file(own, "line_no", {"row_no": F.col("ends")})
+    # the part after the last row has no end; rows are as long as their pieces
+    whole = own.groupBy("row_no").agg(F.max("ends").alias("ends"), F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("own")).where("ends = 1")
+    text = F.concat(F.array_join(F.transform("own", lambda x: x["value"]), "}"), F.lit("}"))
+    return whole.select("row_no", F.regexp_replace(text, r"^[\s\[,\x{feff}]+", "").alias("value"))
+
+
 def corpus_json(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """A JSON array of rows; a missing id becomes the row's number, the target is label, else the first of labels."""
-    raw = spark.read.schema(CORPUS).json(path, multiLine=True)
-    number = F.monotonically_increasing_id().cast("string")  # a JSON array is one split
-    return raw.withColumn("id", F.coalesce("id", number)).withColumn("label", F.coalesce("label", F.get("labels", F.lit(0)))).withColumn("from", F.lit(dataset))
+    """A JSON array of rows; a missing id becomes the row's number, the target is label, else the first of labels. An array without rows gives the row that stands for a missing split."""
+    raw = json_rows(spark, path).select("row_no", F.from_json("value", CORPUS, {"mode": "FAILFAST"}).alias("j")).select("row_no", "j.*")
+    none = spark.range(1).select(F.lit(BLANK_ID).alias("id"), F.lit(BLANK_TEXT).alias("text")).join(raw.agg(F.count("*").alias("n")).where("n = 0"))  # one row each
+    raw = raw.unionByName(none.drop("n"), allowMissingColumns=True)
+    out = raw.withColumn("id", F.coalesce("id", F.col("row_no").cast("string"))).withColumn("label", F.coalesce("label", F.get("labels", F.lit(0))))
+    return out.drop("row_no").withColumn("from", F.lit(dataset))
 
 
 def required_labels(rows: DataFrame) -> DataFrame:

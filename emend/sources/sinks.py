@@ -30,10 +30,15 @@ def blank_split(spark, dataset: str) -> DataFrame:
     return spark.createDataFrame([(BLANK_ID, dataset, BLANK_TEXT)], "id string, `from` string, text string")
 
 
+#: Lines of one file; more go into further files, whose names follow their order.
+LINES_A_FILE = 10_000_000
+
+
 def write_lines(rows: DataFrame, path: str, column: str = "value", order: str = "line_no", append: bool = False) -> None:
-    """One stripped line for each row, in order, in one file: the form in which external tools take sentences."""
+    """One stripped line for each row, in order: the form in which external tools take sentences. Read it with readers.lines(joined=True)."""
     text = rows.select(order, F.regexp_replace(F.trim(column), r"[\r\n]+", " ").alias("value"))
-    text.repartitionByRange(1, order).sortWithinPartitions(order).select("value").write.mode("append" if append else "overwrite").text(path)
+    files = max(1, -(-rows.count() // LINES_A_FILE))
+    text.repartitionByRange(files, order).sortWithinPartitions(order).select("value").write.mode("append" if append else "overwrite").text(path)
 
 
 def write_parallel(pairs: DataFrame, prefix: str) -> None:

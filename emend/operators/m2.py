@@ -2,7 +2,8 @@
 
 The sequences are paths of a lattice over both Levenshtein tables (substitution at cost 1 and at cost 2), with arcs that span several
 steps as long as they pass over few unchanged words. Sentences and annotators are scored in parallel; only the choice of the
-annotator where there are several, which looks at the running totals of the corpus, is one ordered pass over a few numbers for each such sentence.
+annotator where there are several looks at the running totals of the corpus. Bounds on these totals settle most choices in parallel, whatever came before;
+what stays open is replayed in order, a slice at a time.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import work_dir
-from .ordering import running_sums
+from ..session import stored
+from .ordering import numbered, running_sums
 
 Cell = tuple[int, int]
 
@@ -44,24 +46,65 @@ class Arc:
         return self.tail[0], self.head[0]
 
 
+#: Cells up to which the whole table of distances is made in plain Python.
+FEW_CELLS = 2_000
+
+
+def _costs(source: Sequence[str], words: Sequence[str], change: int):
+    """cost(i, j) of turning the first i words into the first j, a change costing `change`; exact wherever a cheapest alignment passes, else too large at most.
+
+    Longer tables are made a row at a time, in a band around the diagonal: a path that leaves a band of width t costs more than t. The band is
+    doubled until the whole costs no more than it is wide.
+    """
+    n, m = len(source), len(words)
+    if n * m <= FEW_CELLS:
+        cost = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                same = source[i - 1] == words[j - 1]
+                cost[i][j] = min(cost[i - 1][j - 1] + (0 if same else change), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+        return lambda i, j: cost[i][j]
+    ids: dict[str, int] = {}
+    a, b = (np.array([ids.setdefault(w, len(ids)) for w in side]) for side in (source, words))
+    band = max(16, 2 * abs(n - m))
+    while True:
+        band = min(band, n + m)
+        top, place = n + m + 1, np.arange(2 * band + 1)
+        padded = np.concatenate((np.full(band + 1, -1), b, np.full(n + band + 1, -1)))  # b[j] is padded[j + band + 1]
+        rows = np.empty((n + 1, 2 * band + 1), np.int16 if top < 30_000 else np.int32)
+        row = np.where((place >= band) & (place - band <= m), place - band, top)
+        rows[0] = row
+        for i in range(1, n + 1):  # place k of row i is column i + k - band
+            new = row + np.where(padded[i + 0 : i + 2 * band + 1] == a[i - 1], 0, change)
+            new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+            low, high = band - i, m - i + band
+            if low >= 0:
+                new[:low], new[low] = top, i
+            new[high + 1 :] = top
+            row = np.minimum(np.minimum.accumulate(new - place) + place, top)
+            row[high + 1 :] = top
+            if low > 0:
+                row[:low] = top
+            rows[i] = row
+        if rows[n, m - n + band] <= band or band == n + m:
+            return lambda i, j: int(rows[i, j - i + band]) if 0 <= j - i + band <= 2 * band else top
+        band *= 2
+
+
 def _steps(source: Sequence[str], words: Sequence[str], change: int) -> set[tuple[Cell, Cell]]:
     """Steps of all cheapest alignments, a change of a word costing `change`."""
     n, m = len(source), len(words)
-    cost = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            same = source[i - 1] == words[j - 1]
-            cost[i][j] = min(cost[i - 1][j - 1] + (0 if same else change), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+    cost = _costs(source, words, change)
     found: set[tuple[Cell, Cell]] = set()
     todo, seen = [(n, m)], {(n, m)}
     while todo:
         i, j = todo.pop()
-        before = []
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (0 if source[i - 1] == words[j - 1] else change):
+        before, own = [], cost(i, j)
+        if i and j and own == cost(i - 1, j - 1) + (0 if source[i - 1] == words[j - 1] else change):
             before.append((i - 1, j - 1))
-        if i and cost[i][j] == cost[i - 1][j] + 1:
+        if i and own == cost(i - 1, j) + 1:
             before.append((i - 1, j))
-        if j and cost[i][j] == cost[i][j - 1] + 1:
+        if j and own == cost(i, j - 1) + 1:
             before.append((i, j - 1))
         for b in before:
             found.add((b, (i, j)))
@@ -206,52 +249,80 @@ def sentence_counts(rows: DataFrame, most_unchanged: int = 2, ignore_case: bool
     return rows.select("sent_idx", "source", "hypothesis", "annotator", "edits").mapInPandas(run, "sent_idx bigint, annotator int, correct bigint, proposed bigint, gold bigint")
 
 
+#: Sentences with an open choice that one task replays, and rounds of bounds before each replay.
+REPLAYED, ROUNDS = 100_000, 3
+_FIELDS = ("correct", "proposed", "gold")
+_CHOICE = "sent_idx bigint, annotator int, correct bigint, proposed bigint, gold bigint"
+
+
+def _settled(options: Column, low: dict[str, Column], high: dict[str, Column], beta: float) -> Column:
+    """The option that has the highest F whatever the totals before are, between low and high; null if none is known to.
+
+    With C correct and D = beta^2 gold + proposed before, option i beats j if C (d_j - d_i) + D (c_i - c_j) + c_i d_j - c_j d_i > 0. This is linear in C and D, so
+    it holds everywhere if it holds at the corners; what comes close to 0 is left open, as F is compared as a rounded number.
+    """
+    c = lambda o: o["correct"].cast("double")
+    d = lambda o: beta * beta * o["gold"] + o["proposed"]
+    c_low, c_high = c(low), c(high)
+    d_low, d_high = d(low), d(high)
+
+    def beats(i: Column, j: Column) -> Column:
+        by_c, by_d = d(j) - d(i), c(i) - c(j)
+        least = by_c * F.when(by_c >= 0, c_low).otherwise(c_high) + by_d * F.when(by_d >= 0, d_low).otherwise(d_high) + c(i) * d(j) - c(j) * d(i)
+        rounding = 1e-12 * (c_high + F.greatest(c(i), c(j)) + 1) * (d_high + F.greatest(d(i), d(j)) + 1)
+        same = (c(i) == c(j)) & (i["proposed"] == j["proposed"]) & (i["gold"] == j["gold"])
+        return (same & (i["annotator"] < j["annotator"])) | (~same & (d_low + F.least(d(i), d(j)) > 0) & (least > rounding))
+
+    return F.get(F.filter(options, lambda i: F.forall(options, lambda j: (i["annotator"] == j["annotator"]) | beats(i, j))), F.lit(0))
+
+
+def _replay(batches: Iterator[pd.DataFrame], beta: float) -> Iterator[pd.DataFrame]:
+    """Open choices (sent_idx, options, and the sums of settled ones before) in order -> the choices."""
+    total = (0, 0, 0)
+    for df in batches:
+        out = []
+        for sent, options, *others in df[["sent_idx", "options", *(f"{f}_before" for f in _FIELDS)]].itertuples(index=False):
+            sums = [tuple(t + b + o[f] for t, b, f in zip(total, others, _FIELDS, strict=True)) for o in options]
+            at = max(range(len(options)), key=lambda i: (f_score(*sums[i], beta), sums[i][0], -(sums[i][1] + beta * beta * sums[i][2]), -i))
+            total = tuple(t + options[at][f] for t, f in zip(total, _FIELDS, strict=True))
+            out.append((sent, *(options[at][f] for f in ("annotator", *_FIELDS))))
+        yield pd.DataFrame(out, columns=["sent_idx", "annotator", *_FIELDS])
+
+
 def chosen(stats: DataFrame, beta: float = 0.5, running: bool = True) -> DataFrame:
     """One annotator for each sentence: sent_idx, annotator, correct, proposed, gold.
 
-    running: the one that makes the corpus' F highest so far (ties: more correct, then fewer proposed and gold), sentences in order. Sentences
-    with one annotator have no choice: their numbers are summed in parallel, and only those with several go through one ordered pass, with
-    the sums of the others that come before. Otherwise the one of the sentence's own highest F, in parallel.
+    running: the one that makes the corpus' F highest so far (ties: more correct, then fewer proposed and gold, then the first annotator), sentences in order.
+    Every sentence bounds what it may add to the totals, and running sums of the bounds settle each choice that is the same for all totals within them;
+    settled choices narrow the bounds of later ones. The first REPLAYED choices that stay open are then made one after the other, and
+    so on until none is open. Otherwise the one of the sentence's own highest F, in parallel.
     """
     if not running:
         own = f_from_counts(F.col("correct"), F.col("proposed"), F.col("gold"), beta)
         order = Window.partitionBy("sent_idx").orderBy(own.desc(), F.desc("correct"), F.col("proposed") + beta * beta * F.col("gold"), "annotator")
         return stats.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
-    fields = ("correct", "proposed", "gold")
-    # a few numbers a sentence, read several times: stored, as they come of dynamic programs
-    path = work_dir(stats.sparkSession, "m2")
-    stats.select("sent_idx", F.col("annotator").cast("int").alias("annotator"), *(F.col(c).cast("bigint").alias(c) for c in fields)).write.parquet(path)
-    counted = stats.sparkSession.read.parquet(path).withColumn("annotators", F.count("*").over(Window.partitionBy("sent_idx")))
-    single = F.col("annotators") == 1
-    before = running_sums(counted, {f"{c}_before": F.when(single, F.col(c)).otherwise(0).cast("bigint") for c in fields}, ["sent_idx", "annotator"])
-    several = before.where(~single)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, others, now, options = (0, 0, 0), (0, 0, 0), None, []
-
-        def pick() -> tuple:
-            sums = [tuple(t + b + x for t, b, x in zip(total, others, o[1:], strict=True)) for o in options]
-            key = lambda i: (f_score(*sums[i], beta), sums[i][0], -(sums[i][1] + beta * beta * sums[i][2]), -i)
-            return options[max(range(len(options)), key=key)]
-
-        columns = ["sent_idx", "annotator", *fields]
-        for df in batches:
-            out = []
-            for sent, annotator, *rest in df[[*columns, *(f"{c}_before" for c in fields)]].itertuples(index=False):
-                if sent != now and options:
-                    best = pick()
-                    out.append((now, *best))
-                    total, options = tuple(t + x for t, x in zip(total, best[1:], strict=True)), []
-                now, others = sent, tuple(rest[3:])
-                options.append((annotator, *rest[:3]))
-            yield pd.DataFrame(out, columns=columns)
-        if options:
-            yield pd.DataFrame([(now, *pick())], columns=columns)
-
-    ordered = several.repartition(1).sortWithinPartitions("sent_idx", "annotator")
-    picked = ordered.mapInPandas(run, "sent_idx bigint, annotator int, correct bigint, proposed bigint, gold bigint")
-    return counted.where(single).select(picked.columns).union(picked)
+    option = F.struct(F.col("annotator").cast("int").alias("annotator"), *(F.col(f).cast("bigint").alias(f) for f in _FIELDS))
+    rows = stats.groupBy("sent_idx").agg(F.array_sort(F.collect_list(option)).alias("options"))  # a few annotators each
+    rows = stored(rows.withColumn("choice", F.when(F.size("options") == 1, F.get("options", F.lit(0)))), "m2")
+    still, turn = rows.where("choice is null").count(), 0
+    while still:
+        bound = lambda f, pick: F.coalesce(F.col(f"choice.{f}"), pick(F.transform("options", lambda o: o[f])))
+        known = {f"{f}_before": F.coalesce(F.col(f"choice.{f}"), F.lit(0)) for f in _FIELDS}
+        ends = {f"{f}_{side}": bound(f, pick) for f in _FIELDS for side, pick in (("low", F.array_min), ("high", F.array_max))}
+        if turn < ROUNDS:
+            sums = running_sums(rows, ends, ["sent_idx"]).withColumns({n: F.col(n) - v for n, v in ends.items()})  # before the sentence
+            low, high = ({f: F.col(f"{f}_{side}") for f in _FIELDS} for side in ("low", "high"))
+            rows = stored(sums.withColumn("choice", F.coalesce("choice", _settled(F.col("options"), low, high, beta))).select("sent_idx", "options", "choice"), "m2")
+        else:
+            sums = running_sums(rows, known, ["sent_idx"]).where("choice is null")
+            first = numbered(sums, ["sent_idx"], "place").where(F.col("place") < REPLAYED).drop("place", "choice")
+            made = first.repartition(1).sortWithinPartitions("sent_idx").mapInPandas(lambda it: _replay(it, beta), _CHOICE)  # REPLAYED rows at most
+            made = made.select("sent_idx", F.struct("annotator", *_FIELDS).alias("made"))
+            rows = stored(rows.join(made, "sent_idx", "left").select("sent_idx", "options", F.coalesce("choice", "made").alias("choice")), "m2")
+        left = rows.where("choice is null").count()
+        turn, still = (turn + 1 if left and turn < ROUNDS and left < still else ROUNDS if turn < ROUNDS else 0), left
+    return rows.select("sent_idx", "choice.*")
 
 
 def corpus_score(rows: DataFrame, beta: float = 0.5, most_unchanged: int = 2, running: bool = True, ignore_case: bool = False) -> DataFrame:

@@ -313,8 +313,9 @@ def _as_items(value) -> list[Item]:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt evenly over the session's shuffle partitions: aligning a sentence costs far more than moving it, and files may be few."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Rows dealt evenly, as aligning a sentence costs far more than moving it and files may be few. Their number of parts follows from their size at
+    run time (at least a part for each core, then spark.sql.adaptive.advisoryPartitionSizeInBytes), and large parts are split."""
+    return rows.hint("rebalance")
 
 
 def with_tags(pairs: DataFrame, source: str = "src", target: str = "tgt", verbs: T.Verbs | None = None, checked: bool = True) -> DataFrame:

@@ -493,37 +493,6 @@ def error_type_hints(spark, sf_dir):
     return rows.withColumn("hint", hints.error_type_hint(F.col("error_type")))
 
 
-#: A small annotated file: alternatives, a second annotator, a noop, a deletion.
-M2_FILE = """S He go to school .
-A 1 2|||SVA|||goes|||REQUIRED|||-NONE-|||0
-A 3 3|||DET|||the||a|||REQUIRED|||-NONE-|||0
-
-S A dog .
-A -1 -1|||noop|||-NONE-|||REQUIRED|||-NONE-|||0
-A 1 2|||NOUN|||dogs|||REQUIRED|||-NONE-|||1
-
-S a b c
-A 0 1|||U|||-NONE-|||REQUIRED|||-NONE-|||0
-A 2 3|||R|||x y|||REQUIRED|||-NONE-|||0
-"""
-
-
-def _m2_lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("m2", i, v) for i, v in enumerate(M2_FILE.split("\n"))], "file string, line_no bigint, value string")
-
-
-@query("SELECT * FROM (VALUES (0::BIGINT, 'He go to school .', 'He goes to the||a school .'), (1, 'A dog .', 'A dogs .'), (2, 'a b c', 'b x y')) t(line_no, src, tgt)")
-def m2_apply(spark, sf_dir):
-    return readers.m2_pairs(_m2_lines(spark)).select("line_no", "src", "tgt")
-
-
-@query("SELECT 4::BIGINT AS correct, 4::BIGINT AS proposed, 4::BIGINT AS gold, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f")
-def m2_score(spark, sf_dir):
-    """A system that does all that annotator 0 asks for."""
-    said = spark.createDataFrame([(0, "He goes to a school ."), (1, "A dog ."), (2, "b x y")], "sent_idx bigint, hypothesis string")
-    return m2.corpus_score(readers.m2_annotations(_m2_lines(spark)).join(said, "sent_idx"))
-
-
 @query(r"""WITH RECURSIVE cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
 each AS (SELECT doc_id, unnest(range(len(parts))) AS i, unnest(parts) AS sentence FROM cut),
 counted AS (SELECT doc_id, i, sentence, CASE WHEN trim(regexp_replace(sentence, '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(sentence, '\s+', ' ', 'g')), ' ')) END AS n FROM each),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tags, text
 from ..operators import cleanup, edits, hints, m2, models, prompts, retrieval, vectors
 from ..operators.ordering import numbered
-from ..session import work_dir
+from ..session import stored, work_dir
 from ..sources import readers, sinks
 from ..streaming import resume
 from .catalog import PAIRS_SQL, SENTENCES_SQL, pairs, query, sentences, table
@@ -41,7 +41,7 @@ def aligned_files(spark, sf_dir):
     for name, value in (("body", F.col("text")), ("role", F.col("role")), ("conv", F.col("conv_id").cast("string"))):
         path = work_dir(spark, name)
         sinks.write_lines(own.select("line_no", value.alias("value")), path)
-        found[name] = readers.lines(spark, path)
+        found[name] = readers.lines(spark, path, joined=True)
     return readers.aligned(**found).withColumn("body", F.trim("body"))
 
 
@@ -115,10 +115,22 @@ def resumed_run(spark, sf_dir):
     path, half = work_dir(spark, "stored"), own.count() // 2
     stored = own.where(F.col("line_no") < half).select("line_no", F.to_json(F.struct("id", "text", F.lit("p").alias("prediction"), F.lit("r").alias("response"))).alias("value"))
     sinks.write_lines(stored, path)
-    kept, todo = resume.resumed(own, readers.lines(spark, path))
+    kept, todo = resume.resumed(own, readers.lines(spark, path, joined=True))
     return kept.select("line_no", F.lit(True).alias("kept")).union(todo.select("line_no", F.lit(False).alias("kept")))
 
 
+@query("""WITH d AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS row_no FROM documents)
+SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE row_no::VARCHAR END AS id, 'docs' AS "from", text, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS label FROM d""")
+def json_array(spark, sf_dir):
+    """Documents as one JSON array, written as a file and read again in parallel; every second one has no id, some have no label but labels."""
+    docs = numbered(table(spark, sf_dir, "documents"), ["doc_id"], "line_no")
+    own = F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("id"), "text", F.split("text", " ").alias("src_tokens"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("label"), F.array("source", "lang").alias("labels"))
+    rows = docs.select("line_no", F.concat(F.when(F.col("line_no") == 0, "[").otherwise(","), F.to_json(own)).alias("value"))
+    path, end = work_dir(spark, "array"), docs.agg(F.count("*").alias("line_no")).withColumn("value", F.when(F.col("line_no") == 0, "[]").otherwise("]"))
+    sinks.write_lines(rows.unionByName(end), path)
+    return readers.standard(readers.corpus_json(spark, path, "docs"), "docs").select("id", "from", "text", "label")
+
+
 # --- text and answers ---------------------------------------------------------
 
 
@@ -181,11 +193,11 @@ def prompt_texts(spark, sf_dir):
     return rows.select("conv_id", "turn", prompts.reading_prompt(F.col("text"), F.col("role")).alias("reading"), md5(prompts.prompt(_FEW, examples, F.col("text"))).alias("prompt_md5"), md5(flat).alias("flat_md5"))
 
 
-@query(rf"SELECT conv_id, turn, {_CLEAN.format('split_part(text, chr(10), 1)')} AS answer FROM conversations")
+@query(rf"SELECT conv_id, turn, {_CLEAN.format('text')} AS answer FROM conversations")
 def generated_answers(spark, sf_dir):
-    """Prompts answered by the stand-in model, which gives back the sentence; the answer is read from its tags."""
+    """Prompts answered by the stand-in model, which gives back the sentence (a whole text, its line breaks folded); the answer is read from its tags."""
     rows = table(spark, sf_dir, "conversations")
-    asked = rows.select("conv_id", "turn", F.concat(F.lit("Sentence: "), F.split("text", "\n")[0]).alias("sentence"))
+    asked = rows.select("conv_id", "turn", F.concat(F.lit("Sentence: "), text.clean_space(F.col("text"))).alias("sentence"))
     out = models.generated(asked, models.stub_generator)
     return out.select("conv_id", "turn", text.clean_space(text.between_tags(F.col("response"), text.ANSWER_START, text.ANSWER_END)).alias("answer"))
 
@@ -244,29 +256,101 @@ def pair_differences(spark, sf_dir):
 
 # --- scores of derived edits --------------------------------------------------
 
+#: Tokens up to which derived systems change a sentence; longer ones they leave as they are, since a lattice of many changes among few words has millions of arcs.
+CHANGED_UPTO = 200
+#: How many places of a sentence leave a rest when divided: of all sentences, and of those that a system changes.
+_EVERY = "greatest(0, (len(tokens) - {1} + {0} - 1) // {0})".format
+_SAID = f"CASE WHEN len(tokens) > {CHANGED_UPTO} THEN 0 ELSE {{}} END".format
+
+
+def _mark(x, sign: str = "§"):
+    return F.concat(x, F.lit(sign))
+
+
+def _said(rest: int = 3):
+    """What a system makes of a sentence: every fourteenth token marked; long ones stay as they are."""
+    return F.array_join(F.transform("tokens", lambda x, i: F.when((F.size("tokens") <= CHANGED_UPTO) & (i % 14 == rest), _mark(x)).otherwise(x)), " ")
 
-@query(rf"""WITH {SENTENCES_SQL}, s AS (SELECT tokens FROM sentences WHERE len(tokens) <= 200),
-c AS (SELECT sum((len(tokens) + 10) // 14)::BIGINT AS correct, sum((len(tokens) + 3) // 7)::BIGINT AS gold FROM s)
+
+def _edits(where, sign: str = "§"):
+    """Gold edits that mark the tokens at some places."""
+    edit = lambda x, i: F.when(where(i), F.struct(i.alias("s"), (i + 1).alias("e"), x.alias("orig"), F.array(_mark(x, sign)).alias("corr")))
+    return F.filter(F.transform("tokens", edit), lambda e: e.isNotNull())
+
+
+@query(rf"""WITH {SENTENCES_SQL},
+c AS (SELECT sum({_SAID(_EVERY(14, 3))})::BIGINT AS correct, sum({_EVERY(7, 3)})::BIGINT AS gold FROM sentences)
 SELECT correct, correct AS proposed, gold, 1.0::DOUBLE AS precision, round(correct / gold, 9) AS recall, round(1.25 * (correct / gold) / (0.25 + correct / gold), 9) AS f FROM c""")
 def m2_derived(spark, sf_dir):
-    """Sentences of up to 200 tokens whose annotator changes every seventh token, and a system that does every second of these changes."""
-    rows = sentences(spark, sf_dir).where(retrieval.short_enough(F.col("src")))
-    mark = lambda x: F.concat(x, F.lit("§"))
-    said = F.array_join(F.transform("tokens", lambda x, i: F.when(i % 14 == 3, mark(x)).otherwise(x)), " ")
-    edit = lambda x, i: F.when(i % 7 == 3, F.struct(i.alias("s"), (i + 1).alias("e"), x.alias("orig"), F.array(mark(x)).alias("corr")))
-    made = F.filter(F.transform("tokens", edit), lambda e: e.isNotNull())
-    own = rows.select(F.xxhash64("doc_id", "sent").alias("sent_idx"), F.col("src").alias("source"), said.alias("hypothesis"), F.lit(0).alias("annotator"), made.alias("edits"))
+    """All sentences; the annotator changes every seventh token, and the system does every second of these changes."""
+    own = sentences(spark, sf_dir).select(F.xxhash64("doc_id", "sent").alias("sent_idx"), F.col("src").alias("source"), _said().alias("hypothesis"), F.lit(0).alias("annotator"), _edits(lambda i: i % 7 == 3).alias("edits"))
     out = m2.corpus_score(edits.spread(own))
     return out.select("correct", "proposed", "gold", "precision", F.round("recall", 9).alias("recall"), F.round("f", 9).alias("f"))
 
 
-@query(rf"WITH {PAIRS_SQL} SELECT trim(src) AS src, trim(tgt) AS tgt, count(*) AS n FROM good WHERE len(tokens) <= 60 AND NOT contains(src, '|') GROUP BY ALL")
+@query(rf"""WITH {SENTENCES_SQL},
+o AS (SELECT doc_id, sent, {_SAID(_EVERY(14, 3))} AS p, [{{'c': {_SAID(_EVERY(14, 3))}, 'g': {_EVERY(7, 3)}}}, {{'c': {_SAID(_EVERY(28, 3))}, 'g': {_EVERY(28, 3)}}}, {{'c': {_SAID(_EVERY(42, 3))} + {_SAID(_EVERY(42, 17))}, 'g': {_EVERY(42, 3)} + {_EVERY(42, 17)}}}, {{'c': 0, 'g': {_EVERY(7, 3)}}}][1:2 + sent % 3] AS o FROM sentences),
+l AS (SELECT list({{'cc': 0::BIGINT, 'pp': 0::BIGINT, 'gg': 0::BIGINT, 'p': p::BIGINT, 'o': list_transform(o, lambda x: {{'c': x.c::BIGINT, 'g': x.g::BIGINT}})}} ORDER BY doc_id, sent) AS l FROM o),
+r AS (SELECT list_reduce(list_prepend({{'cc': 0::BIGINT, 'pp': 0::BIGINT, 'gg': 0::BIGINT, 'p': 0::BIGINT, 'o': [{{'c': 0::BIGINT, 'g': 0::BIGINT}}]}}, l), lambda a, x: list_transform([list_reverse_sort(list_transform(x.o, lambda y, i: {{'f': CASE WHEN 0.25 * (a.gg + y.g) + a.pp + x.p > 0 THEN 1.25::DOUBLE * (a.cc + y.c) / (0.25::DOUBLE * (a.gg + y.g) + (a.pp + x.p)) ELSE 1.0::DOUBLE END, 'c': a.cc + y.c, 'd': -(0.25::DOUBLE * (a.gg + y.g) + a.pp + x.p), 'i': -i, 'g': a.gg + y.g}}))[1]], lambda b: {{'cc': b.c, 'pp': a.pp + x.p, 'gg': b.g, 'p': 0::BIGINT, 'o': x.o}})[1]) AS t FROM l)
+SELECT t.cc AS correct, t.pp AS proposed, t.gg AS gold, round(t.cc / t.pp, 9) AS precision, round(t.cc / t.gg, 9) AS recall, round(1.25 * t.cc / (0.25 * t.gg + t.pp), 9) AS f FROM r""")
+def m2_running(spark, sf_dir):
+    """All sentences, in order, with two to four annotators: each sentence takes the one that serves the corpus best so far."""
+    own = sentences(spark, sf_dir).select(F.shiftleft("doc_id", 24).bitwiseOR(F.col("sent")).alias("sent_idx"), "sent", F.col("src").alias("source"), _said().alias("hypothesis"), "tokens")
+    gold = F.array(_edits(lambda i: i % 7 == 3), _edits(lambda i: i % 28 == 3), _edits(lambda i: (i % 42).isin(3, 17)), _edits(lambda i: i % 7 == 3, "#"))
+    own = edits.spread(own).select("sent_idx", "source", "hypothesis", F.posexplode(F.slice(gold, F.lit(1), F.col("sent") % 3 + 2)).alias("annotator", "edits"))
+    out = m2.corpus_score(own)
+    return out.select("correct", "proposed", "gold", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f")))
+
+
+def _block_lines(rows, *edits_):
+    """rows (doc_id, sent, src, ...) as lines of an M2 file for each document: a sentence, its edits, a blank line."""
+    block = F.concat(F.array(F.concat(F.lit("S "), "src")), *edits_, F.array(F.lit("")))
+    whole = rows.select("doc_id", "sent", block.alias("lines")).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sent", "lines"))), lambda x: x["lines"])).alias("lines"))
+    return whole.select(F.col("doc_id").cast("string").alias("file"), F.posexplode("lines").alias("line_no", "value")).withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+def _edit_line(start, end, kind, said, annotator: int):
+    return F.concat(F.lit("A "), start.cast("string"), F.lit(" "), end.cast("string"), F.lit(f"|||{kind}|||"), said, F.lit(f"|||REQUIRED|||-NONE-|||{annotator}"))
+
+
+@query(rf"""WITH {SENTENCES_SQL}, own AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent) - 1 AS line_no FROM sentences WHERE NOT contains(src, '|'))
+SELECT doc_id, line_no, src, trim(array_to_string(flatten(list_transform(tokens, lambda x, i: CASE WHEN (i - 1) % 11 = 5 THEN [] WHEN (i - 1) % 7 = 3 THEN ['X||Y', 'z'] ELSE [x] END)), ' ')) AS tgt FROM own""")
+def m2_apply(spark, sf_dir):
+    """Sentences of a document as blocks of an M2 file, with deletions, alternatives of several tokens, and an edit of a type that says nothing."""
+    rows = sentences(spark, sf_dir).where(~F.contains("src", F.lit("|")))
+    edit = lambda x, i: F.when(i % 11 == 5, _edit_line(i, i + 1, "U", F.lit("-NONE-"), 0)).when(i % 7 == 3, _edit_line(i, i + 1, "R", F.lit("X||Y z"), 0))
+    made = F.filter(F.transform("tokens", edit), lambda e: e.isNotNull())
+    found = readers.m2_pairs(_block_lines(rows, made, F.array(F.lit("A -1 -1|||noop|||-NONE-|||REQUIRED|||-NONE-|||1"))))
+    return found.select(F.col("file").cast("bigint").alias("doc_id"), "line_no", "src", "tgt")
+
+
+@query(rf"""WITH {SENTENCES_SQL}, o AS (SELECT doc_id, sent, {_SAID(_EVERY(14, 3))} AS p, unnest([{{'a': 0, 'c': {_SAID(_EVERY(14, 3))}, 'g': {_EVERY(7, 3)}}}, {{'a': 1, 'c': {_SAID(_EVERY(28, 3))}, 'g': {_EVERY(28, 3)}}}], recursive := true) FROM sentences WHERE NOT contains(src, '|')),
+f AS (SELECT *, CASE WHEN 0.25 * g + p > 0 THEN 1.25 * c / (0.25 * g + p) ELSE 1.0 END AS f FROM o),
+t AS (SELECT sum(c)::BIGINT AS c, sum(p)::BIGINT AS p, sum(g)::BIGINT AS g FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, sent ORDER BY f DESC, c DESC, p + 0.25 * g, a) = 1))
+SELECT c AS correct, p AS proposed, g AS gold, round(c / p, 9) AS precision, round(c / g, 9) AS recall, round(1.25 * c / (0.25 * g + p), 9) AS f FROM t""")
+def m2_score(spark, sf_dir):
+    """Sentences with two annotators, read from M2 files, each scored by the annotator that suits it best."""
+    rows = sentences(spark, sf_dir).where(~F.contains("src", F.lit("|")))
+
+    def own(where, annotator: int):
+        found = F.filter(F.transform("tokens", lambda x, i: F.when(where(i), _edit_line(i, i + 1, "R", _mark(x), annotator))), lambda e: e.isNotNull())
+        return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(f"A -1 -1|||noop|||-NONE-|||REQUIRED|||-NONE-|||{annotator}")))
+
+    gold = readers.m2_annotations(_block_lines(rows, own(lambda i: i % 7 == 3, 0), own(lambda i: i % 28 == 3, 1)))
+    said = readers.before_in_file(rows.select(F.col("doc_id").cast("string").alias("file"), F.col("sent").cast("bigint").alias("sent"), _said().alias("hypothesis")), "sent", {"sent_idx": F.lit(1)})
+    both = gold.join(said, ["file", "sent_idx"]).withColumn("sent_idx", F.xxhash64("file", "sent_idx"))
+    out = m2.corpus_score(edits.spread(both), running=False)
+    return out.select("correct", "proposed", "gold", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f")))
+
+
+@query(rf"WITH {PAIRS_SQL} SELECT trim(src) AS src, trim(CASE WHEN len(tokens) > {CHANGED_UPTO} THEN src ELSE tgt END) AS tgt, count(*) AS n FROM good WHERE NOT contains(src, '|') GROUP BY ALL")
 def m2_written(spark, sf_dir):
-    """Derived pairs of up to 60 tokens written as edits in the M2 format, read and applied again. The format can't hold a bar in a token."""
-    rows = pairs(spark, sf_dir).where((F.size("tokens") <= 60) & ~F.contains("src", F.lit("|"))).groupBy("src", "tgt").agg(F.count("*").alias("n"))
-    rows = rows.withColumn("sent_idx", F.xxhash64("src", "tgt"))
+    """All derived pairs written as edits into one M2 file, long sentences without edits, read and applied again. The format can't hold a bar in a token."""
+    rows = pairs(spark, sf_dir).where(~F.contains("src", F.lit("|"))).withColumn("tgt", F.when(F.size("tokens") > CHANGED_UPTO, F.col("src")).otherwise(F.col("tgt"))).groupBy("src", "tgt").agg(F.count("*").alias("n"))
+    rows = stored(numbered(rows, ["src", "tgt"], "sent_idx"), "pairs")
     blocks = m2.m2_text(m2.edit_rows(edits.spread(rows.select("sent_idx", F.col("src").alias("source"), F.col("tgt").alias("target")))))
-    lines = blocks.select(F.col("sent_idx").cast("string").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    kept = lines.withColumn("value", F.replace(F.col("value"), F.lit("|||UNK|||"), F.lit("|||R|||")))  # an unknown type would be skipped
-    back = readers.m2_pairs(kept.withColumn("line_no", F.col("line_no").cast("bigint")))
-    return back.join(rows.select(F.col("sent_idx").cast("string").alias("file"), "n"), "file").groupBy("src", "tgt").agg(F.sum("n").alias("n"))
+    lines = blocks.select("sent_idx", F.posexplode(F.split(F.replace("value", F.lit("|||UNK|||"), F.lit("|||R|||")), "\n")).alias("at", "value"))  # an unknown type would be skipped
+    path = work_dir(spark, "m2")
+    sinks.write_lines(numbered(stored(lines, "m2-lines"), ["sent_idx", "at"], "line_no"), path)
+    back = readers.m2_pairs(readers.lines(spark, path, joined=True))
+    return back.join(rows.select(F.col("sent_idx").alias("line_no"), "n"), "line_no").groupBy("src", "tgt").agg(F.sum("n").alias("n"))

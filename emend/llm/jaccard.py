@@ -331,9 +331,9 @@ class _Join:
     def small(self, nodes: DataFrame) -> DataFrame:
         """Links between small sets: all sets with the same subset, if both of its sizes are there."""
         keys = nodes.select("node", "n", F.explode("subsets").alias("key"))
-        centre = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.min("n").alias("least"), F.max("n").alias("most"))
-        centre = centre.where("a <> z and (least <> most or key % 2 <> 0)").select("key", "a")
-        return keys.join(centre, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+        centre = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("rows"))
+        centre = durable(centre.where("a <> z and (least <> most or key % 2 <> 0)").select("key", "a", "rows"), "centres")
+        return joined_by_key(keys, centre, "key", "rows").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
     def whole(self, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
         """(node, shingles) of the wanted nodes, from one document each."""
@@ -365,12 +365,13 @@ class _Join:
             if last is not None and between > GAIN * last:
                 break
             last = between
-            centres = open_lists.select("hash", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("node"))
-            one = members.join(centres, ["hash", "node"]).select("hash", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("na"), F.col("pos").alias("ia"))
-            two = members.select(F.col("hash").alias("hash2"), F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("nb"), F.col("pos").alias("ib"))
-            met = one.join(two, (F.col("hash") == F.col("hash2")) & (F.col("x") != F.col("y")) & (F.col("lx") != F.col("ly")) & fits)
+            centres = open_lists.select("hash", "rows", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("node"))
+            one = durable(members.join(centres, ["hash", "node"]).select("hash", "rows", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("na"), F.col("pos").alias("ia")), "centres")
+            two = members.select("hash", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("n").alias("nb"), F.col("pos").alias("ib"))
+            met = joined_by_key(two, one, "hash", "rows").where((F.col("x") != F.col("y")) & (F.col("lx") != F.col("ly")) & fits)
             new = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
             new = durable(new, "new-pairs")
+            drop(one)
             links = durable(links.union(self.verified(new)), "found")
             tried = tried.union(new)
             labels = durable(components(links), "labels")
@@ -384,22 +385,26 @@ class _Join:
         """Lists of several components, three centres of each, and how many pairs they have between components; and the members of these."""
         labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         parts = labelled.groupBy("hash", "label").agg(F.count("*").alias("g"), F.min("node").alias("low"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("any"))
-        found = parts.groupBy("hash").agg(F.min("low").alias("c0"), F.max("low").alias("c1"), F.min("any")["node"].alias("c2"), ((F.sum("g") * F.sum("g") - F.sum(F.col("g") * F.col("g"))) / 2).alias("between"), F.count("*").alias("k"))
+        found = parts.groupBy("hash").agg(F.min("low").alias("c0"), F.max("low").alias("c1"), F.min("any")["node"].alias("c2"), ((F.sum("g") * F.sum("g") - F.sum(F.col("g") * F.col("g"))) / 2).alias("between"), F.count("*").alias("k"), F.sum("g").alias("rows"))
         found = durable(found.where("k > 1"), "open")
-        return labelled.join(found.select("hash"), "hash"), found
+        return joined_by_key(labelled, found.select("hash", "rows"), "hash", "rows"), found
 
     def in_blocks(self, members: DataFrame, open_lists: DataFrame) -> DataFrame:
         """Links between all members of the open lists: lists with common members are one pool, a pool is dealt into blocks of like
         sizes, and pairs of blocks are compared by matrix products that give back only what joins them."""
         sim = self.sim
-        pools = components(members.join(open_lists.select("hash", "c0"), "hash").select(F.col("node").alias("a"), F.col("c0").alias("b"))).withColumnRenamed("label", "pool")
-        nodes = durable(members.select("node", "n", "label").distinct().join(pools, "node").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(log(sim.den / sim.num))).cast("int")), "pool")
-        blocks = nodes.groupBy("pool", "class").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("salts"))
-        own = nodes.join(blocks, ["pool", "class"]).withColumn("block", F.struct("class", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))).drop("salts")
-        others = blocks.select(F.col("pool").alias("pool2"), F.col("class").alias("class2"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt2"))
-        met = own.join(others, (F.col("pool") == F.col("pool2")) & (F.abs(F.col("class") - F.col("class2")) <= 1))
-        other = F.struct(F.col("class2").alias("class"), F.col("salt2").alias("salt"))
-        met = met.select("pool", F.least("block", other).alias("lo"), F.greatest("block", other).alias("hi"), (F.col("block") <= other).alias("left"), "node", "label")
+        pools = components(joined_by_key(members, open_lists.select("hash", "c0", "rows"), "hash", "rows").select(F.col("node").alias("a"), F.col("c0").alias("b"))).withColumnRenamed("label", "pool")
+        own_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(sim.den / sim.num))).cast("int")
+        nodes = durable(members.select("node", "n", "label").distinct().join(pools, "node").withColumn("class", own_class).withColumn("of", F.struct("pool", "class")), "pool")
+        blocks = nodes.groupBy("of").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("salts"), F.count("*").alias("rows"))
+        # each class of a pool with the blocks of the classes beside it
+        near = blocks.select(F.explode(F.array(*(F.struct(F.col("of.pool").alias("pool"), (F.col("of.class") + d).alias("class")) for d in (-1, 0, 1)))).alias("of"), F.struct(F.col("of.class").alias("class"), "salts").alias("x"))
+        near = near.groupBy("of").agg(F.collect_list("x").alias("others"))  # three at most
+        known = durable(blocks.join(near, "of"), "blocks")
+        own = joined_by_key(nodes, known, "of", "rows").withColumn("block", F.struct("class", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt")))
+        met = own.withColumn("x", F.explode("others")).withColumn("salt2", F.explode(F.sequence(F.lit(0), F.col("x.salts") - 1)))
+        other = F.struct(F.col("x.class").alias("class"), F.col("salt2").alias("salt"))
+        met = met.select("pool", F.least("block", other).alias("lo"), F.greatest("block", other).alias("hi"), "node", "label")
         met = met.join(self.sets, "node")
         return met.groupBy("pool", "lo", "hi").applyInPandas(lambda rows: _joined(rows, sim), "a bigint, b bigint")
 

@@ -52,22 +52,46 @@ BASE = ("assign", "access", "hex")
 _SPAN = "array<struct<start:bigint,end:bigint,kind:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _parts(values: Column) -> Column:
+    """A long array in about as many parts as each has elements, so that work in the square of a part's length stays small."""
+    k = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
+    cut = lambda k: F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / k).cast("int")), lambda c: F.slice(values, c * k + 1, k))
+    return F.when(F.size(values) > 0, _let(k, cut)).otherwise(F.array(values))
+
+
+def _scan(values: Column, op) -> Column:
+    """op over each element and all before it; values are numbers from 0 up."""
+    none = F.array().cast("array<bigint>")
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0).cast("bigint"))
+    each = lambda part: F.aggregate(part, none, lambda acc, x: F.concat(acc, F.array(op(last(acc), x.cast("bigint")))))
+
+    def joined(local: Column) -> Column:
+        return _let(each(F.transform(local, last)), lambda ends: F.flatten(F.transform(local, lambda part, c: F.transform(part, lambda v: F.when(c == 0, v).otherwise(op(F.get(ends, c - 1), v))))))
+
+    return _let(F.transform(_parts(values), each), joined)
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """Leftmost non-overlapping matches of the rule that are long enough, in code points, end exclusive.
 
-    Splitting by the pattern gives the pieces between the matches, so that starts are sums of lengths.
+    Splitting by the pattern gives the pieces between the matches, so that ends are sums of lengths.
     """
-    found = F.arrays_zip(F.split(text, rule.pattern).alias("gap"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("part"))
+    lengths = lambda group: F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group)), F.length)
     none = F.lit(None).cast(_SPAN)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["all"]), F.lit(0))
-        one = F.struct(begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.cast("bigint").alias("at"), F.when(F.length(x["part"]) >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    def found(v: Column) -> Column:
+        ends = _scan(F.zip_with(v["all"], F.slice(v["gap"], F.lit(1), F.size(v["all"])), lambda a, g: a + g), lambda a, b: a + b)
+        each = F.transform(F.arrays_zip(ends.alias("end"), v["all"].alias("all"), v["part"].alias("part")), lambda x: F.struct((x["end"] - x["all"]).cast("bigint").alias("start"), x["end"].alias("end"), F.lit(rule.kind).alias("kind"), x["part"].alias("part")))
+        kept = F.filter(each, lambda x: x["part"] >= rule.least)
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
 
-    return F.when(text.rlike(rule.hint), F.aggregate(found, start, step)["out"]).otherwise(none)
+    pieces = F.struct(F.transform(F.split(text, rule.pattern), F.length).alias("gap"), lengths(0).alias("all"), lengths(rule.group).alias("part"))
+    return F.when(text.rlike(rule.hint), _let(pieces, found)).otherwise(none)
 
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
@@ -117,14 +141,22 @@ def digest(found: Column) -> Column:
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     """The text with every found span (overlapping ones as one) replaced by the mark."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        return F.when(x["end"] <= acc["at"], acc).when(
-            x["start"] < acc["at"], F.struct(x["end"].alias("at"), acc["out"].alias("out"))
-        ).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out")))
 
-    done = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    def stretches(upto: Column) -> Column:
+        """What lies between the spans: after all spans so far, up to the next one that begins there or later; then the rest."""
+        own = F.transform(found, lambda x, i: F.struct(F.when(i > 0, F.get(upto, i - 1)).otherwise(F.lit(0).cast("bigint")).alias("lo"), x["start"].alias("hi")))
+        kept = F.filter(own, lambda r: r["hi"] >= r["lo"])
+        rest = F.struct(F.get(upto, F.size(upto) - 1).alias("lo"), F.length(text).cast("bigint").alias("hi"))
+        return F.concat(kept, F.array(rest))
+
+    def joined(part: Column) -> Column:
+        """Stretches of a part, cut from the text between its ends."""
+        lo, hi = F.get(part, F.lit(0))["lo"], F.get(part, F.size(part) - 1)["hi"]
+        inner = lambda own: F.array_join(F.transform(part, lambda r: F.substring(own, (r["lo"] - lo + 1).cast("int"), (r["hi"] - r["lo"]).cast("int"))), mark)
+        return _let(F.substring(text, (lo + 1).cast("int"), (hi - lo).cast("int")), inner)
+
+    ends = _scan(F.transform(found, lambda x: x["end"]), F.greatest)
+    done = _let(_let(ends, stretches), lambda s: F.array_join(F.transform(_parts(s), joined), mark))
     return F.when(F.size(found) > 0, done).otherwise(text)
 
 

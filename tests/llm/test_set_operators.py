@@ -392,3 +392,25 @@ def test_steps_on_odd_tables(spark, stage):
     assert stage(docs.limit(0)).count() == 0
     unlabelled = stages.known_languages(docs.withColumn("lang", F.lit(None).cast("string")))
     assert stage is not stages.known_languages or sorted(str(r.doc_id) for r in unlabelled.collect()) == ["1", "2", "2", "None"]
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    import re
+    import time
+
+    from emend.llm import secrets
+
+    text = "".join(f"x{i} password=abcdef{i % 7} token: q " for i in range(30_000))
+    began = time.time()
+    row = secrets.scan(spark.createDataFrame([(1, text), (2, "no"), (3, "password=abcdef")], "doc_id long, text string")).withColumn("clean", secrets.redacted(F.col("text"), F.col("found"))).where("doc_id = 1").first()
+    want = [(m.start(), m.end()) for m in re.finditer(r"password=abcdef\d", text)]
+    assert [(x.start, x.end) for x in row.found] == want and row.clean == re.sub(r"password=abcdef\d", "[SECRET]", text)
+    assert time.time() - began < 60
+
+
+def test_overlapping_secrets_are_one_mark(spark):
+    from emend.llm import secrets
+
+    spans = [(0, 5), (2, 3), (3, 8), (8, 9), (12, 15), (13, 14)]
+    row = spark.createDataFrame([("0123456789abcdefgh", [(a, b, "k") for a, b in spans])], "text string, found array<struct<start:bigint,end:bigint,kind:string>>")
+    assert row.select(secrets.redacted(F.col("text"), F.col("found"), "#")).first()[0] == "##9ab#fgh"

@@ -107,7 +107,7 @@ def zipped(left: DataFrame, right: DataFrame, cleaned: bool = True, strict: bool
 
 
 def parallel(spark: SparkSession, source: str, target: str, cleaned: bool = True, drop_blank: bool = False) -> DataFrame:
-    out = zipped(lines(spark, source), lines(spark, target), cleaned)
+    out = zipped(lines(spark, source, joined=True), lines(spark, target, joined=True), cleaned)
     return out.where("trim(src) <> '' and trim(tgt) <> ''") if drop_blank else out
 
 

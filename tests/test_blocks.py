@@ -87,3 +87,11 @@ def test_a_json_array_in_any_layout(spark, monkeypatch, tmp_path, layout, togeth
 def test_an_array_without_rows(spark, tmp_path, text):
     (tmp_path / "a.json").write_text(text)
     assert [(r.id, r.text) for r in readers.corpus_json(spark, str(tmp_path / "a.json"), "d").collect()] == [(readers.BLANK_ID, readers.BLANK_TEXT)]
+
+
+def test_sides_in_several_files_are_read_side_by_side(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sinks, "LINES_A_FILE", 50)
+    rows = spark.createDataFrame([(i, f"s{i}", f"t{i}") for i in range(220)], "line_no long, src string, tgt string").repartition(3)
+    sinks.write_parallel(rows, str(tmp_path / "p"))
+    got = readers.parallel(spark, str(tmp_path / "p.src"), str(tmp_path / "p.tgt")).collect()
+    assert sorted(map(tuple, got)) == [(i, f"s{i}", f"t{i}") for i in range(220)]

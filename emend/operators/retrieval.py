@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .ordering import numbered, running
+from ..session import stored
+from .ordering import numbered, running, running_sums
 from .vectors import cosine_top
 
 
@@ -157,27 +158,43 @@ def retrieval_stats(rows: DataFrame) -> DataFrame:
 
 
 def balanced_ranges(weights: DataFrame, shards: int, order: str = "idx") -> DataFrame:
-    """weights (order, weight) -> shard, start, end: contiguous ranges, closed as soon as they reach the even share.
+    """weights (order: numbers from 0 without gaps, weight: not negative) -> shard, start, end: contiguous ranges, closed as soon as they reach the even share.
 
-    The next range begins where the running sum first reaches the share after the last beginning: with running sums, one lookup for each range.
+    The range that would begin at a row ends where the running sum first reaches the share from there: one running count over rows and beginnings in
+    the order of their sums gives the next beginning of every row. Jumps of 1, 2, 4, ... ranges then give all beginnings from row 0 in log2(shards) joins.
     """
     spark = weights.sparkSession
-    sums = running(weights.select(order, "weight"), F.col("weight"), [order], "upto")
+    kind = "shard int, start bigint, end bigint"
     total = weights.agg(F.count("*").alias("n"), F.sum("weight").alias("w")).first()
     n = total["n"]
-    shards = max(1, min(shards, n))
     if not n:
-        return spark.createDataFrame([], "shard int, start bigint, end bigint")
-    share, out, start, before = max(1, -(-total["w"] // shards)), [], 0, 0
-    while len(out) < shards - 1:
-        left = shards - len(out)
-        # the first later row before which the share is reached; enough rows stay for the other ranges
-        row = sums.where((F.col(order) >= start) & (F.col("upto") - before >= share)).agg(F.min(F.struct(F.col(order).alias("i"), "upto"))).first()[0]
-        if row is None or row["i"] + 1 >= n or n - (row["i"] + 1) < left - 1:
+        return spark.createDataFrame([], kind)
+    shards = max(1, min(shards, n))
+    share = max(1, -(-total["w"] // shards))
+    cuts = _beginnings(weights, shards, order, share, n) if shards > 1 else []
+    out, start = [], 0
+    for at in cuts[: shards - 1]:
+        if n - at < shards - len(out) - 1:  # too few rows would stay for the other ranges
             break
-        out.append((len(out), start, row["i"] + 1))
-        start, before = row["i"] + 1, row["upto"]
-    return spark.createDataFrame([*out, (len(out), start, n)], "shard int, start bigint, end bigint")
+        out.append((len(out), start, at))
+        start = at
+    return spark.createDataFrame([*out, (len(out), start, n)], kind)
+
+
+def _beginnings(weights: DataFrame, shards: int, order: str, share: int, n: int) -> list[int]:
+    """Where the ranges after the first would begin, shards at most."""
+    sums = stored(running(weights.select(F.col(order).cast("bigint").alias("i"), "weight"), F.col("weight"), ["i"], "upto"), "sums")
+    wanted = sums.select("i", (F.col("upto") - F.col("weight") + share).alias("at"), F.lit(0).alias("row"))
+    both = wanted.union(sums.select("i", "upto", F.lit(1)))
+    counted = running_sums(both, {"before": F.col("row")}, ["at", "row"])
+    jump = stored(counted.where("row = 0").select("i", (F.col("before") + 1).alias("to")).where(F.col("to") < n), "jumps")
+    reached, step = weights.sparkSession.range(1).select(F.lit(0).alias("k"), F.col("id").alias("i")), 1
+    while True:
+        reached = reached.union(F.broadcast(reached).join(jump, "i").select((F.col("k") + step).alias("k"), F.col("to").alias("i")))  # shards rows at most
+        step *= 2
+        if step >= shards:
+            return [r["i"] for r in reached.where("k > 0").orderBy("k").collect()]
+        jump = stored(jump.join(jump.select(F.col("i").alias("to"), F.col("to").alias("next")), "to").select("i", F.col("next").alias("to")), "jumps")
 
 
 def modulo_shard(index: Column, shards: int) -> Column:

@@ -12,8 +12,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block on either side of a blocked product.
-QUERY_BLOCK, TRAIN_BLOCK = 2_000, 20_000
+#: The most queries that go to all tasks.
+QUERY_BLOCK = 2_000
+#: Dimensions up to which tasks sum the whole matrix of second moments.
+WIDE = 512
 
 
 # --- columns ------------------------------------------------------------------
@@ -96,10 +98,16 @@ class Components:
 
 
 def principal(rows: DataFrame, k: int, vector: str = "vec") -> Components:
-    """Principal components from the matrix of second moments, which tasks sum over their rows: the driver gets d rows of d numbers.
+    """Principal components from the matrix of second moments, which tasks sum over their rows: the driver gets d rows of d numbers. Vectors of over
+    WIDE numbers are multiplied block by block instead, so that no task holds d x d numbers.
 
     Signs: the largest entry of a component is positive.
     """
+    first = rows.select(F.size(vector).alias("d")).first()
+    if first is not None and first["d"] > WIDE:
+        from .lowrank import leading
+
+        return leading(rows, k, vector)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -185,7 +193,9 @@ DIRECTIONS = {
 # --- cosine neighbours --------------------------------------------------------
 
 
-def _block_top(k: int):
+def block_top(k: int):
+    """The k best of a block of rows (id, v) for each query (id, v) of a block."""
+
     def top(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query": [], "id": [], "similarity": []}).astype({"query": "int64", "id": "int64", "similarity": "float64"})
@@ -203,7 +213,7 @@ def _block_top(k: int):
 def _few_queries(queries: list, k: int):
     """Batches of train rows against all queries: k rows for each query and batch."""
     known = pd.DataFrame({"id": [q["id"] for q in queries], "v": [np.array(q["v"]) for q in queries]})
-    top = _block_top(k)
+    top = block_top(k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -215,9 +225,11 @@ def _few_queries(queries: list, k: int):
 def cosine_top(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
     """queries (id, vec), train (id, vec) -> query, rank, id, similarity: the k most similar, ties to the smaller id.
 
-    Up to QUERY_BLOCK queries go to all tasks, and train rows stay where they are. More queries are dealt into blocks, as are the
-    train rows; each pair of blocks is one matrix product that gives k rows for each query.
+    Up to QUERY_BLOCK queries go to all tasks, and train rows stay where they are. More queries meet only those cells of train rows that
+    can hold one of their neighbours.
     """
+    from .neighbours import pruned_cosine_top
+
     unit_rows = lambda df: df.select("id", unit(F.col("vec")).alias("v"))
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     first = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -225,9 +237,4 @@ def cosine_top(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
     schema = "query bigint, id bigint, similarity double"
     if len(few) <= QUERY_BLOCK:
         return first(unit_rows(train).mapInPandas(_few_queries(few, k), schema))
-    n_q, n_t = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (train, TRAIN_BLOCK)))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    q = unit_rows(queries).withColumn("qb", block(n_q, 1)).withColumn("tb", spread(n_t))
-    t = unit_rows(train).withColumn("tb", block(n_t, 2)).withColumn("qb", spread(n_q))
-    return first(q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(_block_top(k), schema))
+    return pruned_cosine_top(unit_rows(queries), unit_rows(train), k)

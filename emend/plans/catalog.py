@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags, text
-from ..operators import cleanup, edits, hints, m2, prompts, retrieval, vectors
+from ..operators import cleanup, edits, hints, lowrank, m2, neighbours, prompts, retrieval, vectors
 from ..operators.ordering import numbered, running_sums
 from ..sources import readers
 
@@ -336,6 +336,13 @@ def minmax_similarity(spark, sf_dir):
     return top.select("query", "id", F.round(retrieval.min_max(F.col("similarity"), "query"), 5).alias("scaled"))
 
 
+@query(_TOP_SQL.replace(" AND q.vec_id % 100 = 0", "").replace(" ON q.vec_id % 100 = 0", " ON true").replace("rank <= 4", "rank <= 3") + " SELECT query, rank, id, round(similarity, 6) AS similarity FROM top")
+def cosine_all(spark, sf_dir):
+    """The three nearest vectors of every vector, itself among them."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vectors.unit(F.col("embedding")).alias("v"))
+    return neighbours.pruned_cosine_top(rows, rows, 3).select("query", "rank", "id", F.round("similarity", 6).alias("similarity"))
+
+
 _DIRECTION_SQL = """WITH u AS (SELECT label, unnest(range(len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IN (0, 1)),
 d AS (SELECT i, avg(x) FILTER (WHERE label = 1) - avg(x) FILTER (WHERE label = 0) AS v FROM u GROUP BY i)"""
 
@@ -361,14 +368,47 @@ def standard_scale(spark, sf_dir):
     return rows.select("vec_id", F.posexplode(vectors.scaled(F.col("vec"), m)).alias("i", "z")).select("vec_id", "i", (F.round("z", 4) + 0.0).alias("z"))
 
 
-@query()
+_COVARIANCE_SQL = """u AS (SELECT vec_id, unnest(range(len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), mean AS (SELECT i, avg(x) AS m FROM u GROUP BY i),
+z AS MATERIALIZED (SELECT vec_id, i, x - m AS x FROM u JOIN mean USING (i)), own AS (SELECT vec_id, list(x ORDER BY i) AS v FROM z GROUP BY vec_id),
+entry AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (SELECT count(*) FROM embeddings) AS x FROM z a JOIN z b USING (vec_id) GROUP BY a.i, b.i),
+line AS (SELECT i, list(x ORDER BY j) AS r FROM entry GROUP BY i), c0 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM line)"""
+
+
+def _component_sql(n: int) -> str:
+    """Tables p{n} (v), the nth component by squaring the matrix c{n - 1} again and again, and c{n}, the matrix without it."""
+    square = "list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s)))"
+    largest = "list_max(list_transform(m, lambda r: list_max(list_transform(r, lambda x: abs(x)))))"
+    scaled = lambda rows: f"SELECT step, list_transform(m, lambda r: list_transform(r, lambda x: x / n)) AS m FROM (SELECT step, m, {largest} AS n FROM ({rows}))"
+    return f"""s{n}(step, m) AS ({scaled(f'SELECT 0 AS step, m FROM c{n - 1}')} UNION ALL {scaled(f'SELECT step + 1 AS step, {square} AS m FROM s{n} WHERE step < 40')}),
+g{n} AS (SELECT unnest(m) AS r FROM s{n} WHERE step = 40), h{n} AS MATERIALIZED (SELECT r FROM g{n} ORDER BY list_dot_product(r, r) DESC LIMIT 1),
+t{n} AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS v FROM h{n}),
+p{n} AS MATERIALIZED (SELECT list_transform(v, lambda x: x * CASE WHEN list_max(v) >= -list_min(v) THEN 1.0 ELSE -1.0 END) AS v FROM t{n}),
+l{n} AS MATERIALIZED (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM p{n}, c{n - 1}),
+c{n} AS MATERIALIZED (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - l * v[i] * v[j])) AS m FROM c{n - 1}, l{n})"""
+
+
+_COMPONENTS_SQL = f"WITH RECURSIVE {_COVARIANCE_SQL}, {', '.join(map(_component_sql, (1, 2, 3)))}, y AS (SELECT vec_id, " + ", ".join(f"list_dot_product(own.v, p{n}.v) AS pc{n}" for n in (1, 2, 3)) + " FROM own, p1, p2, p3)"
+
+
+@query(_COMPONENTS_SQL + " SELECT vec_id, row_number() OVER (ORDER BY round(abs(pc1), 9) DESC, vec_id) AS rank, round(pc1, 5) + 0.0 AS pc1, round(pc2, 5) + 0.0 AS pc2, round(pc3, 5) + 0.0 AS pc3 FROM y")
 def pca_project(spark, sf_dir):
     """The rank of each vector by its first principal component, and its first three coordinates."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     out = vectors.in_components(rows, vectors.principal(rows, 3), "vec", "projected")
-    first = F.abs(F.get("projected", F.lit(0)))
+    return _ranked_by_component(out)
+
+
+@query(_COMPONENTS_SQL + " SELECT vec_id, row_number() OVER (ORDER BY round(abs(pc1), 9) DESC, vec_id) AS rank, round(pc1, 5) + 0.0 AS pc1, round(pc2, 5) + 0.0 AS pc2, round(pc3, 5) + 0.0 AS pc3 FROM y")
+def low_rank_project(spark, sf_dir):
+    """The same by block passes over the rows."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return _ranked_by_component(vectors.in_components(rows, lowrank.leading(rows, 3), "vec", "projected"))
+
+
+def _ranked_by_component(out: DataFrame) -> DataFrame:
+    first = F.round(F.abs(F.get("projected", F.lit(0))), 9)
     ranked = numbered(out, [first.desc(), "vec_id"], "rank")
-    return ranked.select("vec_id", (F.col("rank") + 1).alias("rank"), *(F.round(F.get("projected", F.lit(i)), 5).alias(f"pc{i + 1}") for i in range(3)))
+    return ranked.select("vec_id", (F.col("rank") + 1).alias("rank"), *((F.round(F.get("projected", F.lit(i)), 5) + 0.0).alias(f"pc{i + 1}") for i in range(3)))
 
 
 # --- choosing and scoring -----------------------------------------------------

@@ -1,7 +1,8 @@
 """Personal data replaced by surrogates.
 
 Entities are found by type: mail addresses, telephone numbers, payment cards (Luhn), IBANs (mod 97), social security numbers, IPv4 and IPv6
-addresses, and names after a title or an introduction; a name that was found so is found again wherever it stands in the text. A surrogate is drawn by a
+addresses, and names after titles or an introduction; a name that was found so is found again wherever it stands in the text, also with a genitive s. Telephone
+numbers are international, in brackets, of three groups, or begin with a trunk 0; short local ones (555-1234) look like ranges and stay. A surrogate is drawn by a
 keyed digest of the entity's normal form, so one entity has one surrogate wherever and however it is written; it keeps type, script, length, case and
 punctuation. A name that most of its titles in the corpus call a man's or a woman's gets such an ending. Over the whole corpus no two entities of a type
 share a surrogate and no surrogate is an entity: the distinct entities are drawn for, those that collide get a further draw, until none
@@ -46,13 +47,18 @@ _MAIL = regex.compile(r"(?<![\w.%+-])[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@[
 _IP = regex.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![\w]|\.[0-9])")
 _CARD = regex.compile(r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")
 _PHONE = regex.compile(r"(?<![\w.(])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w]|[.-][0-9])")
+#: National numbers: a trunk 0, up to six groups parted by a space, a stroke or a hyphen; neither a date nor an SSN nor a longer row of numbers.
+_NATIONAL = regex.compile(r"(?<![\w.,+/(-])(?![0-9]{2}[-/][0-9]{2}[-/][0-9]{4}(?![0-9]))(?![0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]))0[1-9][0-9]{0,4}[ /-][0-9]{2,9}(?:[ -][0-9]{2,9}){0,4}(?![\w]|[./-][0-9]|[ ][0-9]{2})")
+#: Country calling codes of one and of two digits; all others have three.
+CODES = ("1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _NAME = r"((?:\p{Lu}[\p{L}'’]*(?:-\p{Lu}\p{L}+)?)(?:[ \u00a0]\p{Lu}[\p{L}'’]+(?:-\p{Lu}\p{L}+)?){0,2})"
-_TITLE = regex.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.?[ \u00a0]+" + _NAME)
+_TITLES = r"(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")"
+_TITLE = regex.compile(rf"\b(?<!\b{_TITLES}\.?[ \u00a0])((?:{_TITLES}\.?[ \u00a0]+)++)" + _NAME)  # a run of titles is read from its start only
 _INTRODUCED = regex.compile(r"\b(?i:" + "|".join(INTRODUCTIONS) + r")[ \u00a0]+(?!(?:" + "|".join(TITLES) + r")\b)" + _NAME)
 _WORD = regex.compile(r"\p{Lu}[\p{L}'’]*(?:-\p{Lu}\p{L}+)?")
 _IBAN = regex.compile(r"(?<![\w])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\w])")
 _SSN = regex.compile(r"(?<![\w.-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])")
-_IPV6 = regex.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){4,7}[0-9A-Fa-f]{1,4}(?![\w:])")
+_IPV6 = regex.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{0,4}:){4,7}[0-9A-Fa-f]{0,4}|[0-9A-Fa-f]{4}:(?:[0-9A-Fa-f]{0,4}:){1,2}[0-9A-Fa-f]{0,4})(?![\w:])")
 _DIGIT = regex.compile(r"[0-9]")
 
 
@@ -86,6 +92,19 @@ def iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def national(phone: str) -> str:
+    """The digits of a number without its country's code and without a trunk 0: one number has one form, however it is dialled."""
+    digits = regex.sub(r"\D", "", phone)
+    if phone.startswith("+"):
+        digits = digits[next((n for n in (1, 2) if digits[:n] in CODES), 3) :]
+    return digits[1:] if digits.startswith("0") else digits
+
+
+def _gender_of(titles: str) -> str:
+    """What the first of several titles that tells a gender says."""
+    return next((g for t in regex.findall(r"\p{L}+", titles) if (g := TITLES.get(t, ""))), "")
+
+
 def _normal_name(name: str) -> str:
     return name.lower().replace("’", "'")
 
@@ -123,15 +142,20 @@ def entities(text: str) -> list[Entity]:
                 found += [Entity(m.start() + x.start(), m.start() + x.end(), "card", x[0]) for x in regex.finditer(r"(?<![0-9])[0-9]{13,19}(?![0-9])", m[0]) if is_card(x[0])]
         found += [Entity(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in _IBAN.finditer(text) if iban_rest(m[0].replace(" ", "")) == 1]
         found += [Entity(m.start(), m.end(), "ssn", m[0].replace("-", "")) for m in _SSN.finditer(text)]
-        # a number with and without its country's code is one
-        found += [Entity(m.start(), m.end(), "phone", regex.sub(r"\D", "", m[0])[-10:]) for m in _PHONE.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 15]
+        found += [Entity(m.start(), m.end(), "phone", national(m[0])) for m in _PHONE.finditer(text) if 7 <= sum(c.isdigit() for c in m[0]) <= 15]
+        for m in _NATIONAL.finditer(text):
+            own = m[0]
+            while sum(c.isdigit() for c in own) > 12 and regex.search(r"[ -][0-9]+$", own):  # a number that follows isn't part of it
+                own = regex.sub(r"[ -][0-9]+$", "", own)
+            if 9 <= sum(c.isdigit() for c in own) <= 12:
+                found.append(Entity(m.start(), m.start() + len(own), "phone", national(own)))
     if ":" in text:
         for m in _IPV6.finditer(text):
             try:
                 found.append(Entity(m.start(), m.end(), "ipv6", ipaddress.IPv6Address(m[0]).exploded))
             except ValueError:
                 continue
-    names = [e for m in _TITLE.finditer(text) for e in _names(m, 2, TITLES[m[1]], False)]
+    names = [e for m in _TITLE.finditer(text) for e in _names(m, 2, _gender_of(m[1]), False)]
     names += [e for m in _INTRODUCED.finditer(text) for e in _names(m, 1, "", True)]
     out = _apart(found + names)
     known = {e.normal for e in out if e.kind == "name"}
@@ -139,6 +163,8 @@ def entities(text: str) -> list[Entity]:
         again = []
         for m in _WORD.finditer(text):
             bare = regex.sub(r"['’]s?$", "", m[0])
+            if _normal_name(bare) not in known and bare.endswith("s"):  # a genitive without a sign
+                bare = bare[:-1]
             if _normal_name(bare) in known:
                 again.append(Entity(m.start(), m.start() + len(bare), "name", _normal_name(bare)))
         taken = iter(out)
@@ -247,7 +273,7 @@ def written(surrogate: str, kind: str, place: str) -> str:
     """The surrogate in the form of the place: digits between its punctuation, letters in its case."""
     if kind in ("card", "phone", "ssn", "iban"):
         digits = regex.sub(r"\D", "", place)
-        signs = iter((digits[: max(0, len(digits) - 10)] if kind == "phone" else "") + surrogate)  # the country's code stays
+        signs = iter((digits[: len(digits) - len(national(place))] if kind == "phone" else "") + surrogate)  # the country's code and a trunk 0 stay
         return "".join(next(signs) if c.isalnum() else c for c in place) + "".join(signs)
     if kind == "ip":
         return surrogate

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -134,6 +135,39 @@ def test_names_are_found_again():
     assert kinds("time 12:34:56, a::b, std::x, 3/4-12") == [] and [e.kind for e in pii.entities("at fe80::1ff:fe23:4567:890a or DE89370400440532013000, 536-22-5341 but DE88370400440532013000")] == ["ipv6", "iban", "ssn"]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Frau Dr. Müller und Müllers Hund", [("Müller", "name"), ("Müller", "name")]),
+        ("Prof. Dr. Weber, Herr Prof. Dr. Jan Weber", [("Weber", "name"), ("Jan", "name"), ("Weber", "name")]),
+        ("Frau Dr. sagt nichts", []),
+        ("at 2001:db8::1, fe80::1 and ::ffff", [("2001:db8::1", "ipv6"), ("fe80::1", "ipv6")]),
+        ("std::x a::b 12:34:56 10::20", []),
+        ("+49 151 12345678 oder 0151 12345678", [("+49 151 12345678", "phone"), ("0151 12345678", "phone")]),
+        ("030 1234567, 01 23 45 67 89.", [("030 1234567", "phone"), ("01 23 45 67 89", "phone")]),
+        ("0151 12345678 10 times", [("0151 12345678", "phone")]),
+        ("am 01-02-2020 10, 012-34-5678, 0.15 1234567, 555-1234", [("012-34-5678", "ssn")]),
+    ],
+)
+def test_what_is_found(text, want):
+    assert [(text[e.start : e.end], e.kind) for e in pii.entities(text)] == want
+
+
+def test_a_number_has_one_form():
+    assert {pii.national(x) for x in ("+49 151 12345678", "0151 12345678", "+49 (0)151 12345678")} == {"15112345678"}
+    assert pii.national("+1 (499) 555-6503") == pii.national("499-555-6503") == "4995556503" and pii.national("+353 1 234 5678") == "12345678"
+    new = pii.draw("phone", "15112345678", b"k")
+    abroad, home = (pii.written(new, "phone", x) for x in ("+49 151 12345678", "0151 12345678"))
+    assert abroad == f"+49 {new[:3]} {new[3:]}" and home == f"0{new[:3]} {new[3:]}" and "151" not in (new[:3],)
+    assert [e.gender for e in pii.entities("Frau Prof. Dr. Anna Weber")] == ["f", ""]
+
+
+def test_long_runs_of_digits_and_titles_cost_little():
+    began = time.time()
+    assert not pii.entities("01 " + "12 " * 50_000 + "x" + "1" * 100_000 + "x " + "0:" * 50_000 + "Dr. " * 50_000)
+    assert time.time() - began < 20
+
+
 def plain_pseudonymise(texts, key):
     """One text after the other, with plain dicts: votes for genders, draws until nothing collides, then the spans are cut out."""
     votes = {}

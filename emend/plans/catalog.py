@@ -240,16 +240,23 @@ _CAPITAL_SQL = rf"""WITH {SENTENCES_SQL}, u AS (SELECT doc_id, sent, unnest(rang
 r AS (SELECT doc_id, sent, pos, token <> lower(token) AS capital, row_number() OVER (PARTITION BY doc_id, sent, token <> lower(token) ORDER BY pos) - 1 AS rank, count(*) FILTER (WHERE token <> lower(token)) OVER (PARTITION BY doc_id, sent) AS n FROM u),
 q AS (SELECT doc_id, sent, pos, (rank - 1) % n AS turn FROM r WHERE NOT capital AND rank >= 1 AND n > 0),
 p AS (SELECT doc_id, sent, pos, rank AS turn FROM r WHERE capital)
-SELECT doc_id, sent, p.pos::INTEGER AS pos_pos, q.pos::INTEGER AS neg_pos FROM q JOIN p USING (doc_id, sent, turn)"""
+SELECT doc_id, sent, count(*) AS pairs, md5(string_agg(p.pos || '-' || q.pos, ',' ORDER BY q.pos)) AS pairs_md5 FROM q JOIN p USING (doc_id, sent, turn) GROUP BY doc_id, sent"""
+
+
+def _listed_pairs(pairs: Column) -> list[Column]:
+    """How many pairs (pos, neg) a sentence has, and the digest of their list in the order of the negatives."""
+    listed = F.array_join(F.transform(F.array_sort(F.transform(pairs, lambda x: F.struct(x["neg"].alias("neg"), x["pos"].alias("pos")))), lambda x: F.concat_ws("-", x["pos"].cast("string"), x["neg"].cast("string"))), ",")
+    return [F.size(pairs).cast("bigint").alias("pairs"), F.md5(listed.cast("binary")).alias("pairs_md5")]
 
 
 @query(_CAPITAL_SQL)
 def cyclic_pairing(spark, sf_dir):
-    """Within each sentence, capitalised tokens as positives and the others as negatives."""
+    """Within each sentence, capitalised tokens as positives and the others as negatives; all pairs of a sentence in one row."""
     rows = sentences(spark, sf_dir).withColumn("marked", F.transform("tokens", lambda t, i: F.struct(i.alias("i"), (t != F.lower(t)).alias("capital"))))
     places = lambda yes: F.transform(F.filter("marked", lambda m: m["capital"] == F.lit(yes)), lambda m: m["i"])
     sides = rows.select("doc_id", "sent", places(True).alias("p"), places(False).alias("n"))
-    return sides.select("doc_id", "sent", F.explode(edits.cyclic(F.col("p"), F.col("n"))).alias("x")).select("doc_id", "sent", F.col("x.pos").alias("pos_pos"), F.col("x.neg").alias("neg_pos"))
+    found = sides.select("doc_id", "sent", edits.cyclic(F.col("p"), F.col("n")).alias("x")).where(F.size("x") > 0)
+    return found.select("doc_id", "sent", *_listed_pairs(F.col("x")))
 
 
 @query(_CAPITAL_SQL)
@@ -257,7 +264,8 @@ def cyclic_pairing_rows(spark, sf_dir):
     """The same from two tables of sites."""
     rows = sentences(spark, sf_dir).select(F.struct("doc_id", "sent").alias("line"), F.posexplode("tokens").alias("pos", "token")).withColumn("capital", F.col("token") != F.lower("token"))
     side = lambda yes: rows.where(F.col("capital") == yes).select("line", "pos", F.col("pos").alias("rank"))
-    return edits.cyclic_pairs(side(True), side(False), "line").select("line.doc_id", "line.sent", "pos_pos", "neg_pos")
+    rows = edits.cyclic_pairs(side(True), side(False), "line").groupBy("line").agg(F.collect_list(F.struct(F.col("pos_pos").alias("pos"), F.col("neg_pos").alias("neg"))).alias("x"))
+    return rows.select("line.doc_id", "line.sent", *_listed_pairs(F.col("x")))
 
 
 @query("""WITH m AS (SELECT conv_id, turn, role, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN 1 ELSE 0 END AS f FROM conversations)

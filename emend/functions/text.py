@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import INFIXES, peeled_line
+
 ANSWER_START, ANSWER_END = "<corrected sentence>", "</corrected sentence>"
 #: Clitics that are joined to the word before them.
 CLITICS = ("n't", "'d", "'ll", "'m", "'re", "'s", "'ve")
@@ -70,8 +73,8 @@ def split_punctuation(text: Column) -> Column:
 
 
 Tokenizer = Callable[[Column], Column]
-#: Tokenisers by language; None is blanks. External models can be put in here as pandas UDFs.
-TOKENIZERS: dict[str, Tokenizer] = {"en": split_punctuation, "de": split_punctuation, "et": split_punctuation, "ro": split_punctuation}
+#: Tokenisers by language; any other language keeps its blanks. External models can be put in here as pandas UDFs.
+TOKENIZERS: dict[str, Tokenizer] = {lang: partial(peeled_line, lang=lang) for lang in INFIXES}
 
 
 def retokenized(text: Column, lang: str) -> Column:
@@ -90,10 +93,10 @@ def bea_text(text: Column, tokenizer: Tokenizer = lambda c: c) -> Column:
 STEPS: dict[str, tuple[Callable[[Column], Column], tuple[str, ...] | None]] = {
     "line_breaks": (line_breaks_to_blanks, None),
     "ro_brackets": (space_brackets, ("ronacc_readerbench", "ronacc_readerbench_train")),
-    "en_tokens": (split_punctuation, ("wilocness",)),
-    "de_tokens": (split_punctuation, ("falko_merlin", "falko_merlin_train")),
-    "et_tokens": (split_punctuation, ("estgec", "estgec_train")),
-    "ro_tokens": (split_punctuation, ("ronacc_readerbench", "ronacc_readerbench_train")),
+    "en_tokens": (partial(retokenized, lang="en"), ("wilocness",)),
+    "de_tokens": (partial(retokenized, lang="de"), ("falko_merlin", "falko_merlin_train")),
+    "et_tokens": (partial(retokenized, lang="et"), ("estgec", "estgec_train")),
+    "ro_tokens": (partial(retokenized, lang="ro"), ("ronacc_readerbench", "ronacc_readerbench_train")),
     "conll14": (conll_text, ("conll14",)),
     "bea19": (bea_text, ("bea19",)),
 }

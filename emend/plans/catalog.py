@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import tags, text
+from ..functions import tags, text, tokens
 from ..operators import cleanup, edits, hints, lowrank, m2, neighbours, prompts, retrieval, vectors
 from ..operators.ordering import numbered, running_sums
 from ..sources import readers
@@ -573,3 +573,58 @@ _FINAL_SQL = r"trim(regexp_replace(replace(regexp_replace({0}.line, '''\s+''', '
 def treebank_tokens(spark, sf_dir):
     """The scorer's tokens, without and with the treebank's brackets, quotes and contractions."""
     return table(spark, sf_dir, "documents").select("doc_id", text.treebank(F.col("text")).alias("plain"), text.treebank(F.col("text"), ptb=True).alias("ptb"))
+
+
+#: The rules of functions/tokens.py written out for an engine without looking around: a cut that needs a letter on both sides is made twice, since matches share letters.
+_PEELED_SQL = r"""SELECT doc_id, string_agg(regexp_replace(lead, '(\.{2,}|(?s:.))', '\1 ', 'g') || mid || ' ' || regexp_replace(rest, '(\.{2,}|(?s:.))', '\1 ', 'g'), ' ' ORDER BY i) AS line FROM (
+  SELECT doc_id, i, lead, CASE WHEN point THEN bare || '.' WHEN regexp_full_match(bare, '(https?://|www\.)(?s:.)*|[\p{L}\p{N}._+-]+@[\p{L}\p{N}-]+(\.[\p{L}\p{N}-]+)+') THEN bare ELSE CUT END AS mid, CASE WHEN point THEN substr(tail, 2) ELSE tail END AS rest
+  FROM (SELECT *, (lower(bare) IN (SHORT) OR regexp_full_match(bare, '(\p{L}\.)*\p{L}')) AND tail LIKE '.%' AND tail NOT LIKE '..%' AS point
+    FROM (SELECT doc_id, i, left(w, length(w) - length(body)) AS lead, bare, substr(body, length(bare) + 1) AS tail
+      FROM (SELECT *, rtrim(body, ')]}>"''`“”„«»‘’%—–,;:!?([{<*&#$£€….') AS bare
+        FROM (SELECT doc_id, i, w, ltrim(w, '([{<"''`“”„«»‘’‚§%=—–,;:!?)]}>*&#$£€…') AS body
+          FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, string_split_regex(text, '[ \x09-\x0D]+') AS ws FROM documents)))))))
+  GROUP BY doc_id"""
+_PEELED_SHORT = {
+    "en": "'mr', 'mrs', 'ms', 'dr', 'prof', 'st', 'jr', 'sr', 'vs', 'etc', 'inc', 'ltd', 'co', 'corp', 'no', 'jan', 'feb', 'mar', 'apr', 'aug', 'sept', 'oct', 'nov', 'dec'",
+    "de": "'bzw', 'usw', 'ca', 'dr', 'prof', 'nr', 'str', 'vgl', 'evtl', 'ggf', 'inkl', 'zzgl', 'hr', 'fr', 'jan', 'feb', 'aug', 'sept', 'okt', 'nov', 'dez'",
+    "et": "'jne', 'nt', 'lk', 'vt', 'jt', 'st', 'nr', 'dr', 'prof', 'hr', 'pr', 'tel', 'u', 'saj'",
+    "ro": "'dl', 'dna', 'dvs', 'nr', 'str', 'pag', 'etc', 'dr', 'prof', 'art', 'alin', 'jud', 'bd'",
+}
+_CUT_DASHES, _CUT_LONG = r"(\p{L})(--|[-–—~])(\p{L})", r"(\p{L})(--|—)(\p{L})"
+_CUT_BOTH = r"\1 \2 \3"
+#: Pattern, what it gives, and how often it is applied.
+_PEELED_CUTS = {
+    "en": ((r"(?i)(\p{L})(n[''’]t|[''’](?:s|m|d|ll|re|ve))([^\p{L}]|$)", r"\1 \2\3", 2), (r"(?i)^(can)(not)$", r"\1 \2", 1)),
+    "ro": (
+        (r"(?i)^(s|m|v|i|l|c|n|d|le|mi|ți|și|nu|de|din|într|dintr|printr|te|ne|se)-(\p{L})", r"\1- \2", 1),
+        (r"(?i)(\p{L})-(l|o|i|le|mi|ți|și|mă|te|ne|vă|se|a|ul|ului)$", r"\1 -\2", 1),
+    ),
+}
+_PEELED_ALL = (
+    (r"(\.{2,})", r" \1 ", 1),
+    (r"(\p{Ll})\.(\p{Lu})", r"\1 . \2", 2),
+    (r"(\p{L}),(\p{L})", r"\1 , \2", 2),
+    (r"([\p{L}\p{Nd}])([:<>=/])(\p{L})", _CUT_BOTH, 2),
+    (r"(\p{Nd})([+*^])(\p{Nd})", _CUT_BOTH, 2),
+    (r"^(\p{Nd}+(?:[.,]\p{Nd}+)*)(km|m|cm|mm|kg|g|mg|l|ml|h|min|s)$", r"\1 \2", 1),
+)
+
+
+def _peeled_sql(lang: str) -> str:
+    cut = "bare"
+    for pattern, new, times in (*_PEELED_CUTS.get(lang, ()), *_PEELED_ALL, (_CUT_DASHES if lang in ("en", "et") else _CUT_LONG, _CUT_BOTH, 2)):
+        for _ in range(times):
+            cut = f"regexp_replace({cut}, '{pattern}', '{new}', 'g')"
+    return _PEELED_SQL.replace("CUT", cut).replace("SHORT", _PEELED_SHORT[lang])
+
+
+_PEELED_LINE = "CASE WHEN text IS NOT NULL THEN trim(regexp_replace(coalesce({0}.line, ''), ' +', ' ', 'g')) END AS {0}"
+
+
+@query(
+    f"SELECT d.doc_id, {', '.join(_PEELED_LINE.format(c) for c in _PEELED_SHORT)} FROM documents d "
+    + " ".join(f"LEFT JOIN ({_peeled_sql(c)}) {c} ON {c}.doc_id = d.doc_id" for c in _PEELED_SHORT)
+)
+def peeled_tokens(spark, sf_dir):
+    """Every text in the tokens of each language that has rules."""
+    return table(spark, sf_dir, "documents").select("doc_id", *(tokens.peeled_line(F.col("text"), c).alias(c) for c in tokens.INFIXES))

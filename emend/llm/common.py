@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import delete, run_dir
+from ..session import delete, run_dir, shuffles_released
 
 #: Fixed value: a word is a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,7 +34,8 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder: lost executors cost no recomputation, and lineage ends here."""
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_released(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb, log
 
@@ -39,6 +39,8 @@ MOST_SMALL, MOST_IDS = 20, 500_000
 CENTRE_ROUNDS, GAIN = 4, 0.7
 #: Shingles and sets of a block.
 BLOCK_SHINGLES, BLOCK_SETS = 150_000, 512
+#: Pairs that are compared as whole sets at once, and shingles that are sent to pairs of blocks at once: what is on disk at a time stays bounded, however many there are.
+PAIRS_AT_ONCE, SENT_AT_ONCE = 500_000, 250_000_000
 #: How far beyond the first shingles counts are taken, as those put last are replaced.
 REACH = 1.3
 #: Times that shingles with long lists are sought; each time those found before are passed over.
@@ -307,11 +309,14 @@ class _Join:
         grown = met.where("hash is not null").select("hash", F.col("a").alias("node"), F.col("na").alias("n"), F.col("ia").alias("pos"), F.col("ha").alias("late"))
         long_lists = durable(last.join(F.broadcast(long_ones), "hash", "left_semi").union(grown).dropDuplicates(["hash", "node"]), "long-lists")
         pairs = self.promising(met, grown)
+        drop(met, long_ones)
         self.sets = self.whole(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).union(long_lists.select("node")))
         links = self.verified(pairs).union(self.small(nodes))
         tried = pairs.select("a", "b")
         labels = self.through(long_lists, links, tried, most)
-        return self.result(nodes, labels)
+        each = durable(nodes.select("doc_id", "n", "node"), "nodes")
+        drop(nodes, pairs, self.sets)
+        return self.result(each, labels)
 
     def promising(self, met: DataFrame, grown: DataFrame) -> DataFrame:
         """Pairs of short lists whose shared lists leave an overlap that is large enough."""
@@ -342,10 +347,17 @@ class _Join:
         ids = durable(nodes.select("node", "doc_id").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct(), "ids")
         few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
         texts = self.docs.join(few, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        return durable(texts.select("text").mapInArrow(lambda it: _whole_sets(it, sim), "node bigint, shingles array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "whole")
+        found = durable(texts.select("text").mapInArrow(lambda it: _whole_sets(it, sim), "node bigint, shingles array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "whole")
+        drop(wanted, ids)
+        return found
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links."""
+        """The pairs (a, b), a durable table, that are links; PAIRS_AT_ONCE are compared at a time."""
+        parts = max(1, -(-pairs.count() // PAIRS_AT_ONCE))
+        own = [pairs.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [pairs]
+        return reduce(DataFrame.union, (durable(self.linked(p), "verified") for p in own))
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
         one, two = (self.sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         overlap = F.size(F.array_intersect("sa", "sb"))
         linked = overlap * (self.sim.num + self.sim.den) >= (F.size("sa") + F.size("sb")) * self.sim.num
@@ -360,6 +372,9 @@ class _Join:
         for turn in range(CENTRE_ROUNDS):
             members, open_lists = self.still_open(lists, labels, turn)
             between = open_lists.agg(F.sum("between")).first()[0] or 0
+            drop(lists)
+            lists = members.drop("label")
+            lists._durable_path = members._durable_path
             if not between:
                 return labels
             if last is not None and between > GAIN * last:
@@ -372,9 +387,11 @@ class _Join:
             new = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
             new = durable(new, "new-pairs")
             drop(one)
+            before = links, labels
             links = durable(links.union(self.verified(new)), "found")
             tried = tried.union(new)
             labels = durable(components(links), "labels")
+            drop(*before, open_lists)
         members, open_lists = self.still_open(lists, labels, CENTRE_ROUNDS)
         if open_lists.isEmpty():
             return labels
@@ -382,12 +399,15 @@ class _Join:
         return durable(components(links), "labels")
 
     def still_open(self, lists: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-        """Lists of several components, three centres of each, and how many pairs they have between components; and the members of these."""
-        labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        """Lists of several components, three centres of each, and how many pairs they have between components; and the members of these. Components only
+        grow, so a list that is not open stays so, and the next look needs these members alone."""
+        labelled = durable(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
         parts = labelled.groupBy("hash", "label").agg(F.count("*").alias("g"), F.min("node").alias("low"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("any"))
         found = parts.groupBy("hash").agg(F.min("low").alias("c0"), F.max("low").alias("c1"), F.min("any")["node"].alias("c2"), ((F.sum("g") * F.sum("g") - F.sum(F.col("g") * F.col("g"))) / 2).alias("between"), F.count("*").alias("k"), F.sum("g").alias("rows"))
         found = durable(found.where("k > 1"), "open")
-        return joined_by_key(labelled, found.select("hash", "rows"), "hash", "rows"), found
+        members = durable(joined_by_key(labelled, found.select("hash", "rows"), "hash", "rows"), "open-members")
+        drop(labelled)
+        return members, found
 
     def in_blocks(self, members: DataFrame, open_lists: DataFrame) -> DataFrame:
         """Links between all members of the open lists: lists with common members are one pool, a pool is dealt into blocks of like
@@ -405,8 +425,13 @@ class _Join:
         met = own.withColumn("x", F.explode("others")).withColumn("salt2", F.explode(F.sequence(F.lit(0), F.col("x.salts") - 1)))
         other = F.struct(F.col("x.class").alias("class"), F.col("salt2").alias("salt"))
         met = met.select("pool", F.least("block", other).alias("lo"), F.greatest("block", other).alias("hi"), "node", "label")
-        met = met.join(self.sets, "node")
-        return met.groupBy("pool", "lo", "hi").applyInPandas(lambda rows: _joined(rows, sim), "a bigint, b bigint")
+        sent = known.select("of", F.aggregate("others", F.lit(0), lambda n, x: n + x["salts"]).alias("copies"))
+        sent = nodes.groupBy("of").agg(F.sum("n").alias("n")).join(sent, "of").agg(F.coalesce(F.sum(F.col("n") * F.col("copies")), F.lit(0))).first()[0]
+        parts = max(1, -(-sent // SENT_AT_ONCE))
+        met = met.withColumn("turn", F.pmod(F.xxhash64("pool", "lo", "hi"), F.lit(parts)))
+        each = lambda k: met.where(F.col("turn") == k).drop("turn").join(self.sets, "node")
+        own = (each(k).groupBy("pool", "lo", "hi").applyInPandas(lambda rows: _joined(rows, sim), "a bigint, b bigint") for k in range(parts))
+        return reduce(DataFrame.union, (durable(links, "block-links") for links in own))
 
     def result(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         """Each document with the least id of its component: first that of equal sets, then that of linked ones."""

@@ -17,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shuffles_released
 from .common import durable, run_dir
 
 
@@ -125,7 +126,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger_path: str | No
         pending = texts.join(todo, "blob").dropDuplicates(["blob"])
     each = [F.when(F.array_contains("todo", r.name), spans(F.col("text"), r)) for r in rules]
     found = F.filter(F.flatten(F.array(*(F.coalesce(x, F.array().cast(_SPAN)) for x in each))), lambda x: x["start"].isNotNull())
-    pending.select("blob", F.col("todo").alias("rules"), found.alias("found")).write.mode("append").parquet(path)
+    with shuffles_released(spark):
+        pending.select("blob", F.col("todo").alias("rules"), found.alias("found")).write.mode("append").parquet(path)
     wanted = reduce(lambda a, b: a | b, ((F.col("x.kind") == r.kind) & F.array_contains("rules", r.name) for r in rules))
     rank = reduce(lambda a, kr: F.when(F.col("x.kind") == kr[1].kind, kr[0]).otherwise(a), enumerate(rules), F.lit(len(rules)))  # by the rules of this call
     hits = _ledger(spark, path).where(F.size("found") > 0).select("blob", "rules", F.explode("found").alias("x")).where(wanted)

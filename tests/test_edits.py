@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 import pytest
@@ -135,3 +137,13 @@ def test_a_long_block_is_aligned_like_a_short_one():
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(41)]
     found = edits.align(" ".join(words), " ".join(["NEW", *(w.upper() for w in words)]))
     assert [g for _, g in found] == [["$APPEND_NEW"], *[["$TRANSFORM_CASE_UPPER"]] * 41]
+
+
+def test_cyclic_computes_its_sides_once(spark):
+    """A lambda that computed the positives anew for each negative would take minutes here."""
+    numbers = F.sequence(F.lit(0), F.col("n"))
+    p, n = (F.filter(numbers, lambda x: x % 2 == r) for r in (0, 1))
+    began = time.time()
+    got = spark.createDataFrame([(40_000,)], "n int").select(F.explode(edits.cyclic(p, n)).alias("x")).agg(F.count("*"), F.sum("x.pos"), F.sum("x.neg")).first()
+    assert tuple(got) == (19_999, sum(range(0, 39_998, 2)), sum(range(3, 40_001, 2)))
+    assert time.time() - began < 20

@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 
 from emend.operators import m2
@@ -88,3 +89,22 @@ def test_running_choice_agrees_with_one_pass(spark):
         want.append(own[best])
     stats = spark.createDataFrame(rows, "sent_idx long, annotator int, correct long, proposed long, gold long")
     assert sorted(tuple(r) for r in m2.chosen(stats).collect()) == want
+
+
+def test_annotators_and_repeated_sentences_share_a_lattice(spark, monkeypatch):
+    made = []
+    real = m2.lattice
+    edits = [(0, 1, "a", ["x"])]
+    frames = [pd.DataFrame({"sent_idx": [0, 0, 1, 1], "annotator": [0, 1, 0, 1], "source": ["a b"] * 4, "hypothesis": ["x b"] * 4, "edits": [[dict(zip(("s", "e", "orig", "corr"), e, strict=True)) for e in edits], []] * 2})]
+    monkeypatch.setattr(m2, "lattice", lambda *a: made.append(a) or real(*a))
+
+    class Rows:
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, kind):
+            return pd.concat(run(iter(frames)))
+
+    got = m2.sentence_counts(Rows())
+    assert got[["correct", "proposed", "gold"]].values.tolist() == [[1, 1, 1], [0, 1, 0]] * 2
+    assert len(made) == 1

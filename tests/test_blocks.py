@@ -95,3 +95,21 @@ def test_sides_in_several_files_are_read_side_by_side(spark, monkeypatch, tmp_pa
     sinks.write_parallel(rows, str(tmp_path / "p"))
     got = readers.parallel(spark, str(tmp_path / "p.src"), str(tmp_path / "p.tgt")).collect()
     assert sorted(map(tuple, got)) == [(i, f"s{i}", f"t{i}") for i in range(220)]
+
+
+def test_json_array_in_several_compressed_files(spark, tmp_path):
+    rows = [{"id": str(i), "text": ["plain", "a } b", "c\"}{[", "", "\\"][i % 5] * (i % 4), "labels": [{"x": "}"}] if i % 2 else []} for i in range(23)]
+    text = [("[" if i == 0 else ",") + json.dumps(r) for i, r in enumerate(rows)] + ["]"]
+    lines = spark.createDataFrame([(i, v) for i, v in enumerate(text)], "line_no long, value string")
+    sinks.write_lines(lines, str(tmp_path / "a"), compression="gzip", a_file=5)
+    assert len(list((tmp_path / "a").glob("*.gz"))) > 2
+    assert [json.loads(r.value) for r in readers.json_rows(spark, str(tmp_path / "a")).orderBy("row_no").collect()] == rows
+
+
+def test_blocks_and_pieces_are_made_once(spark, tmp_path):
+    """What follows reads stored blocks; computed anew for each look, all texts were moved several times."""
+    lines = spark.createDataFrame([("f", i, v) for i, v in enumerate(["S a b", "A 0 1|||R|||x|||REQUIRED|||-NONE-|||0", "", "S c", ""])], "file string, line_no long, value string")
+    out = readers.m2_pairs(lines.repartition(3))
+    assert sorted((r.src, r.tgt) for r in out.collect()) == [("a b", "x b"), ("c", "c")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and plan.count("Relation") == 2  # blocks, for their numbers and for themselves

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ from .vectors import block_top
 PIVOTS, PER_PIVOT = 256, 500
 #: Rows of a block on either side of a product.
 QUERY_BLOCK, TRAIN_BLOCK = 2_000, 20_000
+#: Rows that are sent to blocks at once, copies counted: what is on disk at a time stays bounded, while the pairs to be compared may grow with the square of the table.
+SENT_AT_ONCE = 4_000_000
 #: Angles and similarities are taken to be this much off.
 SLACK = 1e-6
 #: The cell of rows without a length of one (zero vectors), which every query meets.
@@ -89,10 +92,18 @@ def _met(routed: DataFrame, dealt: DataFrame, cells: Cells, k: int) -> DataFrame
     parts = [(int(c), -(-asked[c] // QUERY_BLOCK), -(-int(n) // TRAIN_BLOCK)) for c, n in zip(cells.number, cells.rows, strict=True) if c in asked]
     sizes = F.broadcast(spark.createDataFrame(parts, "cell int, n_q int, n_t int"))
     block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = met.join(sizes, "cell").select("id", "v", "cell", block("n_q", 1).alias("qb"), every("n_t").alias("tb"))
-    t = dealt.join(sizes, "cell").select("id", "v", "cell", block("n_t", 2).alias("tb"), every("n_q").alias("qb"))
-    return q.groupBy("cell", "qb", "tb").cogroup(t.groupBy("cell", "qb", "tb")).applyInPandas(block_top(k), _FOUND)
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rows = {int(c): int(n) for c, n in zip(cells.number, cells.rows, strict=True)}
+    turns = max(1, -(-sum(asked[c] * n_t + rows[c] * n_q for c, n_q, n_t in parts) // SENT_AT_ONCE))
+    turn = lambda qb: F.pmod(F.xxhash64("cell", qb), F.lit(turns))
+
+    def found(at: int) -> DataFrame:
+        """Of the blocks of queries whose turn it is."""
+        q = met.join(sizes, "cell").withColumn("qb", block("n_q", 1)).where(turn(F.col("qb")) == at).select("id", "v", "cell", "qb", F.explode(every("n_t")).alias("tb"))
+        t = dealt.join(sizes, "cell").select("id", "v", "cell", block("n_t", 2).alias("tb"), F.explode(F.filter(every("n_q"), lambda b: turn(b) == at)).alias("qb"))
+        return q.groupBy("cell", "qb", "tb").cogroup(t.groupBy("cell", "qb", "tb")).applyInPandas(block_top(k), _FOUND)
+
+    return found(0) if turns == 1 else reduce(DataFrame.union, (stored(found(at), "met") for at in range(turns)))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

@@ -94,3 +94,19 @@ def test_ranges_by_jumps(spark, monkeypatch, shards):
     rows = spark.createDataFrame(list(enumerate(weights)), "idx long, weight long")
     got = [tuple(r) for r in retrieval.balanced_ranges(rows, shards).orderBy("shard").collect()]
     assert got == plain_ranges(weights, shards)
+
+
+def test_blocks_in_turns(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").cache()
+    top = lambda: sorted((r.query, r["rank"], r.id, r.similarity) for r in neighbours.pruned_cosine_top(rows, rows, 3).collect())
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 50)
+    want = top()
+    kept, real = [], neighbours.stored
+    monkeypatch.setattr(neighbours, "stored", lambda df, label: kept.append(label) or real(df, label))
+    monkeypatch.setattr(neighbours, "SENT_AT_ONCE", 1_000)
+    got = top()
+    assert [r[:3] for r in got] == [r[:3] for r in want] and len(got) == 900
+    assert kept.count("met") > 2

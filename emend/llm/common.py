@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import delete, run_dir, shuffles_released
+from ..session import delete, heap_released, run_dir, shuffles_released
 
 #: Fixed value: a word is a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +36,7 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with shuffles_released(spark):
         df.write.parquet(path)
+    heap_released(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out

@@ -2,7 +2,7 @@
 
 Features are the frequencies of hashed byte trigrams of the whole text (A-Z as a-z, other ASCII signs as blanks), so a decision is the mean
 of one weight for each place of the text, summed by blocks. Families are those of linguistics. Both levels are linear SVMs with squared
-hinge loss, one for each pair of families, then for each pair of languages of one family, trained on the driver.
+hinge loss, one for each pair of families, then for each pair of languages of one family; each is trained in a group of its own.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import drop, durable, small_batches
 
 #: Training texts of one language at most: the only sample. Whole texts are read, in training as in prediction.
 PER_LANGUAGE = 800
@@ -166,27 +167,41 @@ def families_of(names: list[str]) -> list[int]:
     return [order.index(f) for f in found]
 
 
+#: Frequencies are small; this makes margins of 1 reachable under the penalty.
+SCALE = 60.0
+
+
+def duel(counts: list[tuple[np.ndarray, np.ndarray]], first: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias that tell the texts of the first side from the others."""
+    x = frequencies(counts)  # in single precision and never copied
+    x *= np.float32(SCALE)
+    w, c = linear_svm(x, np.where(first, 1.0, -1.0))
+    return w.astype(np.float64) * SCALE, c
+
+
+def duels(names: list[str]) -> list[tuple[str, int, int]]:
+    """(level, one, other): all pairs of families, then those of languages of one family."""
+    family = families_of(names)
+    pairs = lambda level, options: [(level, a, b) for i, a in enumerate(options) for b in options[i + 1 :]]
+    return pairs("family", sorted(set(family))) + [d for d in pairs("language", list(range(len(names)))) if family[d[1]] == family[d[2]]]
+
+
+def model_of(names: list[str], results: list[tuple[np.ndarray, float]]) -> Model:
+    """The model of these results of duels(names)."""
+    weights = np.array([w for w, _ in results]).T if results else np.zeros((FEATURES, 0))
+    weights[0] = 0
+    return Model(names, families_of(names), duels(names), np.ascontiguousarray(weights), np.array([c for _, c in results]))
+
+
 def train(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str]) -> Model:
+    """The model of these texts, all of them here: for few texts."""
     names = sorted(set(languages))
-    x = frequencies(counts)  # in single precision and never copied whole: the driver may be small
-    y = np.array([names.index(v) for v in languages])
-    scale = 60.0  # frequencies are small; this makes margins of 1 reachable under the penalty
-    family = families_of(names)
-    of = np.array(family)[y] if names else y
-    sides, weights, bias = [], [], []
-    x *= np.float32(scale)
-    for level, label, options in (("family", of, sorted(set(family))), ("language", y, list(range(len(names))))):
-        for i, a in enumerate(options):
-            for b in options[i + 1 :]:
-                if level == "language" and family[a] != family[b]:
-                    continue
-                own = (label == a) | (label == b)
-                w, c = linear_svm(x if own.all() else x[own], np.where(label[own] == a, 1.0, -1.0))
-                sides.append((level, a, b)), weights.append(w.astype(np.float64) * scale), bias.append(c)
-    weights = np.array(weights).T if weights else np.zeros((FEATURES, 0))
-    if len(weights):
-        weights[0] = 0
-    return Model(names, family, sides, np.ascontiguousarray(weights), np.array(bias))
+    y, family, results = np.array([names.index(v) for v in languages]), np.array(families_of(names)), []
+    for level, a, b in duels(names):
+        label = family[y] if level == "family" else y
+        own = np.flatnonzero((label == a) | (label == b))
+        results.append(duel([counts[i] for i in own], label[own] == a))
+    return model_of(names, results)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -217,12 +232,33 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("k"), *columns], ["lang", "k", "found", "n"])
 
 
+def _settled(rows: pd.DataFrame) -> pd.DataFrame:
+    """A duel's texts (nth, first, lang, k, found, n) -> its weights and bias."""
+    rows = rows.sort_values(["lang", "k"])
+    counts = [tuple(np.frombuffer(v, np.int64) for v in pair) for pair in zip(rows["found"], rows["n"], strict=True)]
+    w, c = duel(counts, rows["first"].to_numpy(bool))
+    return pd.DataFrame({"nth": [rows["nth"].iloc[0]], "weights": [w.tobytes()], "bias": [c]})
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """docs (text, lang, ...): a model of the languages of the labelled rows. Executors count the features of the sample's whole texts; the driver gets these counts."""
+    """docs (text, lang, ...): a model of the languages of the labelled rows. Executors count the features of the sample's whole texts and settle
+    the duels, each in one group of per_language texts a language at most; the driver gets weights alone."""
     small_batches(docs.sparkSession)
-    rows = training_sample(docs, per_language).mapInArrow(_counts, "lang string, k string, found binary, n binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["k"]))
-    return train([tuple(np.frombuffer(r[c], np.int64) for c in ("found", "n")) for r in rows], [r["lang"] for r in rows])
+    sample = durable(training_sample(docs, per_language).mapInArrow(_counts, "lang string, k string, found binary, n binary"), "languages")
+    names = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+    if len(names) < 2:
+        drop(sample)
+        return model_of(names, [])
+    family, sides = families_of(names), []
+    for nth, (level, a, b) in enumerate(duels(names)):
+        for i, lang in enumerate(names):
+            own = family[i] if level == "family" else i
+            if own in (a, b):
+                sides.append((lang, nth, own == a))
+    meets = docs.sparkSession.createDataFrame(sides, "lang string, nth int, first boolean")  # by language and duel, few
+    found = sample.join(F.broadcast(meets), "lang").groupBy("nth").applyInPandas(_settled, "nth int, weights binary, bias double").collect()
+    drop(sample)
+    return model_of(names, [(np.frombuffer(r["weights"]), r["bias"]) for r in sorted(found, key=lambda r: r["nth"])])
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -69,20 +69,29 @@ def proportional(sizes: DataFrame) -> DataFrame:
     return out.groupBy("sid").agg(best.alias("b")).select("sid", "b.c", "b.left")
 
 
+def _with(state: DataFrame, found: DataFrame) -> DataFrame:
+    """state (sid, ...) with the columns of found (sid, ...), a row at most for each sid; null where it has none. Rows meet in a grouping: unlike a
+    join, that builds no table to broadcast, which takes megabytes of the driver for a few rows, time after time."""
+    both = state.unionByName(found, allowMissingColumns=True)
+    return both.groupBy("sid").agg(*(F.max(c).alias(c) for c in both.columns if c != "sid"))
+
+
 def _next_cut(ranked: DataFrame, state: DataFrame, turn: int) -> DataFrame:
     """state with cut{turn}, the rank at which the sum of the sizes still open passes what is left (null: it never does), and left{turn + 1}."""
     fits = _open(turn) if turn == 0 else _open(turn) & (F.col("size") <= F.col(f"left{turn}"))
-    own = ranked.join(state, "sid").where(fits).select("sid", "slice", "rank", "size", F.col(f"left{turn}").alias("left"))
+    own = ranked.join(state, "sid").where(fits).select("sid", "slice", "size", F.col(f"left{turn}").alias("left"))
     sums = own.groupBy("sid", "slice", "left").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("sid").orderBy("slice")))
     # the slice of a source in which the sum passes, and what comes before it
-    at = durable(sums.groupBy("sid").agg(F.min(F.when(F.col("upto") > F.col("left"), F.struct("slice", (F.col("upto") - F.col("words")).alias("before")))).alias("at"), F.max("upto").alias("all")), "mix-slices")
-    inside = own.join(at.where("at is not null").select("sid", F.col("at.slice").alias("slice"), F.col("at.before").alias("before")), ["sid", "slice"])
+    at = sums.groupBy("sid").agg(F.min(F.when(F.col("upto") > F.col("left"), F.struct("slice", (F.col("upto") - F.col("words")).alias("before")))).alias("at"), F.max("upto").alias("all"))
+    at = durable(_with(state, at), "mix-slices")
+    inside = ranked.join(at.where("at is not null").withColumn("slice", F.col("at.slice")), ["sid", "slice"]).where(fits).select("sid", "rank", "size", F.col(f"left{turn}").alias("left"), F.col("at.before").alias("before"))
     sofar = F.col("before") + F.sum("size").over(Window.partitionBy("sid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("sofar", sofar).groupBy("sid").agg(F.min(F.when(F.col("sofar") > F.col("left"), F.col("rank"))).alias(f"cut{turn}"), F.max(F.when(F.col("sofar") <= F.col("left"), F.col("sofar"))).alias("got"))
-    out = state.join(at, "sid", "left").join(inside, "sid", "left")
     got = F.when(F.col("at").isNull(), F.coalesce("all", F.lit(0))).otherwise(F.coalesce("got", F.col("at.before")))
-    return durable(out.withColumn(f"left{turn + 1}", F.col(f"left{turn}") - got).drop("at", "all", "got"), "mix-cuts")
+    out = durable(_with(at, inside).withColumn(f"left{turn + 1}", F.col(f"left{turn}") - got).drop("at", "all", "got"), "mix-cuts")
+    drop(at)
+    return out
 
 
 def _taken(turn: int) -> Column:
@@ -119,7 +128,7 @@ def cuts(base: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction
     targets = durable(targets.withColumnRenamed("source", "of"), "mix-targets")
     known = base.where("size > 0").join(targets, F.col("source").eqNullSafe(F.col("of")))
     odds = proportional(known.groupBy("sid", "rest", "size").agg(F.count("*").alias("n")))
-    state = durable(targets.drop("rest").join(odds, "sid", "left").withColumn("left0", F.coalesce("left", F.lit(0.0))).drop("left"), "mix-odds")
+    state = durable(_with(targets.drop("rest"), odds).withColumn("left0", F.coalesce("left", F.lit(0.0))).drop("left"), "mix-odds")
     ranked = _ranked(base, state, seed).where("rank is not null")
     ranked = durable(ranked.select("sid", "size", F.floor(F.col("z") * slices).cast("int").alias("slice"), "rank"), "mix-ranks")
     stale = [targets]
@@ -127,7 +136,7 @@ def cuts(base: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction
         stale.append(state)
         state = _next_cut(ranked, state, turn)
     left = ranked.join(state, "sid").where(_open(CUTS) & (F.col("size") < 2 * F.col(f"left{CUTS}")))
-    out = durable(state.join(left.groupBy("sid").agg(F.min("rank")["row_no"].alias("last")), "sid", "left").drop("sid"), "mix-state")
+    out = durable(_with(state, left.groupBy("sid").agg(F.min("rank")["row_no"].alias("last"))).drop("sid"), "mix-state")
     drop(ranked, state, *stale)
     return out
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from emend import session
 from emend.llm import jaccard
 from emend.llm.common import durable
 from emend.session import stored
@@ -26,6 +27,21 @@ def test_a_stored_table_leaves_no_shuffle_files(spark, write):
     assert len([f for f in left if f.endswith(".data")]) <= 2  # of the count alone
 
 
+@pytest.mark.parametrize("write", [durable, stored])
+def test_a_write_lets_a_full_driver_collect_garbage(spark, monkeypatch, write):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(beans.get(i).getCollectionCount() for i in range(beans.size()) if "Old" in beans.get(i).getName())
+    for name, value in (("HEAP_SHARE", 0.0), ("COLLECT_SECONDS", 0.0), ("_collected", 0.0)):
+        monkeypatch.setattr(session, name, value)
+    before = full()
+    write(spark.range(10).toDF("k"), "t")
+    assert full() > before
+    monkeypatch.setattr(session, "HEAP_SHARE", 1.0)
+    before = full()
+    write(spark.range(10).toDF("k"), "t")
+    assert full() == before
+
+
 def test_open_lists_are_computed_once(spark):
     lists = spark.createDataFrame([(1, n, 10, 0, 0) for n in range(40)] + [(2, n, 10, 0, 0) for n in range(5)], "hash long, node long, n long, pos long, late long")
     labels = spark.createDataFrame([(n, 0) for n in range(30)], "node long, label long")

@@ -194,6 +194,15 @@ def test_mix_agrees_with_its_sql(spark, tmp_path):
     assert sorted(key(r) for r in mixing.op5_mix(spark, str(tmp_path)).collect()) == want
 
 
+def test_a_cut_reads_the_ranks_once_a_step_and_joins_nothing_else(spark, monkeypatch):
+    """Each table that is broadcast takes megabytes of the driver, however few its rows."""
+    plans, write = [], mixing.durable
+    monkeypatch.setattr(mixing, "durable", lambda df, label: plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, label))
+    assert mixing.mix(documents(spark, 50)).count() == 55
+    joins = [(label, len(re.findall(r"\bJoin ", plan))) for label, plan in plans]
+    assert [n for label, n in joins if label == "mix-cuts"] == [1] * mixing.CUTS and sum(n for _, n in joins) <= 9
+
+
 def test_inclusion_follows_the_probabilities(spark):
     # 150 sources with the same sizes, each a draw of its own; what the first cut leaves goes to one or two small documents of a source
     sizes = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89] * 20 + [700]

@@ -72,6 +72,16 @@ def test_families_and_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_the_driver_trains_nothing_and_gets_weights_alone(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang")
+    rows = sorted((r.lang, hashlib.md5(r.text.encode()).hexdigest(), r.text) for r in langid.training_sample(docs, 30).select("lang", "text").collect())
+    want = langid.train([langid.counted(t.encode()) for _, _, t in rows], [lang for lang, _, _ in rows])
+    monkeypatch.setattr(langid, "linear_svm", None)  # on the driver; executors import the module themselves
+    got = langid.fit(docs, 30)
+    assert (got.languages, got.family, got.sides) == (want.languages, want.family, want.sides)
+    assert langid.np.allclose(got.weights, want.weights, rtol=1e-4, atol=1e-6) and langid.np.allclose(got.bias, want.bias, atol=1e-6)
+
+
 def test_odd_texts_and_models(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "123 $$$ ½ ²"), (4, "the " * 50_000), (None, "der die das und nicht"), (4, "x")], "doc_id long, text string")
     model = langid.train([langid.counted(t) for t in (b"the and of to in that it is", b"der die das und nicht ein ist")] * 3, ["en", "de"] * 3)

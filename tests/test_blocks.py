@@ -113,3 +113,13 @@ def test_blocks_and_pieces_are_made_once(spark, tmp_path):
     assert sorted((r.src, r.tgt) for r in out.collect()) == [("a b", "x b"), ("c", "c")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and plan.count("Relation") == 2  # blocks, for their numbers and for themselves
+
+
+def test_json_pieces_are_not_sent_through_the_driver(spark, tmp_path):
+    """A table with a row for each piece is a small file, which Spark would broadcast; with millions of rows the driver's memory was full."""
+    rows = [{"id": str(i), "text": "a \\ \" } b"} for i in range(50)]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    out = readers.json_rows(spark, str(tmp_path / "a.json"))
+    assert [json.loads(r.value) for r in out.orderBy("row_no").collect()] == rows
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2

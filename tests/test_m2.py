@@ -108,3 +108,30 @@ def test_annotators_and_repeated_sentences_share_a_lattice(spark, monkeypatch):
     got = m2.sentence_counts(Rows())
     assert got[["correct", "proposed", "gold"]].values.tolist() == [[1, 1, 1], [0, 1, 0]] * 2
     assert len(made) == 1
+
+
+def test_changes_that_stand_apart_are_counted_as_by_the_lattice():
+    """Most sentences need no lattice, which took nearly all of the time."""
+    import random
+
+    rng, plain = random.Random(5), 0
+    for _ in range(6000):
+        source = [rng.choice("abcdefghij") for _ in range(rng.randint(1, 18))]
+        every, first = rng.choice([2, 4, 5, 7]), rng.randrange(4)
+        words = [w.upper() if i % every == first and rng.random() < 0.9 else w for i, w in enumerate(source)]
+        if rng.random() < 0.1:
+            words.insert(rng.randrange(len(words)), rng.choice("abX"))
+        gold = []
+        for _ in range(rng.randrange(4)):
+            start = rng.randrange(-1, len(source))
+            end = min(len(source), start + rng.choice([0, 1, 1, 1, 1, 2]))
+            gold.append(m2.Gold(start, end, " ".join(source[max(start, 0) : end]), tuple(rng.choice([[" ".join(source[max(start, 0) : end]).upper()], ["", "x"], ["a"], [" ".join(source[max(start, 0) : end])]]))))
+        if rng.random() < 0.7:
+            gold.sort(key=lambda g: (g.start, g.end))
+        for most, ignore in ((2, False), (2, True), (0, False), (1, False)):
+            at = m2.plain_changes(source, words, most)
+            found = None if at is None else m2.plain_counts(source, words, at, [(g.start, g.end, g.original, g.corrections) for g in gold], most, ignore)
+            if found is not None:
+                plain += bool(at)
+                assert found == m2.counts(" ".join(source), " ".join(words), gold, most, ignore), (source, words, gold, most, ignore)
+    assert plain > 1000

@@ -32,7 +32,7 @@ def norm(a: Column) -> Column:
 def unit(a: Column) -> Column:
     """Divided by its length, or by 1e-12 if that is less."""
     n = F.greatest(norm(a), F.lit(1e-12))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    return F.get(F.transform(F.array(n), lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))  # so bound, the length is computed once, not for each value
 
 
 def minus(a: Column, b: Column) -> Column:
@@ -193,19 +193,62 @@ DIRECTIONS = {
 # --- cosine neighbours --------------------------------------------------------
 
 
+#: Similarities that are looked at together.
+AT_ONCE = 1_000_000
+
+
+def best_of(a: np.ndarray, b: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, similarity) of the k rows of b most similar to each row of a, similarities rounded to 9 digits, ties to the earlier row of b.
+
+    Products in single precision, whose error is bounded, leave few candidates, which alone are multiplied exactly and sorted: those not
+    below the kth of the largest of each stretch of b. floor: what is less than this, for each row of a, need not be found.
+    """
+    n = len(b)
+    if not (np.isfinite(a).all() and np.isfinite(b).all()):
+        s = np.round(a @ b.T, 9)
+        keep = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return np.repeat(np.arange(len(a)), keep.shape[1]), keep.ravel(), np.take_along_axis(s, keep, 1).ravel()
+    small_b, stretches = b.astype(np.float32).T.copy(), min(16 * k, n)
+    longest = float(np.sqrt(np.einsum("ij,ij->i", b, b).max()))
+    out: tuple[list, list, list] = ([], [], [])
+    step = max(1, AT_ONCE // n)
+    for lo in range(0, len(a), step):
+        part = a[lo : lo + step]
+        near = part.astype(np.float32) @ small_b
+        slack = 1e-8 + (a.shape[1] + 8) * 2.4e-7 * longest * np.sqrt(np.einsum("ij,ij->i", part, part))
+        least = np.full(len(part), -np.inf)
+        if stretches >= k:
+            tops = near[:, : n // stretches * stretches].reshape(len(part), -1, stretches).max(1)
+            least = np.partition(tops, stretches - k, axis=1)[:, stretches - k].astype(float) - 2 * slack
+        if floor is not None:
+            least = np.maximum(least, floor[lo : lo + step] - slack)
+        row, column = np.divmod(np.flatnonzero(near >= least.astype(np.float32)[:, None]), n)
+        if not len(row):
+            continue
+        few = max(1, 4 * AT_ONCE // a.shape[1])
+        exact = np.concatenate([np.einsum("ij,ij->i", part[row[i : i + few]], b[column[i : i + few]]) for i in range(0, len(row), few)])
+        exact = np.round(exact, 9) + 0.0
+        order = np.lexsort((column, -exact, row))
+        row, column, exact = row[order], column[order], exact[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        own = place < k
+        for to, x in zip(out, (row[own] + lo, column[own], exact[own]), strict=True):
+            to.append(x)
+    kinds = (np.int64, np.int64, np.float64)
+    return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(out, kinds, strict=True))
+
+
 def block_top(k: int):
     """The k best of a block of rows (id, v) for each query (id, v) of a block."""
 
     def top(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query": [], "id": [], "similarity": []}).astype({"query": "int64", "id": "int64", "similarity": "float64"})
-        a, b = np.stack(queries["v"].to_numpy()), np.stack(rows["v"].to_numpy())
+        a, b = np.stack(queries["v"].to_numpy()).astype(float), np.stack(rows["v"].to_numpy()).astype(float)
         ids = rows["id"].to_numpy(np.int64)
-        s = np.round(a @ b.T, 9)
         order = np.argsort(ids, kind="stable")
-        s, ids = s[:, order], ids[order]
-        keep = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query": np.repeat(queries["id"].to_numpy(np.int64), keep.shape[1]), "id": ids[keep].ravel(), "similarity": np.take_along_axis(s, keep, 1).ravel()})
+        row, found, similarity = best_of(a, b[order], k)
+        return pd.DataFrame({"query": queries["id"].to_numpy(np.int64)[row], "id": ids[order][found], "similarity": similarity})
 
     return top
 

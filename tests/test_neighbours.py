@@ -1,6 +1,7 @@
 """Pruned neighbours, components by block passes, ranges by jumps: each against its plain form."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,38 @@ def test_blocks_in_turns(spark, monkeypatch):
     got = top()
     assert [r[:3] for r in got] == [r[:3] for r in want] and len(got) == 900
     assert kept.count("met") > 2
+
+
+def test_a_query_is_sent_once_for_all_cells_of_a_group(spark, monkeypatch):
+    """Sent once for each of 256 cells, the copies of vectors that can't be pruned were most of the work."""
+    monkeypatch.setattr(neighbours, "PER_PIVOT", 5)
+    cells = neighbours.Cells(np.eye(8), np.arange(8), *(np.zeros(8),) * 2, np.full(8, 5))
+    assert len(set(neighbours._groups(cells, 20))) == 2 and len(set(neighbours._groups(cells, 50_000))) == 1
+    batch = pd.DataFrame({"cells": [[0, 1, 7], [], [5]]})
+    row, of, own = neighbours._routes(batch, cells, neighbours._groups(cells, 20))
+    assert list(zip(row.tolist(), of.tolist(), [x.tolist() for x in own], strict=True)) == [(0, 0, [0, 1]), (0, 1, [7]), (2, 1, [5])]
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_candidates_in_single_precision_lose_nothing(k):
+    r = np.random.RandomState(k)
+    b = np.round(r.standard_normal((3000, 8)), 1)
+    b[:400] = b[400:800]  # ties
+    b[5] = 0
+    b /= np.maximum(np.linalg.norm(b, axis=1), 1e-12)[:, None]
+    a = b[:300]
+    row, column, similarity = vectors.best_of(a, b, k)
+    assert column.reshape(300, k).tolist() == plain_top(a, b, k)
+    assert np.allclose(similarity, (a[row] * b[column]).sum(1))
+    floor = similarity.reshape(300, k)[:, -1]
+    assert [x.tolist() for x in vectors.best_of(a, b, k, floor)[:2]] == [row.tolist(), column.tolist()]
+
+
+def test_the_length_of_a_vector_is_computed_once(spark):
+    """Named in the lambda, it was computed for each value: quadratic in the dimensions."""
+    rows = frame(spark, np.vstack([np.random.RandomState(2).standard_normal((5, 6)), np.zeros((1, 6))])).union(spark.createDataFrame([(9, None)], "id long, vec array<double>"))
+    out = rows.select("id", vectors.unit(F.col("vec")).alias("v"))
+    for r in out.collect():
+        own = next(x["vec"] for x in rows.collect() if x["id"] == r["id"])
+        assert r["v"] is None if own is None else np.allclose(r["v"], np.array(own) / max(np.linalg.norm(own), 1e-12))
+    assert "array(greatest(" in out._jdf.queryExecution().optimizedPlan().toString().lower()
